@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("alerting", "macroflows")
+MODULES = ("detection", "alerting", "macroflows")
 
 
 def _entries() -> dict[str, tuple]:

@@ -80,7 +80,8 @@ _CTE = {
         CAST((hour(created_at) * 3600 + minute(created_at) * 60 + second(created_at)) * 500 + k * 2 AS BIGINT)
           AS network_recv_bytes, k AS active_threads, created_at FROM det""",
     "lab": """
-      SELECT *, list_transform(raw, x -> x / (raw[1] + raw[2] + raw[3])) AS probability FROM (
+      SELECT *, [raw[1] / (raw[1] + raw[2] + raw[3]), raw[2] / (raw[1] + raw[2] + raw[3]),
+        raw[3] / (raw[1] + raw[2] + raw[3])] AS probability FROM (
         SELECT vec_id, label AS actual, CAST((vec_id * 7) % 10 AS INTEGER) AS pred_a,
           CAST((vec_id * 3 + label) % 10 AS INTEGER) AS pred_b,
           [abs(CAST(embedding[1] AS DOUBLE)) + 0.01, abs(CAST(embedding[2] AS DOUBLE)) + 0.01,

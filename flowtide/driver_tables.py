@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from flowtide.session import use_utc
 
@@ -14,8 +14,15 @@ ALERT_WINDOW_MINUTES = 2880
 AS_OF = "2024-01-31 00:00:00"
 
 
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return use_utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    """A test table. Its schema is read from the footer once per process."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = use_utc(spark).read.parquet(path).schema
+    return use_utc(spark).read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def as_of() -> Column:

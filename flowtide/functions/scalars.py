@@ -25,9 +25,33 @@ def hours_before(as_of: Column, hours: int) -> Column:
     return as_of - F.make_dt_interval(hours=F.lit(hours))
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """Text with a fixed number of decimals, rounded on the exact binary value, ties to even.
+
+    ``format_string`` alone rounds the shortest decimal form half up. The product with 10^digits
+    is split into its rounded value and its rounding error, which decides apparent ties.
+    """
+    size = F.abs(value)
+    scale = 10.0 ** digits
+    splitter = 134217729.0  # 2^27 + 1 halves the mantissa
+    scale_hi = splitter * scale - (splitter * scale - scale)
+    scale_lo = scale - scale_hi
+    product = size * scale
+    high = size * splitter - (size * splitter - size)
+    low = size - high
+    error = ((high * scale_hi - product) + high * scale_lo + low * scale_hi) + low * scale_lo
+    whole = F.floor(product)
+    rest = product - whole
+    up = (rest > 0.5) | ((rest == 0.5) & ((error > 0) | ((error == 0) & (whole % 2 == 1))))
+    digits_value = (whole + F.when(up, 1).otherwise(0)) / F.lit(scale)
+    sign = F.when(value < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
+    exact = F.when(size < 1e12, digits_value * sign).otherwise(value)
+    return F.format_string(f"%.{digits}f", exact)
+
+
 def percent(value: Column, digits: int = 1) -> Column:
     """Share shown as a percentage, e.g. ``97.3%``."""
-    return F.format_string(f"%.{digits}f%%", value * 100.0)
+    return F.concat(fixed(value * 100.0, digits), F.lit("%"))
 
 
 def bytes_to_kb(value: Column) -> Column:

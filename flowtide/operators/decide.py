@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from flowtide.functions.scalars import percent
+from flowtide.functions.scalars import fixed, percent
 from flowtide.schemas import col
 
 BENIGN = 0
@@ -79,7 +79,7 @@ def ranked_map(bag: Column, k: int | None = None) -> Column:
 def feature_text(ranked: Column) -> Column:
     """``name=1.0000, name=...``"""
     return F.array_join(F.transform(
-        ranked, lambda e: F.format_string("%s=%.4f", e["name"], e["value"])), ", ")
+        ranked, lambda e: F.concat(e["name"], F.lit("="), fixed(e["value"], 4))), ", ")
 
 
 def feature_analysis(prediction: Column, names: Sequence[str]) -> Column:

@@ -61,12 +61,13 @@ def subnet_edges(subnets: DataFrame) -> DataFrame:
     edges = F.array(network_address(F.col("address"), F.col("netmask")),
                     broadcast_address(F.col("address"), F.col("netmask")))
     return (subnets.select(F.explode(edges).alias("ip_address"))
-            .filter(F.col("ip_address") != "").distinct())
+            .filter(F.col("ip_address") != ""))
 
 
 def protected_set(configured: DataFrame, subnets: DataFrame) -> DataFrame:
-    """Configured addresses together with the edges of the local subnets."""
-    return configured.select("ip_address").union(subnet_edges(subnets)).distinct()
+    """Configured addresses together with the edges of the local subnets. Not deduplicated:
+    membership tests do not need it, and distinct() is there for those who do."""
+    return configured.select("ip_address").union(subnet_edges(subnets))
 
 
 def auto_block(alert_starts: DataFrame, whitelist: DataFrame, blacklist: DataFrame,
