@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("detection", "alerting", "macroflows")
+MODULES = ("detection", "alerting", "macroflows", "reputation", "reporting")
 
 
 def _entries() -> dict[str, tuple]:
