@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("detection", "alerting", "macroflows", "reputation", "reporting")
+MODULES = ("detection", "alerting", "macroflows", "preparation", "reputation", "reporting", "evaluation")
 
 
 def _entries() -> dict[str, tuple]:

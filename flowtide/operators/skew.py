@@ -28,15 +28,15 @@ def attach(big: DataFrame, per_key: DataFrame, keys: Sequence[str], count_col: s
     values = [c for c in per_key.columns if c not in keys]
     # One struct keeps both branches on the same aggregate, so its shuffle is reused.
     packed = per_key.select(*[col(k) for k in keys],
-                            F.struct(*[col(v) for v in values]).alias("_v"))
-    is_hot = F.col(f"_v.`{count_col}`") > F.lit(hot_rows)
+                            F.struct(*[col(v) for v in values]).alias("__v"))
+    is_hot = F.col(f"__v.`{count_col}`") > F.lit(hot_rows)
     hot = F.broadcast(packed.filter(is_hot))
     cold = packed.filter(~is_hot)
-    added = [F.col(f"_v.`{v}`").alias(v) for v in values]
+    added = [F.col(f"__v.`{v}`").alias(v) for v in values]
     own = [col(c) for c in big.columns]
     hot_rows_df = big.join(hot, keys, "inner").select(*own, *added)
-    unhot = big.join(hot.select(*[col(k) for k in keys], F.col("_v").alias("_h")), keys, "left")
-    cold_rows_df = (unhot.filter(F.col("_h").isNull()).drop("_h")
+    unhot = big.join(hot.select(*[col(k) for k in keys], F.col("__v").alias("__hot")), keys, "left")
+    cold_rows_df = (unhot.filter(F.col("__hot").isNull()).drop("__hot")
                     .join(cold, keys, "left").select(*own, *added))
     return hot_rows_df.unionByName(cold_rows_df)
 
