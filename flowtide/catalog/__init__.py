@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("detection", "alerting", "macroflows", "preparation", "reputation", "reporting", "evaluation")
+MODULES = ("detection", "alerting", "macroflows", "preparation", "reputation", "reporting", "evaluation", "live")
 
 
 def _entries() -> dict[str, tuple]:

@@ -1,0 +1,93 @@
+"""NEW and ESCALATION events from a live stream, with per-key state."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator, Sequence
+
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from flowtide.operators.alerts import ESCALATION_LEVELS, KEY, WINDOW_MINUTES
+from flowtide.operators.gaps import slot_of
+
+_PARTIAL = ("source_ip string, threat_type string, slot bigint, n bigint, first_us bigint, last_us bigint, "
+            "head array<struct<us: bigint, id: bigint>>, created_at timestamp")
+_STATE = "alert_id bigint, occurrences bigint, last_us bigint"
+_EVENTS = ("source_ip string, threat_type string, kind string, occurrence bigint, alert_id bigint, id bigint, "
+           "created_us bigint")
+
+
+def _combine(deepest: int):
+    """Collapse the rows of an Arrow batch to one row per key and slot, keeping the earliest ids.
+
+    Only the first ``deepest`` events of an alert can trigger anything, so a flood shrinks to a
+    short list per task before it is shuffled.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if batch.empty:
+                continue
+            batch = batch.sort_values(["us", "id"], kind="stable")
+            grouped = batch.groupby([*KEY, "slot"], sort=False)
+            out = grouped.agg(n=("us", "size"), first_us=("us", "min"), last_us=("us", "max"),
+                              created_at=("created_at", "max")).reset_index()
+            heads = grouped.head(deepest)
+            pairs = pd.Series([{"us": u, "id": i} for u, i in zip(heads["us"].tolist(), heads["id"].tolist())],
+                              index=heads.index, name="head")
+            lists = pairs.groupby([heads[c] for c in (*KEY, "slot")], sort=False).agg(list).reset_index()
+            merged = out.merge(lists, on=[*KEY, "slot"])
+            yield merged[[*KEY, "slot", "n", "first_us", "last_us", "head", "created_at"]]
+    return run
+
+
+def _advance(window_us: int, levels: Sequence[int], deepest: int, keep_ms: int):
+    """Fold slot rows into the key's open alert and emit what they trigger."""
+    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        slots: dict[int, list] = {}
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                known = slots.setdefault(row.slot, [0, row.first_us, row.last_us, []])
+                known[0] += row.n
+                known[1], known[2] = min(known[1], row.first_us), max(known[2], row.last_us)
+                pairs = known[3] + [(h["us"], h["id"]) for h in row.head]
+                known[3] = sorted(pairs)[:deepest]
+        alert_id, seen, last = state.get if state.exists else (None, 0, None)
+        events = []
+        for slot in sorted(slots):
+            n, first_us, last_us, head = slots[slot]
+            if last is None or first_us - last > window_us:
+                alert_id, seen = head[0][1], 0
+                events.append((*key, "NEW", 1, alert_id, head[0][1], head[0][0]))
+            for level in levels:
+                if seen < level <= seen + n:
+                    us, who = head[level - seen - 1]
+                    events.append((*key, "ESCALATION", level, alert_id, who, us))
+            seen += n
+            last = last_us if last is None else max(last, last_us)
+        state.update((int(alert_id), int(seen), int(last)))
+        state.setTimeoutTimestamp(max(last // 1000 + keep_ms, state.getCurrentWatermarkMs() + 1))
+        if events:
+            yield pd.DataFrame(events, columns=[*KEY, "kind", "occurrence", "alert_id", "id", "created_us"])
+    return run
+
+
+def alert_transitions(stream: DataFrame, window_minutes: float = WINDOW_MINUTES, delay: str = "10 minutes",
+                      levels: Sequence[int] = ESCALATION_LEVELS) -> DataFrame:
+    """Emit an event the moment an alert opens or reaches an escalation level.
+
+    State per key is three numbers and leaves once the watermark has passed the window. Rows are
+    combined per task first, so a key's task receives slot summaries, not events.
+    """
+    window_us = int(window_minutes * 60 * 1_000_000)
+    deepest = max(levels)
+    timed = stream.withColumn("created_at", F.col("created_at").cast("timestamp"))
+    slim = timed.select(*KEY, slot_of(F.col("created_at"), window_minutes * 60).alias("slot"),
+                        F.unix_micros("created_at").alias("us"), "id", "created_at")
+    partial = slim.mapInPandas(_combine(deepest), _PARTIAL).withWatermark("created_at", delay)
+    return partial.groupBy(*KEY).applyInPandasWithState(
+        _advance(window_us, tuple(levels), deepest, window_us // 1000), _EVENTS, _STATE, "append",
+        GroupStateTimeout.EventTimeTimeout)
