@@ -5,7 +5,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("detection", "alerting", "macroflows", "preparation", "reputation", "reporting", "evaluation", "live")
+MODULES = ("detection", "alerting", "macroflows", "preparation", "reputation", "reporting", "evaluation",
+           "training", "live", "files")
 
 
 def _entries() -> dict[str, tuple]:

@@ -72,7 +72,7 @@ def flows_from_frame(df: DataFrame, max_rows: int | None = None,
                 number("protocol")]
     features = []
     for name in feature_columns(df, found):
-        if name in IDENTITY_COLUMNS or name in keep:
+        if name.lower() in IDENTITY_COLUMNS or name in keep:
             continue
         value = as_double(col(name))
         features.append(F.when(~F.isnan(value), value).alias(name))

@@ -68,8 +68,14 @@ SUBSCRIBER_STATES = ("pending", "approved")
 IDENTITY_COLUMNS = ("src_ip", "dst_ip", "src_port", "dst_port", "protocol")
 
 
-def _table(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {"BIGINT": T.LongType, "INT": T.IntegerType, "DOUBLE": T.DoubleType, "STRING": T.StringType,
+          "BOOLEAN": T.BooleanType, "TIMESTAMP": T.TimestampType}
+
+
+def _table(columns: str) -> T.StructType:
+    """Schema from ``name TYPE, ...``; needs no session, so importing stays cheap anywhere."""
+    pairs = [c.rsplit(" ", 1) for c in columns.split(", ")]
+    return T.StructType([T.StructField(name, _TYPES[kind]()) for name, kind in pairs])
 
 
 DETECTIONS = _table(
@@ -92,8 +98,7 @@ MODELS = _table(
 SUBSCRIBERS = _table(
     "id BIGINT, chat_id STRING, label STRING, is_active BOOLEAN, status STRING, created_at TIMESTAMP")
 SETTINGS = _table("key STRING, value STRING, updated_at TIMESTAMP")
-LABELLED_FLOWS = _table(
-    ", ".join(f"`{name}` DOUBLE" for name in FEATURES) + ", Label STRING")
+LABELLED_FLOWS = _table(", ".join(f"{name} DOUBLE" for name in FEATURES) + ", Label STRING")
 
 # Values taken by columns that older files lack.
 COLUMN_DEFAULTS = {
