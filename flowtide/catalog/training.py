@@ -54,8 +54,8 @@ def cleaned(spark, sf):
 def compare(spark, sf):
     """Both learners on the held-out part: per-class reports."""
     f = _labelled(spark, sf).drop("l_orderkey", "l_linenumber")
-    _, _, matrices = training.train_and_compare(f, scratch_path(spark, "models"), trees=8, rounds=3,
-                                                forest_depth=5, boost_depth=3)
+    _, _, matrices = training.train_and_compare(f, scratch_path(spark, "models"), trees=5, rounds=2,
+                                                forest_depth=4, boost_depth=2)
     reports = None
     for name in ("random_forest", "boosted"):
         r = evaluate.class_report(matrices.filter(F.col("model") == name)).withColumn("model", F.lit(name))
@@ -67,7 +67,7 @@ def registered(spark, sf):
     """Train, store, load and evaluate a stored forest on all flows."""
     f = _labelled(spark, sf).drop("l_orderkey", "l_linenumber")
     p = training.prepare(f)
-    fitted = training.train_forest(training.scale(p.train, p.scaler), p.features, trees=8, depth=5)
+    fitted = training.train_forest(training.scale(p.train, p.scaler), p.features, trees=5, depth=4)
     path = scratch_path(spark, "registered")
     training.save_model(spark, training.as_flow_model("forest", fitted, p.features, p.classes, p.scaler), path,
                         "random_forest")
@@ -83,7 +83,7 @@ def windows(spark, sf):
 
 
 def macro_models(spark, sf):
-    _, matrices = training.train_macro(windows(spark, sf), FEATURES, trees=8, rounds=3, forest_depth=5, boost_depth=3)
+    _, matrices = training.train_macro(windows(spark, sf), FEATURES, trees=5, rounds=2, forest_depth=4, boost_depth=2)
     return matrices
 
 

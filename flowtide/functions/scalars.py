@@ -43,10 +43,11 @@ def fixed(value: Column, digits: int) -> Column:
     whole = F.floor(product)
     rest = product - whole
     up = (rest > 0.5) | ((rest == 0.5) & ((error > 0) | ((error == 0) & (whole % 2 == 1))))
-    digits_value = (whole + F.when(up, 1).otherwise(0)) / F.lit(scale)
-    sign = F.when(value < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
-    exact = F.when(size < 1e12, digits_value * sign).otherwise(value)
-    return F.format_string(f"%.{digits}f", exact)
+    units = whole + F.when(up, 1).otherwise(0)
+    ten = F.lit(int(scale))
+    text = F.concat(F.when(value < 0, "-").otherwise(""), F.floor(units / ten).cast("string"), F.lit("."),
+                    F.lpad((units % ten).cast("string"), digits, "0"))
+    return F.when(size < 1e11, text).otherwise(F.format_string(f"%.{digits}f", value))
 
 
 def percent(value: Column, digits: int = 1) -> Column:

@@ -62,7 +62,7 @@ def ranked_features(names: Sequence[str], k: int | None = None) -> Column:
         F.struct((-F.abs(F.coalesce(col(n), F.lit(0.0)))).alias("o"), F.lit(i).alias("i"),
                  F.lit(n).alias("name"), F.coalesce(col(n), F.lit(0.0)).alias("value"))
         for i, n in enumerate(names)])
-    ordered = F.array_sort(entries)
+    ordered = F.sort_array(entries)
     return ordered if k is None else F.slice(ordered, 1, k)
 
 
@@ -72,7 +72,7 @@ def ranked_map(bag: Column, k: int | None = None) -> Column:
     indexed = F.transform(entries, lambda e, i: F.struct(
         (-F.abs(e["value"])).alias("o"), i.alias("i"), e["key"].alias("name"),
         e["value"].alias("value")))
-    ordered = F.array_sort(indexed)
+    ordered = F.sort_array(indexed)
     return ordered if k is None else F.slice(ordered, 1, k)
 
 

@@ -19,7 +19,7 @@ def throughput(metrics: DataFrame, counters: Sequence[str] = COUNTERS,
     takes its first predecessor from the slice before.
     """
     cut = Slices(metrics, list(group), ["created_at", "id"], "metric-series", slices)
-    paired = cut.previous(list(counters))
+    paired = cut.done(cut.previous(list(counters)))
     return paired.withColumns({
         c + "_delta": F.coalesce(F.greatest(F.lit(0), F.col(c) - F.col("prev_" + c)), F.lit(0))
         for c in counters}).drop(*["prev_" + c for c in counters])

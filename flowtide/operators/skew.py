@@ -78,50 +78,50 @@ class Slices:
         ranged = df.repartitionByRange(slices, *by) if slices else df.repartitionByRange(*by)
         self.df = durable(ranged.withColumn("_slice", F.spark_partition_id()), label)
 
-    @property
-    def _within(self):
-        return Window.partitionBy("_slice", *self.group).orderBy(*[col(c) for c in self.order])
+    def _within(self, keys: Sequence[str]):
+        return Window.partitionBy("_slice", *keys).orderBy(*[col(c) for c in self.order])
 
-    def _carry(self, *aggs: Column) -> DataFrame:
-        return self.df.groupBy("_slice", *self.group).agg(*aggs)
-
-    def _before(self):
-        # One row per (group, slice): bounded by the number of slices.
-        return (Window.partitionBy(*[col(g) for g in self.group]).orderBy("_slice")
-                .rowsBetween(Window.unboundedPreceding, -1))
-
-    def _join_carry(self, rows: DataFrame, carry: DataFrame) -> DataFrame:
-        return rows.join(carry, ["_slice", *self.group], "left")
+    def _carried(self, keys: Sequence[str], summary: Column, fold) -> DataFrame:
+        """Per slice and group, ``fold`` over the summaries of all earlier slices as ``_before``.
+        The window sees one row per slice, so it is bounded by the number of slices."""
+        earlier = (Window.partitionBy(*[col(g) for g in keys]).orderBy("_slice")
+                   .rowsBetween(Window.unboundedPreceding, -1))
+        per_slice = self.df.groupBy("_slice", *keys).agg(summary.alias("_s"))
+        return per_slice.withColumn("_before", fold("_s").over(earlier)).drop("_s")
 
     def numbered(self, name: str) -> DataFrame:
         """1-based position inside the group."""
-        carry = (self._carry(F.count(F.lit(1)).alias("_n"))
-                 .withColumn("_prior", F.coalesce(F.sum("_n").over(self._before()), F.lit(0)))
-                 .drop("_n"))
-        rows = self.df.withColumn("_rn", F.row_number().over(self._within))
-        return (self._join_carry(rows, carry)
-                .withColumn(name, (F.col("_prior") + F.col("_rn")).cast("long"))
-                .drop("_rn", "_prior", "_slice"))
-
-    def previous(self, columns: Sequence[str], prefix: str = "prev_") -> DataFrame:
-        """Values of the preceding row of the group (null for the first)."""
+        carry = self._carried(self.group, F.count(F.lit(1)), F.sum)
+        rows = self.df.withColumn("_rn", F.row_number().over(self._within(self.group)))
+        position = F.coalesce("_before", F.lit(0)) + F.col("_rn")
+        return (rows.join(carry, ["_slice", *self.group], "left")
+                .withColumn(name, position.cast("long")).drop("_rn", "_before", "_slice"))
+
+    def previous(self, columns: Sequence[str], prefix: str = "prev_", within: Sequence[str] = (),
+                 rows: DataFrame | None = None) -> DataFrame:
+        """Add the values of the preceding row of the group (null for the first). ``within``
+        narrows the group further without slicing again. ``rows`` may be an earlier result of
+        this method; the slice number stays until ``done``."""
+        keys = [*self.group, *within]
         packed = F.struct(*[col(c) for c in columns])
-        last = F.max_by(packed, F.struct(*[col(c) for c in self.order])).alias("_last")
-        carry = (self._carry(last)
-                 .withColumn("_carried", F.last("_last", ignorenulls=True).over(self._before()))
-                 .drop("_last"))
-        rows = self.df.withColumn("_lag", F.lag(packed).over(self._within))
-        joined = self._join_carry(rows, carry).withColumn("_p", F.coalesce("_lag", "_carried"))
-        out = [col(c) for c in self.df.columns if c != "_slice"]
-        return joined.select(*out, *[F.col(f"_p.`{c}`").alias(prefix + c) for c in columns])
+        last = F.max_by(packed, F.struct(*[col(c) for c in self.order]))
+        carry = self._carried(keys, last, lambda c: F.last(c, ignorenulls=True))
+        base = self.df if rows is None else rows
+        lagged = base.withColumn("_lag", F.lag(packed).over(self._within(keys)))
+        joined = (lagged.join(carry, ["_slice", *keys], "left")
+                  .withColumn("_p", F.coalesce("_lag", "_before")))
+        return joined.select(*[col(c) for c in base.columns],
+                             *[F.col(f"_p.`{c}`").alias(prefix + c) for c in columns])
 
     def running_sum(self, column: str, name: str) -> DataFrame:
         """Inclusive running total inside the group."""
-        carry = (self._carry(F.sum(col(column)).alias("_s"))
-                 .withColumn("_prior", F.coalesce(F.sum("_s").over(self._before()), F.lit(0)))
-                 .drop("_s"))
-        rows = self.df.withColumn(
-            "_run", F.sum(col(column)).over(
-                self._within.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-        return (self._join_carry(rows, carry).withColumn(name, F.col("_prior") + F.col("_run"))
-                .drop("_run", "_prior", "_slice"))
+        carry = self._carried(self.group, F.sum(col(column)), F.sum)
+        upto = self._within(self.group).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        rows = self.df.withColumn("_run", F.sum(col(column)).over(upto))
+        return (rows.join(carry, ["_slice", *self.group], "left")
+                .withColumn(name, F.coalesce("_before", F.lit(0)) + F.col("_run"))
+                .drop("_run", "_before", "_slice"))
+
+    @staticmethod
+    def done(rows: DataFrame) -> DataFrame:
+        return rows.drop("_slice")

@@ -30,7 +30,8 @@ def with_connection(packets: DataFrame) -> DataFrame:
     there = F.struct(F.col("dst_ip").alias("ip"), F.col("dst_port").alias("port"))
     low, high = F.least(here, there), F.greatest(here, there)
     return packets.withColumns({
-        "a_ip": low["ip"], "a_port": low["port"], "b_ip": high["ip"], "b_port": high["port"]})
+        "a_ip": low["ip"], "a_port": low["port"], "b_ip": high["ip"], "b_port": high["port"],
+        "from_a": here == low})
 
 
 def _stats(value: Column, when: Column | None, prefix: str, mean: str, std: str, high: str, low: str):
@@ -56,11 +57,11 @@ def flows(packets: DataFrame, ts: str = "ts", order: Sequence[str] = ("packet_no
     endpoints = F.struct("src_ip", "src_port", "dst_ip", "dst_port")
     heads = cut.df.groupBy(*FLOW).agg(
         F.min_by(endpoints, F.struct(*sequence)).alias("first"), F.count(F.lit(1)).alias("packets"))
-    timed = cut.previous([ts], "prev_")
-    # Direction against the flow's first packet, then the gap inside each direction.
-    marked = attach(timed, heads, FLOW, "packets").withColumn(
+    paced = cut.previous([ts], "prev_")
+    paced = cut.done(cut.previous([ts], "same_", ["from_a"], paced))
+    # Forward is the direction of the flow's first packet.
+    directed = attach(paced, heads, FLOW, "packets").withColumn(
         "fwd", (F.col("src_ip") == F.col("first.src_ip")) & (F.col("src_port") == F.col("first.src_port")))
-    directed = Slices(marked, [*FLOW, "fwd"], sequence, "directed", slices).previous([ts], "same_")
     gap = micros(F.col(ts)) - micros(F.col("prev_" + ts))
     same = micros(F.col(ts)) - micros(F.col("same_" + ts))
     ready = directed.withColumns({"_gap": gap, "_same": same})
@@ -99,7 +100,7 @@ def flows(packets: DataFrame, ts: str = "ts", order: Sequence[str] = ("packet_no
         *_stats(F.when(F.col("_gap") > int(activity * 1e6), F.col("_gap")), every, "Idle ", "Mean", "Std", "Max", "Min"),
     ]
     grouped = ready.groupBy(*FLOW).agg(*aggs)
-    active = _active(tagged, ts, activity)
+    active = _active(cut.df.drop("_slice"), ts, activity)
     return _derived(grouped.join(active, FLOW, "left"))
 
 
@@ -142,11 +143,10 @@ def flow_stream(packets: DataFrame, ts: str = "ts", idle: float = IDLE_SECONDS,
     from flowtide.streaming.windows import merge_locally
     merge_locally(packets.sparkSession)
     timed = with_connection(packets).withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
-    from_a = F.col("src_ip") == F.col("a_ip")
     flags = [F.count_if(F.col("tcp_flags").bitwiseAND(F.lit(bit)) != 0).alias(f"{name} Flag Count")
              for name, bit in FLAGS.items()]
     return timed.groupBy(*CONNECTION, F.session_window(ts, f"{int(idle)} seconds").alias("_w")).agg(
         F.min(ts).alias("flow_start"), (F.unix_micros(F.max(ts)) - F.unix_micros(F.min(ts))).alias("Flow Duration"),
-        F.count(F.lit(1)).alias("packets"), F.count_if(from_a).alias("packets_a"),
+        F.count(F.lit(1)).alias("packets"), F.count_if("from_a").alias("packets_a"),
         F.sum("payload_len").alias("bytes"), F.max("payload_len").alias("Max Packet Length"),
         F.min("payload_len").alias("Min Packet Length"), *flags).drop("_w")
