@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from flowtide.schemas import col
 
@@ -103,7 +103,7 @@ def is_ipv4(address: Column) -> Column:
     return F.trim(address).rlike(IPV4_PATTERN)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _is_ipv6(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     import ipaddress
 

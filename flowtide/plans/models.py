@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from flowtide.schemas import col
 
@@ -54,7 +54,7 @@ def ml_scorer(model: PipelineModel, probability: str = "probability",
 def pandas_scorer(features: Sequence[str], predict: Callable[[pd.DataFrame], "object"]) -> Scorer:
     """Score with a foreign model. ``predict`` maps a frame of features to a matrix of
     probabilities; Arrow batches keep Python off the per-row path."""
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         for batch in batches:
             batch.columns = list(features)
