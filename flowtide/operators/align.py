@@ -13,6 +13,8 @@ from flowtide.schemas import IDENTITY_COLUMNS, col
 NON_FEATURES = frozenset({"label", "timestamp", "flow id", "prediction", "confidence", "severity"})
 
 UNKNOWN_ADDRESS = "Unknown"
+# Feature objects spelling more keys than this are not flow features.
+MAX_SPELLINGS = 10_000
 
 
 def as_double(value: Column) -> Column:
@@ -151,8 +153,10 @@ def align_json(df: DataFrame, json_col: str, required: Sequence[str], keep: Sequ
     """
     bag = F.from_json(col(json_col), "map<string,double>")
     parsed = df.withColumn("_bag", bag)
-    spelled = [r[0] for r in parsed.select(F.explode(F.map_keys("_bag")).alias("k"))
-               .distinct().orderBy("k").collect()]
+    names = parsed.select(F.explode(F.map_keys("_bag")).alias("k")).distinct()
+    spelled = sorted(r[0] for r in names.limit(MAX_SPELLINGS + 1).collect())
+    if len(spelled) > MAX_SPELLINGS:
+        raise ValueError(f"{json_col} holds over {MAX_SPELLINGS} different keys: not feature names")
     wide = parsed.select(*[col(k) for k in keep],
                          *[F.col("_bag").getItem(s).alias(f"f:{i}") for i, s in enumerate(spelled)])
     back = {s: f"f:{i}" for i, s in enumerate(spelled)}

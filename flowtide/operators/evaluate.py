@@ -231,12 +231,12 @@ def feature_categories(features: DataFrame, column: str = "feature") -> DataFram
 
 
 def exact_split(df: DataFrame, label: str, identity: Sequence[str], share: float = 0.2,
-                seed: int = 42, buckets: int = 4096) -> DataFrame:
+                seed: int = 42, buckets: int = 1 << 20) -> DataFrame:
     """Add ``is_test``: exactly round(share * n) rows of every class, chosen by a seeded hash.
 
     Per class only the bucket holding the cut is ranked row by row; buckets below it are test,
     above it train. Bucket sizes come from a map-side combined count, so a class of any size is
-    spread over thousands of buckets.
+    spread over a million buckets.
     """
     from flowtide.operators.skew import attach
     hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), *identity)).withColumn(

@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from flowtide.functions.messages import escalation_message, threat_message
 from flowtide.functions.scalars import is_chat_id
 from flowtide.operators.decide import severity_of
 
-FAN_OUT = 16
-
 
 def recipients(subscribers: DataFrame, fallback: Sequence[str] = ()) -> DataFrame:
     """Approved, active chats. The fallback list applies only while nobody is registered."""
@@ -30,7 +28,7 @@ def valid_chats(subscribers: DataFrame) -> DataFrame:
     return subscribers.filter(is_chat_id(F.col("chat_id")))
 
 
-def severity_shown() -> "F.Column":
+def severity_shown() -> Column:
     """Severity stored with the detection, else the confidence band."""
     stored = F.upper(F.when(F.col("severity") != "", F.col("severity")))
     return F.coalesce(stored, severity_of(F.col("confidence"), F.lit(True)))
@@ -42,12 +40,13 @@ def compose(events: DataFrame, chats: DataFrame, product: str = "Flow analytics"
     ``events`` carries kind (NEW or ESCALATION), alert_id, occurrence, source_ip, threat_type,
     destination_ip, model_name, confidence, source_type, severity, reason and created_at. The
     text is built once per event; each event then meets the recipients through a lane number,
-    so fan-out is spread evenly whatever the alert keys look like.
+    so fan-out is spread evenly over the shuffle whatever the alert keys look like.
     """
+    lane_count = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texted = events.withColumn("event_time", F.col("created_at")).withColumn("severity", severity_shown())
     message = (F.when(F.col("kind") == "NEW", threat_message(F.col("severity"), product))
                .otherwise(escalation_message(F.col("severity"), product)))
-    lanes = chats.withColumn("_lane", F.explode(F.sequence(F.lit(0), F.lit(FAN_OUT - 1))))
+    lanes = chats.withColumn("_lane", F.explode(F.sequence(F.lit(0), F.lit(lane_count - 1))))
     return (texted.withColumn("message", message)
-            .withColumn("_lane", F.pmod(F.xxhash64("id", "kind"), F.lit(FAN_OUT)).cast("int"))
+            .withColumn("_lane", F.pmod(F.xxhash64("id", "kind"), F.lit(lane_count)).cast("int"))
             .join(lanes, "_lane").drop("_lane", "event_time"))

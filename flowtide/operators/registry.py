@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowtide.operators.skew import lookup
 
@@ -16,12 +16,12 @@ def resolve_model_name(df: DataFrame, models: DataFrame, model_id: str = "model_
 
 
 def register(models: DataFrame, additions: DataFrame) -> DataFrame:
-    """Add models under new names; a name already taken is an error."""
+    """Add models under new names; a name already taken is an error. Additions are the few rows an
+    operator registers at once, so numbering them in one window is fine."""
     clash = additions.join(models.select("name"), "name", "left_semi").limit(1).collect()
     if clash:
         raise ValueError(f"model name already registered: {clash[0]['name']}")
     start = models.agg(F.coalesce(F.max("id"), F.lit(0)))
-    from pyspark.sql import Window
     order = F.row_number().over(Window.orderBy("name"))
     fresh = additions.withColumn("id", (start.scalar() + order).cast("long"))
     return models.unionByName(fresh, allowMissingColumns=True)

@@ -53,6 +53,8 @@ def lookup(big: DataFrame, dimension: DataFrame, key: str, max_rows: int = BROAD
     as many rows to check instead."""
     if is_bounded(dimension if bound_on is None else bound_on, max_rows):
         return big.join(F.broadcast(dimension), key, "left")
+    if big.isStreaming:
+        return big.join(dimension, key, "left")
     counts = big.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     per_key = counts.join(dimension, key, "left")
     null_key = big.filter(col(key).isNull())

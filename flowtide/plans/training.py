@@ -80,7 +80,9 @@ def _assembler(features: Sequence[str]) -> VectorAssembler:
 
 
 def positional(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    return df.withColumns({f"x{i}": col(f) for i, f in enumerate(features)})
+    """Training columns only: inputs x0.., the target and its weight when there is one."""
+    extra = [c for c in ("y", "weight") if c in df.columns]
+    return df.select(*[col(f).alias(f"x{i}") for i, f in enumerate(features)], *extra)
 
 
 def train_forest(df: DataFrame, features: Sequence[str], trees: int = 150, depth: int = MAX_TREE_DEPTH,
@@ -105,14 +107,16 @@ def as_flow_model(name: str, fitted: PipelineModel, features: Sequence[str], cla
                   threshold: float = 0.5) -> FlowModel:
     """Wrap a fitted pipeline so raw aligned features can be scored: scaling happens inside."""
     run = ml_scorer(fitted)
-    temporary = [f"x{i}" for i in range(len(features))]
 
     def score(df: DataFrame) -> DataFrame:
-        inputs = {}
+        inputs = []
         for i, f in enumerate(features):
             m, s = scaler[f] if scaler else (0.0, 1.0)
-            inputs[f"x{i}"] = (col(f) - F.lit(m)) / F.lit(s) if scaler else col(f)
-        return run(df.withColumns(inputs)).drop(*temporary)
+            inputs.append(((col(f) - F.lit(m)) / F.lit(s) if scaler else col(f)).alias(f"x{i}"))
+        # Learners stumble over dots in names, so the row travels under plain ones.
+        names = df.columns
+        plain = df.select(*[col(c).alias(f"k{i}") for i, c in enumerate(names)], *inputs)
+        return run(plain).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(names)], "probability")
 
     return FlowModel(name, list(features), list(classes), score, model_id, threshold,
                      {"fitted": fitted, "scaler": scaler or {}})

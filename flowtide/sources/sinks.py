@@ -9,8 +9,9 @@ from flowtide.operators.reports import filter_logs
 
 
 def append_by_day(df: DataFrame, path: str, time: str = "created_at") -> None:
-    """Append rows partitioned by event day. Rows of one day are spread over several writers."""
-    df.withColumn("day", F.to_date(time)).write.mode("append").partitionBy("day").parquet(path)
+    """Append rows partitioned by event day. Rebalancing merges small days into few files and splits
+    a day that holds most of the rows over several writers."""
+    df.withColumn("day", F.to_date(time)).hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(path)
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int, fmt: str = "parquet") -> None:

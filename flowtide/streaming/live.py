@@ -38,7 +38,8 @@ class LivePipeline:
     def process(self, batch: DataFrame, batch_id: int) -> None:
         """Clean, score and persist one micro-batch."""
         spark = batch.sparkSession
-        flows = align.sanitize(align.flows_from_frame(batch, keep=[self.id_col, self.time_col]))
+        # Kept for the batch's few reads; a lost executor's share is read again from the source.
+        flows = align.sanitize(align.flows_from_frame(batch, keep=[self.id_col, self.time_col])).persist()
         scored, rejected = detect(flows, self.model, self.source_type, [self.id_col, self.time_col], self.lists,
                                   self.min_coverage)
         rows = detection_rows(scored, self.model.features, self.id_col, self.time_col)
@@ -50,6 +51,7 @@ class LivePipeline:
         write_batch(rejected, self.path("rejected"), batch_id)
         write_batch(decide.audit_log(stored), self.path("logs"), batch_id)
         write_batch(alerts.alertable(stored), self.path("alertable"), batch_id)
+        flows.unpersist()
 
     def start(self, stream: DataFrame, once: bool = False, seconds: int = FLUSH_SECONDS) -> StreamingQuery:
         """Run the scoring query; ``once`` drains what is there and stops."""
