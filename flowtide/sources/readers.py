@@ -17,7 +17,7 @@ class EmptyInput(ValueError):
     """The file or frame holds no rows, or cannot be read."""
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """All-text scan with a trimmed header. Types are settled later, per cell, without failing."""
     try:
         df = spark.read.csv(path, header=True, ignoreLeadingWhiteSpace=True,
@@ -47,25 +47,38 @@ def flows_of(df: DataFrame, max_rows: int | None = None) -> DataFrame:
 def read_labelled(spark: SparkSession, paths: Sequence[str], label: str = "Label") -> DataFrame:
     """Labelled CSV files merged by column name; unreadable files are left out, and having none
     left is an error. Feature cells that are not numbers become null."""
-    frames, problems = [], []
+    layouts: dict[tuple[str, ...], list[str]] = {}
+    problems = []
     for path in paths:
         try:
-            frame = read_csv(spark, path)
+            columns = tuple(read_csv(spark, path).columns)
         except EmptyInput as exc:
             problems.append(str(exc))
             continue
-        if label not in frame.columns:
+        if label not in columns:
             problems.append(f"{path} lacks {label}")
             continue
-        frames.append(frame)
-    if not frames:
+        layouts.setdefault(columns, []).append(path)
+    if not layouts:
         raise EmptyInput("no usable file: " + "; ".join(problems))
-    merged = frames[0]
-    for frame in frames[1:]:
-        merged = merged.unionByName(frame, allowMissingColumns=True)
+    # One scan per distinct header, so thousands of like files stay one scan.
+    merged = None
+    for columns, files in layouts.items():
+        frame = read_csv(spark, files)
+        merged = frame if merged is None else merged.unionByName(frame, allowMissingColumns=True)
     return typed(merged, label)
 
 
+def read_labelled_folder(spark: SparkSession, folder: str, label: str = "Label") -> DataFrame:
+    """Every CSV file of a folder, merged as above. Only file names are listed up front."""
+    try:
+        found = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder)
+        paths = sorted(r[0] for r in found.filter("length > 0").select("path").collect())
+    except AnalysisException as exc:
+        raise EmptyInput(f"cannot list {folder}: {exc}") from exc
+    return read_labelled(spark, paths, label)
+
+
 def typed(df: DataFrame, label: str = "Label") -> DataFrame:
     """Everything but the label as double; the label trimmed and repaired."""
     return df.select(*[align.as_double(col(c)).alias(c) for c in df.columns if c != label],

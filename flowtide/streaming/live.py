@@ -31,6 +31,7 @@ class LivePipeline:
     id_col: str = "flow_id"
     time_col: str = "created_at"
     min_coverage: float = 0.5
+    late_after_seconds: float | None = None
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -38,6 +39,8 @@ class LivePipeline:
     def process(self, batch: DataFrame, batch_id: int) -> None:
         """Clean, score and persist one micro-batch."""
         spark = batch.sparkSession
+        if self.late_after_seconds is not None:
+            batch = self._set_late_aside(batch, batch_id)
         # Kept for the batch's few reads; a lost executor's share is read again from the source.
         flows = align.sanitize(align.flows_from_frame(batch, keep=[self.id_col, self.time_col])).persist()
         scored, rejected = detect(flows, self.model, self.source_type, [self.id_col, self.time_col], self.lists,
@@ -53,6 +56,21 @@ class LivePipeline:
         write_batch(alerts.alertable(stored), self.path("alertable"), batch_id)
         flows.unpersist()
 
+    def _set_late_aside(self, batch: DataFrame, batch_id: int) -> DataFrame:
+        """Rows older than the newest event of earlier batches minus the allowance go to the
+        ``late`` table instead of being scored; none is lost."""
+        spark = batch.sparkSession
+        newest = batch.agg(F.max(self.time_col).alias("newest"))
+        write_batch(newest, self.path("progress"), batch_id)
+        earlier = spark.read.parquet(self.path("progress")).filter(F.col("batch_id") < batch_id)
+        edge = earlier.agg(F.max("newest")).first()[0]
+        if edge is None:
+            return batch
+        allowed = F.lit(edge) - F.make_dt_interval(secs=F.lit(float(self.late_after_seconds)))
+        on_time, late = late_rows(batch, self.time_col, allowed)
+        write_batch(late, self.path("late"), batch_id)
+        return on_time
+
     def start(self, stream: DataFrame, once: bool = False, seconds: int = FLUSH_SECONDS) -> StreamingQuery:
         """Run the scoring query; ``once`` drains what is there and stops."""
         writer = (stream.writeStream.queryName("live-scoring").foreachBatch(self.process)
@@ -92,7 +110,7 @@ def progress(query: StreamingQuery) -> dict:
 
 def late_rows(batch: DataFrame, time_col: str, watermark) -> tuple[DataFrame, DataFrame]:
     """(on time, late) rows of a micro-batch relative to a watermark."""
-    late = F.col(time_col) < watermark
+    late = F.coalesce(F.col(time_col) < watermark, F.lit(False))
     return batch.filter(~late), batch.filter(late)
 
 

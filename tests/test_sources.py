@@ -46,6 +46,16 @@ def test_labelled_files_merge_and_bad_ones_are_skipped(spark, tmp_path):
         readers.read_labelled(spark, [c])
 
 
+def test_folder_of_labelled_files(spark, tmp_path):
+    for i in range(3):
+        write(tmp_path / f"{i}.csv", f"x,Label\n{i},BENIGN\n")
+    write(tmp_path / "other.csv", "y,Label\n9,DDoS\n")
+    write(tmp_path / "empty.csv", "")
+    got = readers.read_labelled_folder(spark, str(tmp_path)).orderBy("x").collect()
+    assert sorted((r.x, r.y, r.Label) for r in got if r.x is not None) == [(float(i), None, "BENIGN") for i in range(3)]
+    assert [(r.y, r.Label) for r in got if r.x is None] == [(9.0, "DDoS")]
+
+
 def test_exporter_features(spark):
     df = spark.createDataFrame([(" 1.1.1.1", None, "80.0", "443", "6", "x", "9")],
                                "src_ip string, dst_ip string, src_port string, dst_port string, protocol string, "

@@ -101,6 +101,17 @@ def test_live_pipeline(spark):
     assert spark.read.parquet(job.path("detections")).count() == 90
 
 
+def test_late_rows_are_stored_apart(spark):
+    rows = spark.range(40).selectExpr(
+        "id AS flow_id", "timestamp_micros(1704067200000000 + CASE WHEN id = 35 THEN 0 ELSE id * 60000000 END) "
+        "AS created_at", "'1.1.1.1' AS `Src IP`", "1D AS `SYN Flag Count`")
+    model = FlowModel("m", ["SYN Flag Count"], ["BENIGN", "SYN Flood"], rule_scorer("array(0.5D, 0.5D)"))
+    job = live.LivePipeline(model, scratch_path(spark, "late-test"), late_after_seconds=120)
+    job.start(staged(spark, rows, "flow_id", 4, "late-in"), once=True).awaitTermination()
+    assert [r.flow_id for r in spark.read.parquet(job.path("late")).collect()] == [35]
+    assert spark.read.parquet(job.path("detections")).count() == 39
+
+
 def test_late_rows_are_set_aside(spark):
     batch = alert_rows(spark, 10)
     on_time, late = live.late_rows(batch, "created_at", F.lit(T0 + dt.timedelta(seconds=100)))
