@@ -11,18 +11,19 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from flowtide.operators.alerts import ESCALATION_LEVELS, KEY, WINDOW_MINUTES
 from flowtide.operators.gaps import slot_of
 
-_PARTIAL = ("source_ip string, threat_type string, slot bigint, n bigint, first_us bigint, last_us bigint, "
-            "head array<struct<us: bigint, id: bigint>>, created_at timestamp")
+_PARTIAL = ("source_ip string, threat_type string, slot bigint, us bigint, id bigint, n bigint, last_us bigint, "
+            "created_at timestamp")
 _STATE = "alert_id bigint, occurrences bigint, last_us bigint"
 _EVENTS = ("source_ip string, threat_type string, kind string, occurrence bigint, alert_id bigint, id bigint, "
            "created_us bigint")
 
 
 def _combine(deepest: int):
-    """Collapse the rows of an Arrow batch to one row per key and slot, keeping the earliest ids.
+    """Keep the earliest rows of every key and slot in an Arrow batch.
 
-    Only the first ``deepest`` events of an alert can trigger anything, so a flood shrinks to a
-    short list per task before it is shuffled.
+    Only the first ``deepest`` events of an alert can trigger anything, so a flood shrinks to that
+    many rows per task before it is shuffled. The first row kept stands for all the others: it
+    carries the group's size ``n`` and latest time; the rest carry 0.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -30,14 +31,10 @@ def _combine(deepest: int):
                 continue
             batch = batch.sort_values(["us", "id"], kind="stable")
             grouped = batch.groupby([*KEY, "slot"], sort=False)
-            out = grouped.agg(n=("us", "size"), first_us=("us", "min"), last_us=("us", "max"),
-                              created_at=("created_at", "max")).reset_index()
-            heads = grouped.head(deepest)
-            pairs = pd.Series([{"us": u, "id": i} for u, i in zip(heads["us"].tolist(), heads["id"].tolist())],
-                              index=heads.index, name="head")
-            lists = pairs.groupby([heads[c] for c in (*KEY, "slot")], sort=False).agg(list).reset_index()
-            merged = out.merge(lists, on=[*KEY, "slot"])
-            yield merged[[*KEY, "slot", "n", "first_us", "last_us", "head", "created_at"]]
+            rank = grouped.cumcount()
+            batch["n"] = grouped["us"].transform("size").where(rank == 0, 0)
+            batch["last_us"] = grouped["us"].transform("max")
+            yield batch.loc[rank < deepest, [*KEY, "slot", "us", "id", "n", "last_us", "created_at"]]
     return run
 
 
@@ -49,17 +46,18 @@ def _advance(window_us: int, levels: Sequence[int], deepest: int, keep_ms: int):
             return
         slots: dict[int, list] = {}
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                known = slots.setdefault(row.slot, [0, row.first_us, row.last_us, []])
-                known[0] += row.n
-                known[1], known[2] = min(known[1], row.first_us), max(known[2], row.last_us)
-                pairs = known[3] + [(h["us"], h["id"]) for h in row.head]
-                known[3] = sorted(pairs)[:deepest]
+            columns = (batch[c].tolist() for c in ("slot", "us", "id", "n", "last_us"))
+            for slot, us, who, n, last_us in zip(*columns):
+                known = slots.setdefault(slot, [0, last_us, []])
+                known[0] += n
+                known[1] = max(known[1], last_us)
+                known[2].append((us, who))
         alert_id, seen, last = state.get if state.exists else (None, 0, None)
         events = []
         for slot in sorted(slots):
-            n, first_us, last_us, head = slots[slot]
-            if last is None or first_us - last > window_us:
+            n, last_us, head = slots[slot]
+            head = sorted(head)[:deepest]
+            if last is None or head[0][0] - last > window_us:
                 alert_id, seen = head[0][1], 0
                 events.append((*key, "NEW", 1, alert_id, head[0][1], head[0][0]))
             for level in levels:
