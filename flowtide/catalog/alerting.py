@@ -8,6 +8,8 @@ from flowtide import driver_tables as dt
 from flowtide.catalog import _shared as sh
 from flowtide.catalog.ansi import sql
 from flowtide.operators import alerts, outbox
+from flowtide.operators.decide import severity_of
+from flowtide.operators.registry import resolve_model_name
 
 W = dt.ALERT_WINDOW_MINUTES
 _ALERT_COLS = ["source_ip", "threat_type", "detection_id", "occurrences", "first_seen", "last_seen",
@@ -68,11 +70,9 @@ def active_count(spark, sf):
 def with_detection(spark, sf):
     opened = dt.detections(spark, sf).select(
         F.col("id").alias("detection_id"), "destination_ip", "confidence", "model_id")
-    names = dt.models(spark, sf).select(F.col("id").alias("model_id"), "name")
     joined = sh.stored_alerts(spark, sf).join(opened, "detection_id", "left")
-    return (joined.join(names, "model_id", "left")
-            .select("detection_id", "threat_type", "destination_ip", "confidence",
-                    F.coalesce("name", F.concat(F.lit("Model ID: "), "model_id")).alias("model")))
+    return resolve_model_name(joined, dt.models(spark, sf), prefix="Model ID: ").select(
+        "detection_id", "threat_type", "destination_ip", "confidence", F.col("model_name").alias("model"))
 
 
 def upsert(spark, sf):
@@ -104,8 +104,6 @@ def outgoing(spark, sf):
 
 
 def _graded(spark, sf):
-    from flowtide.operators.decide import severity_of
-    from flowtide.operators.registry import resolve_model_name
     named = resolve_model_name(sh.alertable(spark, sf), dt.models(spark, sf))
     severity = F.when(F.col("is_blacklisted"), "CRITICAL").otherwise(
         severity_of(F.col("confidence"), F.col("prediction") != 0))

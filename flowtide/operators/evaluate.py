@@ -60,7 +60,7 @@ def confusion(df: DataFrame, actual: str = "actual", predicted: str = "predicted
     names = F.array(*[F.lit(c).cast(kind) for c in classes])
     grid = (spark.range(1).select(F.explode(names).alias("actual"))
             .select("actual", F.explode(names).alias("predicted")))
-    return (F.broadcast(grid).join(counts, ["actual", "predicted"], "left")
+    return (grid.join(counts, ["actual", "predicted"], "left")
             .withColumn("n", F.coalesce("n", F.lit(0))))
 
 

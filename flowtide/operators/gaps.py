@@ -26,16 +26,17 @@ def slot_of(ts: Column, gap_seconds: float) -> Column:
 
 
 def with_sessions(slots: DataFrame, keys: Sequence[str], gap_seconds: float,
-                  n: str = "n", first: str = "first_seen", last: str = "last_seen") -> DataFrame:
+                  n: str = "n", first: str = "first_seen", last: str = "last_seen",
+                  slot: str = "slot") -> DataFrame:
     """Number the sessions of slot rows and add the events of earlier slots of the session
     (``prior``). A pause of exactly the gap still continues the session."""
     gap = int(gap_seconds * 1_000_000)
-    by_key = Window.partitionBy(*[col(k) for k in keys]).orderBy("slot")
+    by_key = Window.partitionBy(*[col(k) for k in keys]).orderBy(slot)
     pause = micros(F.col(first)) - micros(F.lag(last).over(by_key))
     flagged = slots.withColumn("_new", F.when(pause <= gap, F.lit(0)).otherwise(F.lit(1)))
     numbered = flagged.withColumn("session", F.sum("_new").over(
         by_key.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    in_session = (Window.partitionBy(*[col(k) for k in keys], "session").orderBy("slot")
+    in_session = (Window.partitionBy(*[col(k) for k in keys], "session").orderBy(slot)
                   .rowsBetween(Window.unboundedPreceding, -1))
     return (numbered.withColumn("prior", F.coalesce(F.sum(n).over(in_session), F.lit(0)))
             .drop("_new"))
@@ -44,13 +45,12 @@ def with_sessions(slots: DataFrame, keys: Sequence[str], gap_seconds: float,
 def tag_sessions(events: DataFrame, keys: list[str], ts: str, gap_seconds: float,
                  name: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add the start time of the session each event belongs to."""
-    slotted = events.withColumn("slot", slot_of(col(ts), gap_seconds))
-    slots = slotted.groupBy(*[col(k) for k in keys], "slot").agg(
-        F.count(F.lit(1)).alias("n"), F.min(col(ts)).alias("first_seen"),
-        F.max(col(ts)).alias("last_seen"))
-    sessions = with_sessions(slots, keys, gap_seconds)
-    starts = sessions.withColumn(name, F.min("first_seen").over(
+    slotted = events.withColumn("_slot", slot_of(col(ts), gap_seconds))
+    slots = slotted.groupBy(*[col(k) for k in keys], "_slot").agg(
+        F.count(F.lit(1)).alias("_n"), F.min(col(ts)).alias("_first"), F.max(col(ts)).alias("_last"))
+    sessions = with_sessions(slots, keys, gap_seconds, "_n", "_first", "_last", "_slot")
+    starts = sessions.withColumn(name, F.min("_first").over(
         Window.partitionBy(*[col(k) for k in keys], "session")))
-    tagged = attach(slotted, starts.select(*[col(k) for k in keys], "slot", "n", name),
-                    [*keys, "slot"], "n", hot_rows)
-    return tagged.drop("n", "slot")
+    tagged = attach(slotted, starts.select(*[col(k) for k in keys], "_slot", "_n", name),
+                    [*keys, "_slot"], "_n", hot_rows)
+    return tagged.drop("_n", "_slot")

@@ -152,3 +152,11 @@ def test_slices_of_one_group(spark):
     assert prev.filter("prev_v IS NULL").count() == 1
     expected = {i: sum(j % 10 for j in range(i + 1)) for i in range(1000)}
     assert all(r.run == expected[r.id] for r in cut.running_sum("v", "run").collect())
+
+
+def test_tagging_keeps_columns_named_like_internals(spark):
+    from flowtide.operators.gaps import tag_sessions
+    df = events(spark, [0, 1, 30]).withColumn("n", F.lit(7)).withColumn("slot", F.lit("s"))
+    got = tag_sessions(df, ["source_ip"], "created_at", 600, "opened").orderBy("id").collect()
+    assert [(r.n, r.slot, r.opened) for r in got] == [
+        (7, "s", T0), (7, "s", T0), (7, "s", T0 + dt.timedelta(minutes=30))]
