@@ -2,7 +2,7 @@ import socket
 import struct
 
 import pytest
-from pyspark.sql import functions as F, types as T
+from pyspark.sql import functions as F
 
 from flowtide.plans import training
 from flowtide.schemas import DETECTIONS, LABELLED_FLOWS, col, conform
@@ -173,3 +173,10 @@ def test_macro_windows_are_reproducible_and_distinct(spark):
     sizes = a.groupBy("Label").agg(F.max("member_count").alias("hi"), F.count_if(F.col("member_count") == 1).alias("ones"))
     got = {r.Label: (r.hi, r.ones) for r in sizes.collect()}
     assert got["BENIGN"][0] <= 12 and got["BENIGN"][1] >= 25 and 30 < got["DDoS"][0] <= 60
+
+
+def test_scratch_is_cleared(spark):
+    from flowtide.session import clear_scratch, durable
+    stored = durable(spark.range(5).toDF("id"), "probe")
+    assert stored.count() == 5
+    assert clear_scratch(spark) and not clear_scratch(spark)
