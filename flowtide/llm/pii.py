@@ -53,6 +53,11 @@ PATTERN = "|".join(f"(?:{p})" for _, p in KINDS)
 _HINT = rf"[0-9@]|(?<![\p{{L}}\p{{N}}]){_ADDRESS} \p{{Lu}}"
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once and stands once in the plan."""
+    return F.transform(F.array(value), lambda v: use(v))[0]
+
+
 def _rx(column: Column, pattern: str) -> Column:
     return F.regexp_like(column, F.lit(pattern))
 
@@ -89,19 +94,21 @@ def _number(hexes: Column, at: Column | int, size: int) -> Column:
 
 def _feistel(key: str, digits: Column, *tweak: Column) -> Column:
     """A keyed permutation of the digit strings of each length (2 to 36 digits)."""
-    half = (F.length(digits) / 2).cast("int")
-    a, b = half, F.length(digits) - half
-    start = F.struct(digits.substr(F.lit(1), a).cast("decimal(38,0)").alias("l"), digits.substr(a + 1, b).cast("decimal(38,0)").alias("r"))
     ten = lambda n: F.rpad(F.lit("1"), n + 1, F.lit("0")).cast("decimal(38,0)")
 
-    def turn(state: Column, no: Column) -> Column:
-        left, right = state["l"], state["r"]
-        draw = lambda x: F.conv(F.substring(_digest(key, F.lit("feistel"), no.cast("string"), F.length(digits).cast("string"), x.cast("string"), *tweak), 1, 15), 16, 10).cast("decimal(38,0)")
-        moved = lambda x, by, n: ((x + draw(by)) % ten(n)).cast("decimal(38,0)")
-        return F.when(no % 2 == 0, F.struct(moved(left, right, a).alias("l"), right.alias("r"))).otherwise(
-            F.struct(left.alias("l"), moved(right, left, b).alias("r")))
-    end = F.aggregate(F.array(*map(F.lit, range(4))), start, turn)
-    return F.concat(F.lpad(end["l"].cast("string"), a, F.lit("0")), F.lpad(end["r"].cast("string"), b, F.lit("0")))
+    def turned(d: Column) -> Column:
+        a = (F.length(d) / 2).cast("int")
+        b = F.length(d) - a
+        start = F.struct(d.substr(F.lit(1), a).cast("decimal(38,0)").alias("l"), d.substr(a + 1, b).cast("decimal(38,0)").alias("r"))
+
+        def turn(state: Column, no: Column) -> Column:
+            """Even rounds move the left half by a draw from the right one, odd rounds the other way; halves swap."""
+            even = no % 2 == 0
+            draw = F.conv(F.substring(_digest(key, F.lit("feistel"), no.cast("string"), F.length(d).cast("string"), state["r"].cast("string"), *tweak), 1, 15), 16, 10).cast("decimal(38,0)")
+            return F.struct(state["r"].alias("l"), ((state["l"] + draw) % ten(F.when(even, a).otherwise(b))).cast("decimal(38,0)").alias("r"))
+        end = F.aggregate(F.array(*map(F.lit, range(4))), start, turn)
+        return _let(end, lambda e: F.concat(F.lpad(e["l"].cast("string"), a, F.lit("0")), F.lpad(e["r"].cast("string"), b, F.lit("0"))))
+    return _let(digits, turned)
 
 
 def _luhn_sum(digits: Column) -> Column:
@@ -111,7 +118,7 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda s, x: s + x)
 
 
-def _refill(entity: Column, digits: Column, skip: Column | None = None) -> Column:
+def _refill(entity: Column, digits: Column) -> Column:
     """``digits`` in the places of the entity's digits."""
     rank = lambda i: F.length(F.regexp_replace(entity.substr(F.lit(1), i), "[^0-9]", ""))
     return F.array_join(F.transform(F.sequence(F.lit(1), F.length(entity)), lambda i: F.when(entity.substr(i, F.lit(1)).between("0", "9"), digits.substr(rank(i), F.lit(1))).otherwise(entity.substr(i, F.lit(1)))), "")
@@ -150,10 +157,11 @@ def _name(key: str, norm: Column, attempt: Column) -> Column:
     last = F.size(parts) - 1
 
     def one(word: Column, i: Column) -> Column:
-        hexes = _digest(key, F.lit("name"), F.lower(word), attempt.cast("string"))
-        draw, cyrillic = _number(hexes, 1, 6), _rx(word, r"\p{IsCyrillic}")
-        given = F.when(cyrillic & male, _pick(_GIVEN_CYRILLIC["m"], draw)).when(cyrillic, _pick(_GIVEN_CYRILLIC["f"], draw)).when(male, _pick(_GIVEN["m"], draw)).otherwise(_pick(_GIVEN["f"], draw))
-        return F.when(i == 0, word).when(i == last, _word(word, hexes, attempt)).otherwise(given)
+        def drawn(hexes: Column) -> Column:
+            draw, cyrillic = _number(hexes, 1, 6), _rx(word, r"\p{IsCyrillic}")
+            given = F.when(cyrillic & male, _pick(_GIVEN_CYRILLIC["m"], draw)).when(cyrillic, _pick(_GIVEN_CYRILLIC["f"], draw)).when(male, _pick(_GIVEN["m"], draw)).otherwise(_pick(_GIVEN["f"], draw))
+            return F.when(i == last, _word(word, hexes, attempt)).otherwise(given)
+        return F.when(i == 0, word).otherwise(_let(_digest(key, F.lit("name"), F.lower(word), attempt.cast("string")), drawn))
     return F.array_join(F.transform(parts, one), " ")
 
 
@@ -162,30 +170,37 @@ def surrogate(key: str, of: Column, norm: Column, attempt: Column) -> Column:
     tweak = (of, attempt.cast("string"))
     hexes = _digest(key, of, norm, attempt.cast("string"))
     body = norm.substr(F.lit(1), F.length(norm) - 1)
-    moved = _feistel(key, body, *tweak)
-    check = (10 - _luhn_sum(F.concat(moved, F.lit("0"))) % 10) % 10
-    card = F.when(_luhn_sum(norm) % 10 == 0, F.concat(moved, check.cast("string"))).otherwise(_feistel(key, norm, *tweak))
-    octets = F.split(norm, r"\.")
-    ip = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: ((F.get(octets, i).cast("int") + _number(hexes, i * 6 + 1, 6)) % 256).cast("string")), ".")
-    at = F.instr(norm, "@")
-    top = F.substring_index(norm, ".", -1)
-    host = norm.substr(at + 1, F.length(norm) - at - F.length(top) - 1)
-    email = F.concat(_letters(norm.substr(F.lit(1), at - 1), hexes), F.lit("@"), _letters(host, _digest(key, F.lit("host"), host, attempt.cast("string"))), F.lit("."), top)
-    iban = F.concat(norm.substr(1, 2), _letters(norm.substr(F.lit(3), F.length(norm)), hexes))
-    prefix = F.regexp_extract(norm, "^(?:a[ks]ia|gh[pousr]_|sk-)", 0)
-    rest = norm.substr(F.length(prefix) + 1, F.length(norm))
-    secret = F.concat(prefix, F.when(prefix == "", _letters(rest, hexes, True)).otherwise(_letters(rest, hexes)))
-    return (F.when(of == "card", card).when(of.isin("phone", "ssn"), _feistel(key, norm, *tweak)).when(of == "ip", ip)
-            .when(of == "email", email).when(of == "iban", iban).when(of == "secret", secret).otherwise(_name(key, norm, attempt)))
-
-
-def dressed(entity: Column, of: Column, made: Column) -> Column:
+    checked = lambda moved: F.concat(moved, ((10 - _luhn_sum(F.concat(moved, F.lit("0"))) % 10) % 10).cast("string"))
+    luhn = (of == "card") & (_luhn_sum(norm) % 10 == 0)
+    number = _let(_feistel(key, F.when(luhn, body).otherwise(norm), *tweak), lambda moved: F.when(luhn, checked(moved)).otherwise(moved))
+
+    def ip(h: Column) -> Column:
+        octets = F.split(norm, r"\.")
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: ((F.get(octets, i).cast("int") + _number(h, i * 6 + 1, 6)) % 256).cast("string")), ".")
+
+    def email(h: Column) -> Column:
+        at, top = F.instr(norm, "@"), F.substring_index(norm, ".", -1)
+        host = norm.substr(at + 1, F.length(norm) - at - F.length(top) - 1)
+        return F.concat(_letters(norm.substr(F.lit(1), at - 1), h), F.lit("@"), _let(_digest(key, F.lit("host"), host, attempt.cast("string")), lambda g: _letters(host, g)), F.lit("."), top)
+
+    def secret(h: Column) -> Column:
+        prefix = F.regexp_extract(norm, "^(?:a[ks]ia|gh[pousr]_|sk-)", 0)
+        rest = norm.substr(F.length(prefix) + 1, F.length(norm))
+        return F.concat(prefix, F.when(prefix == "", _letters(rest, h, True)).otherwise(_letters(rest, h)))
+    iban = lambda h: F.concat(norm.substr(1, 2), _letters(norm.substr(F.lit(3), F.length(norm)), h))
+    return (F.when(of.isin("card", "phone", "ssn"), number).when(of == "ip", _let(hexes, ip)).when(of == "email", _let(hexes, email))
+            .when(of == "iban", _let(hexes, iban)).when(of == "secret", _let(hexes, secret)).otherwise(_name(key, norm, attempt)))
+
+
+def dressed(entity: Column, of: Column, surrogate_form: Column) -> Column:
     """The surrogate in the entity's own spelling."""
-    upper = (entity == F.upper(entity)) & (entity != F.lower(entity))
-    dotted = F.when(_rx(entity, r"^\S+\. "), F.regexp_replace(made, "^(\\S+) ", "$1. ")).otherwise(made)
-    return (F.when(of.isin("card", "phone", "ssn", "iban"), F.when(of == "iban", _spaced(entity, made)).otherwise(_refill(entity, made)))
-            .when(of.isin("email", "secret"), F.when(upper, F.upper(made)).when((of == "secret") & _rx(entity, "^A[KS]IA"), F.upper(made)).otherwise(made))
-            .when(of == "name", dotted).otherwise(made))
+    def spelled(made: Column) -> Column:
+        upper = (entity == F.upper(entity)) & (entity != F.lower(entity))
+        dotted = F.when(_rx(entity, r"^\S+\. "), F.regexp_replace(made, "^(\\S+) ", "$1. ")).otherwise(made)
+        return (F.when(of.isin("card", "phone", "ssn"), _refill(entity, made)).when(of == "iban", _spaced(entity, made))
+                .when(of.isin("email", "secret") & (upper | _rx(entity, "^A[KS]IA")), F.upper(made))
+                .when(of == "name", dotted).otherwise(made))
+    return _let(surrogate_form, spelled)
 
 
 def _spaced(entity: Column, made: Column) -> Column:
@@ -227,11 +242,8 @@ def pseudonymized(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
         rows = rows.withColumn("text_key", F.xxhash64("text")).join(by_text, "text_key", "left").drop("text_key")
 
     def replaced(e: Column) -> Column:
-        # Bound one by one, so that each is worked out once.
-        kinds = F.transform(F.array(e), lambda x: F.struct(x.alias("e"), kind(x).alias("k")))
-        forms = F.transform(kinds, lambda s: F.struct(s["e"].alias("e"), s["k"].alias("k"), normal(s["e"], s["k"]).alias("n")))
-        tries = F.transform(forms, lambda s: F.struct(s["e"].alias("e"), s["k"].alias("k"), s["n"].alias("n"), F.coalesce(F.element_at(F.col("attempts"), F.concat_ws(" ", s["k"], s["n"])), F.lit(0)).alias("a")))
-        return F.transform(tries, lambda s: dressed(s["e"], s["k"], surrogate(key, s["k"], s["n"], s["a"])))[0]
+        tries = lambda of, norm: F.coalesce(F.element_at(F.col("attempts"), F.concat_ws(" ", of, norm)), F.lit(0))
+        return _let(kind(e), lambda of: _let(normal(e, of), lambda norm: _let(tries(of, norm), lambda n: dressed(e, of, surrogate(key, of, norm, n)))))
     rows = rows.withColumn("entities", entities(F.col("text")))
     parts = F.split("text", PATTERN, -1)
     new = F.concat(F.array_join(F.zip_with(F.slice(parts, 1, F.size("entities")), F.transform("entities", replaced), lambda a, b: F.concat(a, b)), ""), F.element_at(parts, -1))
