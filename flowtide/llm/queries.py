@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowtide.llm import decontaminate, jaccard_join, packing, pii, quality
-from flowtide.llm.common import numbered, table
+from flowtide.llm import (decontaminate, html_text, jaccard_join, license_scan, packing, pii, quality, topk, url_filter,
+                          warc)
+from flowtide.llm.common import numbered, scratch_path, table
 
 PII_KEY = "surrogate-key-1"
+#: (verdict, host, path) of the URL rules.
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +19,18 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rules_frame(spark, URL_RULES))
+
+
+def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     described = quality.describe(table(spark, sf_dir, "documents"))
     return quality.scores(described, quality.fit(described, table(spark, sf_dir, "labels")))
@@ -31,11 +46,49 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(rows.select("rid", "row.doc_id", "row.text")).select("doc_id", "class_id", "n_links")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    return warc.read(spark, folder).drop("payload")
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = pii.pseudonymized(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
     return done.select("doc_id", "text", "n_entities")
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+OP2_SQL = r"""
+WITH a AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END r FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
+             regexp_extract(r, '^[^/?#]*([^?#]*)', 1) path FROM a),
+m AS (SELECT *, CASE WHEN ('.' || host) LIKE '%.example.org' AND path LIKE '/en/1%' THEN 'example.org/en/1'
+                     WHEN ('.' || host) LIKE '%.example.org' AND path LIKE '/es/%' THEN 'example.org/es/'
+                     WHEN ('.' || host) LIKE '%.org' AND path LIKE '/%' THEN 'org/'
+                     WHEN ('.' || host) LIKE '%.com' AND path LIKE '/fr/%' THEN 'com/fr/'
+                     WHEN ('.' || host) LIKE '%.com' AND path LIKE '/de/%' THEN 'com/de/' END rule FROM p)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') THEN 'block' ELSE 'allow' END verdict FROM m
+"""
+
+OP4_SQL = """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) v FROM embeddings
+           WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id query_id, c.vec_id vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) score
+      FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS "rank", vec_id, score FROM s)
+SELECT * FROM r WHERE "rank" <= 10
+"""
+
+OP8_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) b, sha256(coalesce(html, '')) d FROM pages),
+f AS (SELECT *, octet_length(b) n, min(page_id) OVER (PARTITION BY d) m FROM p)
+SELECT page_id, CAST(n AS BIGINT) payload_bytes, d payload_digest, CASE WHEN n >= 100 AND m <> page_id THEN 'revisit' ELSE 'response' END record_type,
+       CASE WHEN n >= 100 AND m <> page_id THEN m END refers_to FROM f
+"""
+
 OP6_SQL = r"""
 WITH d AS (SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'),
                lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) w FROM documents),
@@ -57,8 +110,13 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 #: name -> (query, SQL or None)
 ENTRIES = {
     "op1_packing": (op1_packing, None),
+    "op2_url_filters": (op2_url_filters, OP2_SQL),
+    "op3_license_scans": (op3_license_scans, None),
+    "op4_topk_search": (op4_topk_search, OP4_SQL),
     "op5_quality_classifier": (op5_quality_classifier, None),
     "op6_decontamination": (op6_decontamination, OP6_SQL),
     "op7_jaccard_join": (op7_jaccard_join, None),
+    "op8_warc": (op8_warc, OP8_SQL),
     "op9_pii": (op9_pii, None),
+    "op10_html_extraction": (op10_html_extraction, None),
 }
