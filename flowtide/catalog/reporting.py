@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from flowtide import driver_tables as dt
@@ -37,20 +39,20 @@ def rolling(spark, sf):
     return reports.rolling_rate(dt.detections(spark, sf)).select(_ntz("window_start"), "n")
 
 
-def traffic_timeline(spark, sf):
-    return reports.traffic_timeline(dt.detections(spark, sf)).select(_ntz("bucket"), "state", "volume")
+def traffic_timeline(spark, sf, limit=None):
+    return reports.traffic_timeline(dt.detections(spark, sf), limit).select(_ntz("bucket"), "state", "volume")
 
 
-def attack_timeline(spark, sf):
-    return reports.attack_timeline(dt.detections(spark, sf)).select(_ntz("bucket"), "attack", "n")
+def attack_timeline(spark, sf, limit=None):
+    return reports.attack_timeline(dt.detections(spark, sf), limit).select(_ntz("bucket"), "attack", "n")
 
 
-def histogram(spark, sf):
-    return reports.confidence_histogram(reports.newest_attacks(dt.detections(spark, sf)))
+def histogram(spark, sf, limit=None):
+    return reports.confidence_histogram(reports.newest_attacks(dt.detections(spark, sf), limit))
 
 
-def distribution(spark, sf):
-    d = reports.attack_distribution(reports.newest_attacks(dt.detections(spark, sf)))
+def distribution(spark, sf, limit=None):
+    d = reports.attack_distribution(reports.newest_attacks(dt.detections(spark, sf), limit))
     return d.withColumn("share", sh.rounded(F.col("share")))
 
 
@@ -58,8 +60,8 @@ def attack_counts(spark, sf):
     return dt.detections(spark, sf).groupBy("attack_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def live_ratio(spark, sf):
-    return reports.live_ratio(dt.detections(spark, sf)).withColumn("ratio", sh.rounded(F.col("ratio")))
+def live_ratio(spark, sf, limit=None):
+    return reports.live_ratio(dt.detections(spark, sf), limit).withColumn("ratio", sh.rounded(F.col("ratio")))
 
 
 def log_search(spark, sf):
@@ -172,6 +174,7 @@ def point_lookup(spark, sf):
     return by_ip.union(by_name).union(by_chat)
 
 
+_ALL_ATTACKS = "SELECT * FROM det WHERE prediction <> 0"
 _ATT = "SELECT * FROM det WHERE prediction <> 0 ORDER BY created_at DESC, id DESC LIMIT 2000"
 
 ENTRIES = {
@@ -191,18 +194,35 @@ ENTRIES = {
     "traffic_timeline": (traffic_timeline, sql("det", """
         SELECT date_trunc('minute', created_at) AS bucket, CASE WHEN prediction = 0 THEN 'Normal'
           ELSE 'Attack (' || attack_type || ')' END AS state, count(*) AS volume
-        FROM (SELECT * FROM det ORDER BY created_at DESC, id DESC LIMIT 200) GROUP BY 1, 2""")),
+        FROM det GROUP BY 1, 2""")),
     "attack_timeline": (attack_timeline, sql("det", """
         SELECT time_bucket(INTERVAL 5 MINUTE, created_at) AS bucket, attack_type AS attack, count(*) AS n
-        FROM att GROUP BY 1, 2""", att=_ATT)),
+        FROM att GROUP BY 1, 2""", att=_ALL_ATTACKS)),
     "confidence_histogram": (histogram, sql("det", """
         SELECT CAST(least(floor((confidence - lo) / (hi - lo) * 30), 29) AS INTEGER) AS bin, count(*) AS n
-        FROM att, (SELECT min(confidence) AS lo, max(confidence) AS hi FROM att) GROUP BY 1""", att=_ATT)),
+        FROM att, (SELECT min(confidence) AS lo, max(confidence) AS hi FROM att) GROUP BY 1""", att=_ALL_ATTACKS)),
     "attack_distribution": (distribution, sql("det", """
         SELECT attack_type AS attack, count(*) AS n,
-          round(count(*) * 100.0 / (SELECT count(*) FROM att) + 1e-7, 4) AS share FROM att GROUP BY 1""", att=_ATT)),
-    "attack_counts": (attack_counts, sql("det", "SELECT attack_type, count(*) AS n FROM det GROUP BY 1")),
+          round(count(*) * 100.0 / (SELECT count(*) FROM att) + 1e-7, 4) AS share FROM att GROUP BY 1""", att=_ALL_ATTACKS)),
     "live_threat_ratio": (live_ratio, sql("det", """
+        SELECT count(*) AS flows, count(*) FILTER (WHERE prediction <> 0) AS threats,
+          round(count(*) FILTER (WHERE prediction <> 0) * 100.0 / count(*) + 1e-7, 4) AS ratio
+        FROM det""")),
+    "attack_counts": (attack_counts, sql("det", "SELECT attack_type, count(*) AS n FROM det GROUP BY 1")),
+    "newest_traffic_timeline": (partial(traffic_timeline, limit=200), sql("det", """
+        SELECT date_trunc('minute', created_at) AS bucket, CASE WHEN prediction = 0 THEN 'Normal'
+          ELSE 'Attack (' || attack_type || ')' END AS state, count(*) AS volume
+        FROM (SELECT * FROM det ORDER BY created_at DESC, id DESC LIMIT 200) GROUP BY 1, 2""")),
+    "newest_attack_timeline": (partial(attack_timeline, limit=2000), sql("det", """
+        SELECT time_bucket(INTERVAL 5 MINUTE, created_at) AS bucket, attack_type AS attack, count(*) AS n
+        FROM att GROUP BY 1, 2""", att=_ATT)),
+    "newest_confidence_histogram": (partial(histogram, limit=2000), sql("det", """
+        SELECT CAST(least(floor((confidence - lo) / (hi - lo) * 30), 29) AS INTEGER) AS bin, count(*) AS n
+        FROM att, (SELECT min(confidence) AS lo, max(confidence) AS hi FROM att) GROUP BY 1""", att=_ATT)),
+    "newest_attack_distribution": (partial(distribution, limit=2000), sql("det", """
+        SELECT attack_type AS attack, count(*) AS n,
+          round(count(*) * 100.0 / (SELECT count(*) FROM att) + 1e-7, 4) AS share FROM att GROUP BY 1""", att=_ATT)),
+    "newest_threat_ratio": (partial(live_ratio, limit=200), sql("det", """
         SELECT count(*) AS flows, count(*) FILTER (WHERE prediction <> 0) AS threats,
           round(count(*) FILTER (WHERE prediction <> 0) * 100.0 / count(*) + 1e-7, 4) AS ratio
         FROM (SELECT * FROM det ORDER BY created_at DESC, id DESC LIMIT 200)""")),

@@ -85,8 +85,9 @@ def align(df: DataFrame, required: Sequence[str], keep: Sequence[str] = (), fill
           report: str = "row") -> DataFrame:
     """Project ``df`` onto the model's ordered features.
 
-    Each required feature takes the first non-null of its candidate columns. Non-finite values
-    become ``fill``. ``report="row"`` adds ``missing_features`` and ``coverage`` judged per row
+    ``report="row"``: each required feature takes the first non-null of its candidate columns.
+    ``"frame"``: the best candidate column alone supplies the feature, and its nulls become
+    ``fill``. Non-finite values become ``fill``. ``"row"`` adds ``missing_features`` and ``coverage`` judged per row
     (absent or null); ``"frame"`` judges by column existence only.
     """
     sources = naming.resolve([c for c in df.columns if c not in keep], required)
@@ -98,7 +99,7 @@ def align(df: DataFrame, required: Sequence[str], keep: Sequence[str] = (), fill
             absent.append(F.lit(name))
             continue
         usable = [F.when(~F.isnan(c), c) for c in candidates]
-        first = F.coalesce(*usable) if len(usable) > 1 else usable[0]
+        first = F.coalesce(*usable) if len(usable) > 1 and report == "row" else usable[0]
         values.append(F.when(is_finite(first), first).otherwise(F.lit(float(fill))).alias(name))
         if report == "row":
             absent.append(F.when(first.isNull(), F.lit(name)))
@@ -151,7 +152,9 @@ def align_json(df: DataFrame, json_col: str, required: Sequence[str], keep: Sequ
     Feature spellings are a vocabulary, so the distinct keys are listed once and resolved on
     the driver; values never leave the executors.
     """
-    bag = F.from_json(col(json_col), "map<string,double>")
+    # Texts first, so that one value which is no number leaves the others readable.
+    texts = F.from_json(col(json_col), "map<string,string>")
+    bag = F.transform_values(texts, lambda k, v: v.try_cast("double"))
     parsed = df.withColumn("_bag", bag)
     names = parsed.select(F.explode(F.map_keys("_bag")).alias("k")).distinct()
     spelled = sorted(r[0] for r in names.limit(MAX_SPELLINGS + 1).collect())

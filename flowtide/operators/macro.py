@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from flowtide.functions import naming
 from flowtide.operators.align import is_finite
 from flowtide.operators.gaps import tag_sessions
-from flowtide.operators.skew import HOT_ROWS, attach
+from flowtide.operators.skew import HOT_ROWS, attach, null_safe_join
 from flowtide.schemas import IDENTITY_COLUMNS, col
 
 DEFAULT_KEY = ("src_ip", "dst_ip", "dst_port", "protocol")
@@ -135,7 +135,7 @@ def assemble(flows: DataFrame, key: Sequence[str] = DEFAULT_KEY,
     narrow = members.select(*[col(k) for k in key], "_w", *[col(f) for f in spread])
     second = (attach(narrow, centres, key, "member_count", hot_rows)
               .groupBy(*[col(k) for k in key]).agg(*plan.second_pass()))
-    return plan.finish(key, first.join(second, key, "left"))
+    return plan.finish(key, null_safe_join(first, second, key))
 
 
 def attribute(flows: DataFrame, verdicts: DataFrame, key: Sequence[str] = DEFAULT_KEY,

@@ -10,11 +10,13 @@ from flowtide.operators.reputation import contains_text
 ATTACK = "prediction <> 0"
 
 
-def recent(df: DataFrame, limit: int, only_attacks: bool = False, time: str = "created_at",
+def recent(df: DataFrame, limit: int | None, only_attacks: bool = False, time: str = "created_at",
            tie: str = "id") -> DataFrame:
-    """Newest rows first; equal times by descending id."""
+    """Newest rows first; equal times by descending id. Without a limit all rows, in no order."""
     if only_attacks:
         df = df.filter(ATTACK)
+    if limit is None:
+        return df
     return df.orderBy(F.desc(time), F.desc(tie)).limit(limit)
 
 
@@ -44,21 +46,21 @@ def rolling_rate(detections: DataFrame, seconds: int = 60, step: int = 10) -> Da
             .agg(F.sum("n").alias("n")))
 
 
-def traffic_timeline(detections: DataFrame, limit: int = 200) -> DataFrame:
-    """Volume per minute and state over the newest detections."""
+def traffic_timeline(detections: DataFrame, limit: int | None = None) -> DataFrame:
+    """Volume per minute and state, over all detections or the newest ``limit``."""
     state = dashboard_state(F.col("prediction"), F.col("attack_type"))
     return (recent(detections, limit)
             .groupBy(F.date_trunc("minute", "created_at").alias("bucket"), state.alias("state"))
             .agg(F.count(F.lit(1)).alias("volume")))
 
 
-def newest_attacks(detections: DataFrame, limit: int = 2000) -> DataFrame:
+def newest_attacks(detections: DataFrame, limit: int | None = None) -> DataFrame:
     label = attack_label(F.col("prediction"), F.col("attack_type"))
     return recent(detections, limit, only_attacks=True).withColumn("attack", label)
 
 
-def attack_timeline(detections: DataFrame, limit: int = 2000) -> DataFrame:
-    """Newest attacks per five minutes and type."""
+def attack_timeline(detections: DataFrame, limit: int | None = None) -> DataFrame:
+    """Attacks per five minutes and type, over all or the newest ``limit``."""
     bucket = F.window(F.col("created_at").cast("timestamp"), "5 minutes").getField("start")
     return (newest_attacks(detections, limit).groupBy(bucket.alias("bucket"), "attack")
             .agg(F.count(F.lit(1)).alias("n")))
@@ -82,8 +84,8 @@ def attack_distribution(attacks: DataFrame, column: str = "attack") -> DataFrame
             .orderBy(F.desc("n"), column))
 
 
-def live_ratio(flows: DataFrame, limit: int = 200) -> DataFrame:
-    """Flows, threats and threat ratio among the newest results."""
+def live_ratio(flows: DataFrame, limit: int | None = None) -> DataFrame:
+    """Flows, threats and threat ratio, over all results or the newest ``limit``."""
     return (recent(flows, limit).agg(F.count(F.lit(1)).alias("flows"),
                                      F.count_if(F.col("prediction") != 0).alias("threats"))
             .withColumn("ratio", F.coalesce(F.try_divide(F.col("threats") * 100.0, F.col("flows")),

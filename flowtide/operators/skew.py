@@ -16,13 +16,24 @@ HOT_ROWS = 5_000_000
 BROADCAST_ROWS = 1_000_000
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join in which a null key member equals a null key member, as it does in a grouping."""
+    renamed = right.select(*[col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
+                           *[col(c) for c in right.columns if c not in keys])
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same &= col(k).eqNullSafe(F.col(f"__k{i}"))
+    return left.join(renamed, same, how).drop(*[f"__k{i}" for i in range(len(keys))])
+
+
 def attach(big: DataFrame, per_key: DataFrame, keys: Sequence[str], count_col: str,
            hot_rows: int = HOT_ROWS) -> DataFrame:
     """Left-join one row per key onto ``big`` without sending a hot key to one task.
 
     ``count_col`` of ``per_key`` is the number of rows of ``big`` under the key. Rows of hot
     keys meet a broadcast of the few hot entries and are never shuffled; all other rows take
-    an ordinary shuffle join. Columns of ``per_key`` other than the keys are added.
+    an ordinary shuffle join. Null key members match like values, as in the grouping that made
+    ``per_key``. Columns of ``per_key`` other than the keys are added.
     """
     keys = list(keys)
     values = [c for c in per_key.columns if c not in keys]
@@ -34,10 +45,9 @@ def attach(big: DataFrame, per_key: DataFrame, keys: Sequence[str], count_col: s
     cold = packed.filter(~is_hot)
     added = [F.col(f"__v.`{v}`").alias(v) for v in values]
     own = [col(c) for c in big.columns]
-    hot_rows_df = big.join(hot, keys, "inner").select(*own, *added)
-    unhot = big.join(hot.select(*[col(k) for k in keys], F.col("__v").alias("__hot")), keys, "left")
-    cold_rows_df = (unhot.filter(F.col("__hot").isNull()).drop("__hot")
-                    .join(cold, keys, "left").select(*own, *added))
+    hot_rows_df = null_safe_join(big, hot, keys, "inner").select(*own, *added)
+    unhot = null_safe_join(big, hot.select(*[col(k) for k in keys], F.col("__v").alias("__hot")), keys)
+    cold_rows_df = null_safe_join(unhot.filter(F.col("__hot").isNull()).drop("__hot"), cold, keys).select(*own, *added)
     return hot_rows_df.unionByName(cold_rows_df)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from flowtide.functions.scalars import features_to_json
 from flowtide.operators import align, decide, macro, reputation
+from flowtide.operators.skew import null_safe_join
 from flowtide.plans.models import FlowModel
 from flowtide.schemas import IDENTITY_COLUMNS, col
 
@@ -83,7 +84,7 @@ def audit(flows: DataFrame, model: FlowModel, source_type: str = "csv", keep: Se
     renamed = {"src_ip": "source_ip", "dst_ip": "destination_ip"}
     verdicts = scored.select(*[F.col(renamed.get(k, k)).alias(k) for k in s.key], "member_count", *VERDICT)
     sizes = units.select(*[col(k) for k in s.key], "member_count")
-    per_key = sizes.join(verdicts.drop("member_count"), list(s.key), "left")
+    per_key = null_safe_join(sizes, verdicts.drop("member_count"), list(s.key))
     rows = decide.fill_unscored(macro.attribute(flows, per_key, s.key))
     return AuditResult(rows, scored, rejected, decide.summarize(rows, scored))
 

@@ -96,3 +96,15 @@ def test_sums_are_preserved(spark):
     f = spark.range(500).selectExpr("concat('s', id % 9) AS src_ip", "'d' AS dst_ip", "1 AS src_port",
                                     "80 AS dst_port", "6 AS protocol", "CAST(id AS DOUBLE) AS `Flow Duration`")
     assert macro.assemble(f).agg(F.sum(col("Flow Duration"))).first()[0] == sum(range(500))
+
+
+def test_null_key_members_form_one_group(spark):
+    rows = [(None, "a", 10.0, 5.0), (None, "a", 100.0, 5.0), ("x", "a", 1.0, 5.0), ("x", "a", 1.0, 7.0)]
+    flows = spark.createDataFrame(rows, "src_ip string, dst_ip string, `Packet Length Std` double, v double")
+    key = ("src_ip", "dst_ip")
+    for hot in (5_000_000, 1):
+        units = macro.assemble(flows, key=key, features=["Packet Length Std", "v"], hot_rows=hot)
+        assert {r.src_ip: r.member_count for r in units.collect()} == {None: 2, "x": 2}
+        assert all(r["Packet Length Std"] is not None for r in units.collect())
+        back = macro.attribute(flows, units.select(*key, "member_count"), key, hot_rows=hot).collect()
+        assert len(back) == 4 and all(r.member_count == 2 for r in back)

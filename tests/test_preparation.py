@@ -115,3 +115,17 @@ def test_json_alignment(spark):
     out = align.align_json(df, "j", ["Flow Duration", "SYN Flag Count"], ["id"]).orderBy("id").collect()
     assert [(r["Flow Duration"], r["SYN Flag Count"], len(r["missing_features"])) for r in out] == [
         (7.0, 2.0, 0), (0.0, 0.0, 2), (0.0, 0.0, 2)]
+
+
+def test_json_values_that_are_no_numbers_leave_the_others(spark):
+    from flowtide.operators.align import align_json
+    df = spark.createDataFrame([(1, '{"Flow Duration": 5, "note": "x", "tot_fwd_pkts": 2}')], "id long, j string")
+    row = align_json(df, "j", ["Flow Duration", "Total Fwd Packets"], ["id"]).first()
+    assert (row["Flow Duration"], row["Total Fwd Packets"], row["coverage"]) == (5.0, 2.0, 1.0)
+
+
+def test_frame_form_takes_one_column(spark):
+    from flowtide.operators.align import align
+    df = spark.createDataFrame([(1.0, None)], "flow_duration double, `Flow Duration` double")
+    assert align(df, ["Flow Duration"], report="frame").first()["Flow Duration"] == 0.0
+    assert align(df, ["Flow Duration"]).first()["Flow Duration"] == 1.0
