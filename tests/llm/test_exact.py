@@ -155,6 +155,19 @@ def test_surrogates(spark):
     assert pii.pseudonymized(frame, "k2").filter("doc_id = 2").first().text != out[2].text
 
 
+def test_account_numbers_of_all_lengths(spark):
+    ibans = ["DE89370400440532013000", "GB29NWBK60161331926819", "FR7630006000011234567890189", "NL91ABNA0417164300", "IT60X0542811101000000123456", "NO9386011117947", "ES9121000418450200051332", "MT84MALT011000012345MTLCAST001S"]
+    rows = [(i, f"{n} / {' '.join(n[k:k + 4] for k in range(0, len(n), 4))} FOR 12") for i, n in enumerate(ibans)]
+    rows += [(100, "NO12 THIS THAT THE and DE89 ONLY TEXT IN CAPS HERE IS"), (101, "ghp_" + "aB" * 20), (102, "ghp_" + "Ab" * 20)]
+    out = {r.doc_id: r for r in pii.pseudonymized(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    for i, n in enumerate(ibans):
+        compact, spaced = out[i].text.removesuffix(" FOR 12").split(" / ")
+        assert out[i].n_entities == 2 and compact == spaced.replace(" ", "") and compact[:2] == n[:2] and len(compact) == len(n)
+        assert compact != n and " ".join(compact[k:k + 4] for k in range(0, len(n), 4)) == spaced and out[i].text.endswith(" FOR 12")
+    assert out[100].n_entities == 0 and out[100].text == rows[-3][1]
+    assert out[101].text.lower() != out[102].text.lower()
+
+
 def test_clashing_surrogates_move_on(spark):
     found = spark.createDataFrame([("ip", f"10.0.0.{i}") for i in range(5)], "kind string, norm string")
     made = found.select("kind", pii.surrogate("k", F.col("kind"), F.col("norm"), F.lit(0)).alias("norm")).limit(1)
