@@ -3,12 +3,13 @@
 Tasks parse whole pages in one pass over their tags. The builder supplies what authors leave out (ends of ``p``,
 ``li``, ``dt``/``dd``, ``option`` and table parts, ``tbody`` and ``tr``, everything open at the end) and ignores end
 tags without a start. Text is visible unless an ancestor is a script, style, template or the like, has ``hidden``,
-``aria-hidden="true"``, or an inline style that hides it. The renderer keeps a line of its own for every block, a blank
+``aria-hidden="true"``, or an inline style that hides it. Options, text areas, SVG and formula text, the fallback of
+``object`` and open dialogs are visible. Layout holds at any depth. The renderer keeps a line of its own for every block, a blank
 line around paragraphs, headings, lists and tables, markers and indentation for list items, line ends of ``br`` and
 ``pre``, and pads the cells of a table so that its columns stand under each other.
 
 Defined results: null and empty pages give an empty text. Broken markup never fails: what cannot be a tag is text, an
-unclosed comment ends the page. Tables within tables are laid out on their own inside their cell. Repeated rows are
+unclosed comment ends the page. Tables within tables are laid out on their own inside their cell; what stands in a table but in no cell goes before its rows. Repeated rows are
 rendered each on its own. Extra columns aren't read.
 """
 
@@ -25,13 +26,20 @@ from pyspark.sql import functions as F
 
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head title script style template noscript iframe object svg math canvas audio video datalist select textarea dialog".split())
+#: What browsers hide. ``noscript`` is hidden by choice (as where scripts run); so is what a closed ``dialog`` holds.
+UNSEEN = frozenset("head title script style template noscript noframes noembed iframe canvas audio video datalist defs desc metadata symbol annotation annotation-xml".split())
 RAW = frozenset("script style textarea title template noscript iframe xmp".split())
-BLOCK = frozenset("html body address article aside blockquote center details dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr legend li main nav ol p pre section summary table ul caption thead tbody tfoot tr".split())
+#: Raw elements that are shown, and elements that keep their line ends.
+SHOWN_RAW, PRE = frozenset("textarea xmp".split()), frozenset("pre textarea xmp".split())
+#: What may stand in ``head``; anything else ends it.
+IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template head".split())
+#: Lines of their own that leave an open ``p`` open.
+CONTROLS = frozenset("select optgroup option textarea text".split())
+BLOCK = CONTROLS | frozenset("html body address article aside blockquote center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr legend li main nav ol p pre section summary table ul xmp caption thead tbody tfoot tr".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure".split())
 #: A start tag of the key ends, group by group, the nearest open element of the group, unless one of ``SCOPE`` stands between.
 _CELL, _PART = ("td", "th", "caption"), ("tbody", "thead", "tfoot")
-ENDS = {"li": (("li",),), "dt": (("dt", "dd"),), "dd": (("dt", "dd"),), "option": (("option",),), "td": (_CELL,), "th": (_CELL,), "tr": (_CELL, ("tr",)),
+ENDS = {"li": (("li",),), "dt": (("dt", "dd"),), "dd": (("dt", "dd"),), "option": (("option",),), "optgroup": (("option",), ("optgroup",)), "td": (_CELL,), "th": (_CELL,), "tr": (_CELL, ("tr",)),
         **dict.fromkeys(_PART, (_CELL, ("tr",), _PART))}
 SCOPE = frozenset("table ul ol dl select body html".split())
 HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.IGNORECASE)
@@ -56,22 +64,28 @@ def build(page: str) -> Node:
     """The tree of a page."""
     root = Node("html", True)
     stack = [root]
+    open_p = 0
 
     def close(tags: tuple[str, ...], scope: frozenset[str]) -> None:
+        nonlocal open_p
         for at in range(len(stack) - 1, 0, -1):
             if stack[at].tag in tags:
+                open_p -= sum(n.tag == "p" for n in stack[at:])
                 del stack[at:]
                 return
             if stack[at].tag in scope:
                 return
 
     def begin(tag: str, text: str) -> None:
+        nonlocal open_p
+        if stack[-1].tag == "head" and tag not in IN_HEAD:
+            stack.pop()
         if tag in ("html", "body"):
             return
         if tag in ENDS:
             for group in ENDS[tag]:
                 close(group, SCOPE)
-        elif tag in BLOCK and any(n.tag == "p" for n in stack[-6:]):
+        elif open_p and tag in BLOCK and tag not in CONTROLS:
             close(("p",), SCOPE | {"td", "th", "li", "div", "article", "section"})
         # Table parts that authors leave out.
         if tag == "tr" and stack[-1].tag == "table":
@@ -82,17 +96,24 @@ def build(page: str) -> Node:
             if stack[-1].tag in ("tbody", "thead", "tfoot"):
                 begin("tr", "")
         given = _attributes(text)
-        seen = tag not in UNSEEN and "hidden" not in given and given.get("aria-hidden") != "true" and not HIDING.search(given.get("style", ""))
+        seen = tag not in UNSEEN and (tag != "dialog" or "open" in given) and "hidden" not in given and given.get("aria-hidden") != "true" and not HIDING.search(given.get("style", ""))
         start = given.get("start", "")
         node = Node(tag, seen, int(start) if start.isascii() and start.isdigit() and len(start) < 9 else 1)
         stack[-1].kids.append(node)
-        if tag not in VOID and not text.rstrip().endswith("/"):
+        # A form straight inside a table holds nothing.
+        if tag not in VOID and not text.rstrip().endswith("/") and not (tag == "form" and stack[-1].tag in ("table", "tr", *_PART)):
             stack.append(node)
+            open_p += tag == "p"
 
-    at, lower = 0, None
+    def put(text: str) -> None:
+        if stack[-1].tag == "head" and text.strip():
+            stack.pop()
+        stack[-1].kids.append(text)
+
+    at = 0
     while m := _TAG.search(page, at):
         if m.start() > at:
-            stack[-1].kids.append(html.unescape(page[at:m.start()]))
+            put(html.unescape(page[at:m.start()]))
         at = m.end()
         if m[1]:
             end = page.find("-->", at)
@@ -104,16 +125,18 @@ def build(page: str) -> Node:
                 continue
             begin(tag, m[5])
             if tag in RAW and stack[-1].tag == tag:
-                lower = page.lower() if lower is None else lower
-                end = lower.find(f"</{tag}", at)
-                # Raw text is never markup and, for all raw elements, never visible.
-                at = len(page) if end < 0 else end
+                found = re.compile(f"</{tag}", re.IGNORECASE | re.ASCII).search(page, at)
+                # Raw text is never markup.
+                start, at = at, found.start() if found else len(page)
+                if tag in SHOWN_RAW:
+                    raw = page[start:at].removeprefix("\n")
+                    stack[-1].kids.append(html.unescape(raw) if tag == "textarea" else raw)
                 stack.pop()
-                if end >= 0:
+                if found:
                     close_at = page.find(">", at)
                     at = len(page) if close_at < 0 else close_at + 1
     if at < len(page):
-        stack[-1].kids.append(html.unescape(page[at:]))
+        put(html.unescape(page[at:]))
     return root
 
 
@@ -154,11 +177,19 @@ class Page:
             self.lines += lines
             self.blank = False
 
-    def kids(self, node: Node, depth: int, keep: bool = False) -> None:
-        number = node.start
-        for kid in node.kids:
-            if isinstance(kid, str):
-                if keep:
+    def nodes(self, node: Node):
+        """Put the children of ``node``. Whatever needs a region of its own is yielded, and its lines are sent back."""
+        # Open elements: children, keep, next number, spacing at the end (None: not a block).
+        stack: list[list] = [[node, iter(node.kids), False, node.start, None]]
+        while stack:
+            top = stack[-1]
+            kid = next(top[1], None)
+            if kid is None:
+                stack.pop()
+                if top[4] is not None:
+                    self.end(top[4])
+            elif isinstance(kid, str):
+                if top[2]:
                     first, *rest = kid.split("\n")
                     self.line += first
                     for part in rest:
@@ -167,58 +198,66 @@ class Page:
                 else:
                     self.text(kid)
             elif kid.seen:
-                self.node(kid, depth + 1, keep, f"{number}. " if node.tag == "ol" else "- ")
-                number += kid.tag == "li"
-
-    def node(self, node: Node, depth: int, keep: bool, marker: str) -> None:
-        tag = node.tag
-        if depth > 150:  # deeper nesting shows its text without layout
-            todo = [node]
-            while todo:
-                kid = todo.pop()
-                if isinstance(kid, str):
-                    self.text(kid)
-                elif kid.seen:
-                    todo += reversed(kid.kids)
-        elif tag == "br":
-            if self.line:
-                self.end()
-            else:
-                self.blank = True
-        elif tag == "hr":
-            self.end()
-            self.put(["---"])
-        elif tag == "table":
-            self.end(True)
-            self.put(_table(node, depth))
-            self.end(True)
-        elif tag in ("li", "dd", "blockquote"):
-            self.end(tag == "blockquote")
-            lead = marker if tag == "li" else "    " if tag == "dd" else "> "
-            inner = _region(node, depth)
-            self.put([(lead if k == 0 or tag == "blockquote" else " " * len(lead) if x else "") + x for k, x in enumerate(inner)])
-            self.end(tag == "blockquote")
-        elif tag in BLOCK:
-            # A list inside an item stays with it.
-            spaced = tag in SPACED and not (tag in ("ul", "ol") and marker and depth and self.lines and not self.blank and self.nested)
-            self.end(spaced)
-            self.kids(node, depth, keep or tag == "pre")
-            self.end(spaced)
-        else:
-            self.kids(node, depth, keep)
+                tag, marker = kid.tag, f"{top[3]}. " if top[0].tag == "ol" else "- "
+                top[3] += tag == "li"
+                if tag == "br":
+                    if self.line:
+                        self.end()
+                    else:
+                        self.blank = True
+                elif tag == "hr":
+                    self.end()
+                    self.put(["---"])
+                elif tag == "table":
+                    self.end(True)
+                    self.put((yield _table(kid)))
+                    self.end(True)
+                elif tag in ("li", "dd", "blockquote"):
+                    self.end(tag == "blockquote")
+                    lead = marker if tag == "li" else "    " if tag == "dd" else "> "
+                    inner = yield _lines(kid)
+                    self.put([(lead if k == 0 or tag == "blockquote" else " " * len(lead) if x else "") + x for k, x in enumerate(inner)])
+                    self.end(tag == "blockquote")
+                elif tag in BLOCK:
+                    # A list inside an item stays with it.
+                    spaced = tag in SPACED and not (tag in ("ul", "ol") and self.lines and not self.blank and self.nested)
+                    self.end(spaced)
+                    stack.append([kid, iter(kid.kids), top[2] or tag in PRE, kid.start, spaced])
+                else:
+                    stack.append([kid, iter(kid.kids), top[2], kid.start, None])
 
     nested = False
 
 
-def _region(node: Node, depth: int) -> list[str]:
+def _lines(node: Node):
     page = Page()
     page.nested = node.tag == "li"
-    page.kids(node, depth)
+    yield from page.nodes(node)
     page.end()
     return page.lines
 
 
-def _table(table: Node, depth: int) -> list[str]:
+def _region(node: Node) -> list[str]:
+    """Regions within regions, by a stack of their own: pages may be nested to any depth."""
+    stack, sent = [_lines(node)], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(sent))
+            sent = None
+        except StopIteration as end:
+            stack.pop()
+            sent = end.value
+    return sent
+
+
+def _around(node: Node) -> Node:
+    """A region with this one child, so that the child's own layout holds."""
+    region = Node("div", True)
+    region.kids.append(node)
+    return region
+
+
+def _table(table: Node):
     """Caption, then rows whose cells are padded to the width of their column."""
     rows, caption, todo = [], [], list(reversed(table.kids))
     while todo:
@@ -228,11 +267,20 @@ def _table(table: Node, depth: int) -> list[str]:
                 caption.append(" ".join(kid.split()))
         elif kid.seen:
             if kid.tag == "tr":
-                rows.append([_region(c, depth + 1) or [""] for c in kid.kids if isinstance(c, Node) and c.seen])
+                row = []
+                for c in kid.kids:
+                    # What stands in a row but in no cell goes before the table, as in browsers.
+                    if isinstance(c, str):
+                        caption += [" ".join(c.split())] if c.strip() else []
+                    elif c.seen and c.tag in ("td", "th"):
+                        row.append((yield _lines(c)) or [""])
+                    elif c.seen:
+                        caption += (yield _lines(_around(c)))
+                rows.append(row)
             elif kid.tag in ("thead", "tbody", "tfoot"):
                 todo += reversed(kid.kids)
             else:
-                caption += _region(kid, depth + 1)
+                caption += (yield _lines(kid if kid.tag == "caption" else _around(kid)))
     widths: dict[int, int] = {}
     for row in rows:
         for k, cell in enumerate(row[:-1]):
@@ -246,7 +294,7 @@ def _table(table: Node, depth: int) -> list[str]:
 
 
 def rendered(page: str | None) -> str:
-    return "\n".join(line.rstrip() for line in _region(build(page or ""), 0)).strip("\n")
+    return "\n".join(line.rstrip() for line in _region(build(page or ""))).strip("\n")
 
 
 def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -240,6 +240,18 @@ def test_rendering():
     assert html_text.rendered("<div>" * 3000 + "deep") == "deep"
 
 
+def test_rendering_of_all_visible_text():
+    assert all(html_text.rendered(f"<{tag}>" * 3000 + "<p>a</p><p>b<br>c</p><ul><li>d<li>e</ul>") == "a\n\nb\nc\n\n- d\n- e" for tag in ("div", "font"))
+    assert html_text.rendered("<table><tr><td>" * 400 + "x<td>y</table>") == "x  y"
+    assert html_text.rendered("<table><tr>stray &amp; <b>bold</b><td>a<td>b</table>") == "stray &\nbold\na  b"
+    assert html_text.rendered("<table><tr><form><td>a<td>b</form></table>") == "a  b"
+    shown = "<textarea>\nt &lt;\n u</textarea><select><option>o1<option>o2</select><object>f</object><svg><title>no</title><text>s</text></svg><dialog open>d</dialog><xmp><b></xmp><math><mi>m</mi></math>"
+    assert html_text.rendered(shown) == "t <\n u\no1\no2\nf\ns\nd\n<b>\nm"
+    assert html_text.rendered("<dialog>no</dialog><noscript>no</noscript><iframe>no</iframe>yes") == "yes"
+    assert html_text.rendered("<p>a" + "<b>" * 10 + "<h1>x</h1>") == "a\n\nx"
+    assert html_text.rendered("<head><title>no</title><body>x") == html_text.rendered("<head><meta>x") == "x"
+
+
 def test_license_scan(spark):
     docs = spark.createDataFrame([(1, "clean words here\nReleased under the MIT License.", 1), (2, None, 1), (3, "", 1), (4, "the licence of a driver is not here", 1), (5, "This work is licensed under the GNU General Public License, version 3.", 1)], "doc_id long, text string, family int")
     got = {(r.doc_id, r.paragraph, r.family) for r in license_scan.scan(docs).collect() if r.confirmed}
