@@ -1,6 +1,7 @@
 """Licence scan: a trained paragraph classifier, with an unknown class and template comparison, JVM-side throughout.
 
-A paragraph is a line. Its word 1- to 3-grams are hashed into a sparse vector, and a multinomial logistic regression
+A paragraph is a line, or a run of lines between blank lines (for wrapped notices; its number is its first line's). All
+are scored. Its word 1- to 3-grams are hashed into a sparse vector, and a multinomial logistic regression
 gives each family a probability. It is trained on the templates below, on all their windows of half the words or more
 (so that cut and framed notices are seen), and on a bounded sample of corpus paragraphs as the class ``unknown``.
 
@@ -9,7 +10,8 @@ the probability that a paragraph holds a notice. A paragraph at ``KNOWN`` or mor
 templates: the share of a template's words, in order of its 2-grams, that the paragraph holds confirms the prediction
 from ``CONFIRM`` on. What is predicted but not confirmed is returned too, marked so.
 
-Paragraphs without any word of the templates' distinctive vocabulary can't hold a notice and are not scored.
+Of a run and its lines, the run is left out where a line is confirmed for its family, or is found and the run is not
+confirmed either.
 
 Defined results: null and empty texts have no paragraphs. Repeated rows are scanned each on its own. With an empty
 corpus the model is trained on the templates alone and nothing is returned. Extra columns aren't read.
@@ -47,8 +49,6 @@ TEMPLATES = (
     ("CC-BY-NC", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC0", "To the extent possible under law, the author has waived all copyright and related rights to this work under CC0 1.0."),
 )
-#: Words that every notice holds at least one of.
-ANCHORS = ("license", "licensed", "licence", "licenced", "permission", "redistribution", "redistribute", "copyright", "cc0")
 UNKNOWN, KNOWN, CONFIRM, FEATURES, NEGATIVES = "unknown", 0.5, 0.7, 1 << 14, 4000
 
 
@@ -62,28 +62,43 @@ def _grams(tokens: Column, sizes: tuple[int, ...] = (1, 2, 3)) -> Column:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, paragraph, content) of every non-empty line."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "content"))
-    return lines.filter(F.trim("content") != "")
+    """(rid, doc_id, paragraph, n_lines, content) of every non-empty line, and of every run of two or more of them."""
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.split("text", "\n").alias("lines"))
+    entry = lambda number, content: F.struct(number.cast("int").alias("paragraph"), F.size(F.split(content, "\n")).alias("n_lines"), content.alias("content"))
+    lines = F.transform("lines", lambda x, i: entry(i, x))
+    # Lines carry their numbers, so that a run knows its first one.
+    runs = F.split(F.array_join(F.transform("lines", lambda x, i: F.when(F.trim(x, F.lit(" \t\r\f")) == "", "").otherwise(F.concat(i.cast("string"), F.lit(":"), x))), "\n"), "\n{2,}")
+    runs = F.filter(F.transform(runs, lambda x: F.trim(x, F.lit("\n"))), lambda x: F.contains(x, F.lit("\n")))
+    runs = F.transform(runs, lambda x: entry(F.regexp_extract(x, "^([0-9]+):", 1), F.regexp_replace(x, "(?m)^[0-9]+:", "")))
+    return rows.select("rid", "doc_id", F.inline(F.concat(lines, runs))).filter(F.trim("content") != "")
+
+
+def _notices(spark: SparkSession) -> DataFrame:
+    """(family, notices): the 2-grams of each template. As many rows as there are families."""
+    return spark.createDataFrame(list(TEMPLATES), "family string, content string").groupBy("family").agg(F.collect_list(F.array_distinct(_grams(_tokens(F.col("content")), (2,)))).alias("notices"))
+
+
+def _similarity() -> Column:
+    """The largest share of a notice that ``held`` holds."""
+    return F.array_max(F.transform("notices", lambda n: F.size(F.array_intersect(n, F.col("held"))) / F.size(n)))
 
 
 def _training(spark: SparkSession, lines: DataFrame, negatives: int) -> DataFrame:
-    """(family, tokens): windows of the templates, and corpus paragraphs without a template's words in a row."""
+    """(family, tokens): windows of the templates, and corpus paragraphs that no template confirms."""
     known = spark.createDataFrame(list(TEMPLATES), "family string, content string").select("family", _tokens(F.col("content")).alias("t"))
     size, half = F.size("t"), F.ceil(F.size("t") / 2).cast("int")
     windows = known.withColumn("n", F.explode(F.sequence(half, size))).withColumn("s", F.explode(F.sequence(F.lit(1), size - F.col("n") + 1)))
     positive = windows.select("family", F.slice("t", F.col("s"), F.col("n")).alias("t"))
     # The least hashes: a sample that doesn't depend on the order of rows.
-    sample = lines.filter(~_anchored(F.col("content"))).select("content").orderBy(F.xxhash64("content")).limit(negatives)
+    sample = stored(lines.select("content").orderBy(F.xxhash64("content")).limit(negatives).withColumn("number", F.monotonically_increasing_id()), "licence-sample")
+    held = sample.withColumn("held", F.array_distinct(_grams(_tokens(F.col("content")), (2,))))
+    confirmed = held.crossJoin(F.broadcast(_notices(spark))).filter(_similarity() >= CONFIRM).select("number")
+    sample = sample.join(confirmed, "number", "left_anti")
     # A word of a notice alone is no notice.
     short = known.select(F.explode("t").alias("w")).distinct().select(F.lit(UNKNOWN).alias("family"), F.array("w").alias("t"))
     return positive.union(sample.select(F.lit(UNKNOWN).alias("family"), _tokens(F.col("content")).alias("t"))).union(short)
 
 
-def _anchored(content: Column) -> Column:
-    return F.regexp_like(content, F.lit(r"(?i)\b(?:" + "|".join(ANCHORS) + r")\b"))
-
-
 class LicenseModel:
     def __init__(self, spark: SparkSession, lines: DataFrame, negatives: int = NEGATIVES):
         self.families = [*sorted({f for f, _ in TEMPLATES}), UNKNOWN]
@@ -111,16 +126,21 @@ class LicenseModel:
 
     def scan(self, lines: DataFrame) -> DataFrame:
         """doc_id, paragraph, family, probability, similarity, confirmed of the paragraphs that hold a notice."""
-        found = lines.filter(_anchored(F.col("content"))).withColumn("t", _tokens(F.col("content"))).withColumn("grams", _grams(F.col("t")))
+        found = lines.withColumn("t", _tokens(F.col("content"))).withColumn("grams", _grams(F.col("t")))
         scored = self._margin(self.model.transform(self.hashing.transform(found)))
         a, b = self.curve
         family = F.element_at(F.array(*[F.lit(f) for f in self.families[:-1]]), F.col("best").cast("int"))
-        scored = stored(scored.select("doc_id", "paragraph", family.alias("family"), (1 / (1 + F.exp(-(F.col("margin") * a + b)))).alias("probability"), F.array_distinct(_grams(F.col("t"), (2,))).alias("held")), "licence-scores")
-        # As many rows as there are families.
-        templates = lines.sparkSession.createDataFrame(list(TEMPLATES), "family string, content string").groupBy("family").agg(F.collect_list(F.array_distinct(_grams(_tokens(F.col("content")), (2,)))).alias("notices"))
-        similarity = F.array_max(F.transform("notices", lambda n: F.size(F.array_intersect(n, F.col("held"))) / F.size(n)))
-        known = scored.filter(F.col("probability") >= KNOWN).join(F.broadcast(templates), "family").withColumn("similarity", similarity)
-        return known.select("doc_id", "paragraph", "family", "probability", "similarity", (F.col("similarity") >= CONFIRM).alias("confirmed"))
+        # A filter on what is exploded isn't pushed below, where it would score each paragraph again.
+        judged = F.explode(F.array(F.struct(family.alias("family"), (1 / (1 + F.exp(-(F.col("margin") * a + b)))).alias("probability"))))
+        known = scored.select("rid", "doc_id", "paragraph", "n_lines", "t", judged.alias("j")).filter(F.col("j.probability") >= KNOWN)
+        known = known.select("rid", "doc_id", "paragraph", "n_lines", "j.*", F.array_distinct(_grams(F.col("t"), (2,))).alias("held"))
+        known = known.join(F.broadcast(_notices(lines.sparkSession)), "family").withColumn("similarity", _similarity())
+        known = stored(known.withColumn("confirmed", F.col("similarity") >= CONFIRM).drop("held", "notices"), "licence-scores")
+        # A run tells nothing more where one of its lines is confirmed, or where it is not confirmed itself but a line is found.
+        single = known.filter("n_lines = 1").select("rid", "family", F.col("paragraph").alias("line"), F.col("confirmed").alias("sure"))
+        inside = known.filter("n_lines > 1").join(single, ["rid", "family"]).filter("line >= paragraph and line < paragraph + n_lines and (sure or not confirmed)")
+        known = known.join(inside.select("rid", "family", "paragraph", "n_lines").distinct(), ["rid", "family", "paragraph", "n_lines"], "left_anti")
+        return known.select("doc_id", "paragraph", "family", "probability", "similarity", "confirmed")
 
 
 def scan(docs: DataFrame, negatives: int = NEGATIVES) -> DataFrame:

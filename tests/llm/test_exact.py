@@ -258,6 +258,15 @@ def test_license_scan(spark):
     assert got == {(1, 1, "MIT"), (5, 0, "GPL")}
 
 
+def test_license_scan_of_wrapped_and_cut_notices(spark):
+    import textwrap
+    wrapped = "\n".join(" * " + x for x in textwrap.wrap(license_scan.TEMPLATES[1][1], 76))
+    docs = spark.createDataFrame([(1, f"some text here\n\n{wrapped}\n\nmore text there"), (2, "under the terms of the GNU Lesser General Public"), (3, "nothing to see in this text")], "doc_id long, text string")
+    got = license_scan.scan(docs).collect()
+    assert (1, 2, "GPL") in {(r.doc_id, r.paragraph, r.family) for r in got if r.confirmed}
+    assert (2, 0) in {(r.doc_id, r.paragraph) for r in got} and 3 not in {r.doc_id for r in got}
+
+
 def test_pipeline_stages_keep_columns(spark, tmp_path):
     import corpus_pipeline
     given = spark.read.parquet(f"{SF_DIR}/documents.parquet")
