@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowtide.llm import (decontaminate, html_text, jaccard_join, license_scan, packing, pii, quality, topk, url_filter,
-                          warc)
+from flowtide.llm import (decontaminate, html_text, jaccard_join, license_scan, mixing, packing, pii, prefix_trie, quality,
+                          token_links, topk, url_filter, warc)
 from flowtide.llm.common import numbered, scratch_path, table
 
 PII_KEY = "surrogate-key-1"
@@ -61,6 +61,21 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs, carry=["doc_id"]).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as vocabularies
+    return token_links.align(table(spark, sf_dir, "documents"), vocabularies.path("byte_bpe_50k.tiktoken"), vocabularies.PATTERN,
+                             vocabularies.path("piece_bpe_32k.model"))
+
+
 OP2_SQL = r"""
 WITH a AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END r FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
@@ -107,6 +122,52 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) n_words, CAST(coalesce(h, 0) AS BIGINT)
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+OP11_SQL = r"""
+WITH t AS (SELECT conv_id, CAST(turn AS BIGINT) turn, CAST(length(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '') x,
+                  len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) w FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT conv_id, list({'k': substr(sha256(x), 1, 32), 'w': w} ORDER BY turn NULLS FIRST, substr(sha256(x), 1, 32), w) own FROM t GROUP BY conv_id),
+h AS (SELECT conv_id, conv_id - conv_id % 20 base, own, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+             lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda u, z: xor(u >> 1, 3988292384 * (u & 1)))), 4294967295) % 4 h FROM k),
+r AS (SELECT h.conv_id, list_concat(coalesce(b.own, [])[1:h.h], h.own[h.h + 1:]) turns FROM h LEFT JOIN k b ON b.conv_id = h.base),
+p AS (SELECT conv_id, unnest(range(0, len(turns) + 1)) depth, turns FROM r),
+m AS (SELECT conv_id, depth, len(turns) = depth ending, array_to_string(list_transform(turns[1:depth], lambda q: q.k), '') path,
+             array_to_string(list_transform(turns[1:depth - 1], lambda q: q.k), '') up, coalesce(turns[depth].w, 0) w FROM p),
+n AS (SELECT path, depth, min(up) up, min(conv_id) conv_id, count(*) n_convs, min(w) * (count(*) - 1) saved,
+             sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ending), '')) ends_sha256 FROM m GROUP BY path, depth),
+c AS (SELECT up, depth - 1 depth, count(*) n_children FROM n WHERE depth > 0 GROUP BY ALL),
+f AS (SELECT n.*, coalesce(n_children, 0) n_children FROM n LEFT JOIN c ON c.up = n.path AND c.depth = n.depth),
+s AS (SELECT a.path, count(*) FILTER (d.n_children = 0) n_leaves, sum(d.saved) saved_tokens FROM f a JOIN f d ON d.depth >= a.depth AND starts_with(d.path, a.path) GROUP BY a.path)
+SELECT f.conv_id, CAST(f.depth AS BIGINT) "depth", u.conv_id parent_conv_id, f.n_convs, CAST(f.n_children AS BIGINT) n_children, s.n_leaves,
+       CAST(s.saved_tokens AS BIGINT) saved_tokens, f.ends_sha256
+FROM f JOIN s ON s.path = f.path LEFT JOIN f u ON f.depth > 0 AND u.path = f.up AND u.depth = f.depth - 1
+"""
+
+#: Targets by sources in order of their cap; then the three fills, each as a running total in order of place.
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) size,
+                  CAST('0x' || substr(sha256(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')), 1, 15) AS BIGINT) place FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) source_size, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) weight FROM d GROUP BY source),
+c AS (SELECT *, (SELECT sum(source_size) FROM s) whole, row_number() OVER (ORDER BY 3 * source_size / weight, weight) i,
+             coalesce(sum(3 * source_size) OVER (ORDER BY 3 * source_size / weight, weight ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) cut,
+             sum(weight) OVER (ORDER BY 3 * source_size / weight DESC, weight DESC ROWS UNBOUNDED PRECEDING) free FROM s),
+l AS (SELECT CAST(whole - cut AS DOUBLE) / free rate FROM c WHERE 3 * source_size > CAST(whole - cut AS DOUBLE) / free * weight ORDER BY i LIMIT 1),
+t AS (SELECT source, source_size, coalesce(least(CAST(3 * source_size AS DOUBLE), (SELECT rate FROM l) * weight), CAST(3 * source_size AS DOUBLE)) target FROM s),
+g AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END copies FROM t),
+r0 AS (SELECT d.*, source_size, target, copies, target - copies * source_size gap0 FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+u0 AS (SELECT *, CASE WHEN size > 0 THEN CAST(sum(size) OVER (PARTITION BY source, size > 0 ORDER BY place) AS BIGINT) END upto0 FROM r0),
+r1 AS (SELECT *, gap0 - coalesce(max(upto0) FILTER (upto0 <= gap0) OVER (PARTITION BY source), 0) gap1 FROM u0),
+u1 AS (SELECT *, CASE WHEN size > 0 AND size <= gap1 AND upto0 > gap0 THEN CAST(sum(size) OVER (PARTITION BY source, size > 0 AND size <= gap1 AND upto0 > gap0 ORDER BY place) AS BIGINT) END upto1 FROM r1),
+r2 AS (SELECT *, gap1 - coalesce(max(upto1) FILTER (upto1 <= gap1) OVER (PARTITION BY source), 0) gap2 FROM u1),
+u2 AS (SELECT *, CASE WHEN size > 0 AND size <= gap2 AND upto0 > gap0 AND coalesce(upto1 > gap1, true) THEN CAST(sum(size) OVER (PARTITION BY source, size > 0 AND size <= gap2 AND upto0 > gap0 AND coalesce(upto1 > gap1, true) ORDER BY place) AS BIGINT) END upto2 FROM r2),
+r3 AS (SELECT *, gap2 - coalesce(max(upto2) FILTER (upto2 <= gap2) OVER (PARTITION BY source), 0) gap3,
+              CASE WHEN upto0 = min(upto0) FILTER (upto0 > gap0) OVER (PARTITION BY source) THEN 0
+                   WHEN upto1 = min(upto1) FILTER (upto1 > gap1) OVER (PARTITION BY source) THEN 1
+                   WHEN upto2 = min(upto2) FILTER (upto2 > gap2) OVER (PARTITION BY source) THEN 2 END edge FROM u2),
+e AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN edge IS NULL THEN 1 ELSE 0 END, abs(gap3 - size), edge) closing FROM r3)
+SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN 0 ELSE size * (copies + CASE WHEN upto0 <= gap0 OR coalesce(upto1 <= gap1, false) OR coalesce(upto2 <= gap2, false)
+       OR (edge IS NOT NULL AND closing = 1 AND abs(gap3 - size) < gap3) THEN 1 ELSE 0 END) END taken FROM e
+"""
+
 #: name -> (query, SQL or None)
 ENTRIES = {
     "op1_packing": (op1_packing, None),
@@ -119,4 +180,7 @@ ENTRIES = {
     "op8_warc": (op8_warc, OP8_SQL),
     "op9_pii": (op9_pii, None),
     "op10_html_extraction": (op10_html_extraction, None),
+    "op11_prefix_trie": (op11_prefix_trie, OP11_SQL),
+    "op12_source_mixing": (op12_source_mixing, OP12_SQL),
+    "op13_token_alignment": (op13_token_alignment, None),
 }
