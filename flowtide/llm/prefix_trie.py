@@ -150,10 +150,10 @@ class Forest:
         self._joined[right] = left
         self.top[left] = top
 
-    def open_nodes(self) -> set[int]:
-        """Nodes on the paths of the first and of the last item."""
+    def open_nodes(self, outer: tuple[int, int]) -> set[int]:
+        """Nodes on the paths of the first and of the last conversation, which ``outer`` names."""
         found: set[int] = set()
-        for at in (0, len(self.paths) - 1):
+        for at in outer:
             while at >= 0 and at not in found:
                 found.add(at)
                 at = self.parent[at]
@@ -225,10 +225,10 @@ class Writer:
             yield pa.RecordBatch.from_arrays([pa.array([row.get(f.name)], f.type) for f in _SCHEMA], schema=_SCHEMA)
 
 
-def _contracted(forest: Forest, opened: set[int], number: int) -> list[dict]:
-    """The open nodes as two paths: those above the first item, and those above the last that are no part of it."""
+def _contracted(forest: Forest, outer: tuple[int, int], number: int) -> list[dict]:
+    """The open nodes as two paths: those above the first conversation, and those above the last that are no part of it."""
     rows, seen = [], set()
-    for item in (0, len(forest.paths) - 1):
+    for item in outer:
         nodes, at = [], item
         while at >= 0:
             if at not in seen:
@@ -257,62 +257,67 @@ class _Run:
     def digest(self) -> str:
         return hashlib.sha256(",".join(self.parts).encode()).hexdigest()
 
-    def blocks(self, node: bytes) -> list[dict]:
+    def blocks(self, node: bytes, size: int) -> list[dict]:
         """The ids as blocks that a later digest puts one after the other."""
         ids, rows = ",".join(self.parts), []
         while ids:
-            cut = len(ids) if len(ids) <= BLOCK_CHARS else ids.index(",", BLOCK_CHARS) if "," in ids[BLOCK_CHARS:] else len(ids)
+            cut = ids.find(",", size)
+            cut = len(ids) if cut < 0 else cut
             rows.append({"node": node, "first_id": int(ids[:cut].split(",", 1)[0]), "ids": ids[:cut]})
             ids = ids[cut + 1:]
         return rows
 
 
-def _first_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (conv_id, keys) of one task, sorted by (keys, conv_id)."""
-    from pyspark import TaskContext
-    paths: list[bytes] = []
-    runs: list[_Run] = []
-    digests: dict[int, str | None] = {}
-    for batch in batches:
-        keys, ids = batch.column("keys").to_pylist(), batch.column("conv_id").to_pylist()
-        first = 0
-        while first < len(keys):
-            last = first + 1
-            while last < len(keys) and keys[last] == keys[first]:
-                last += 1
-            if not paths or paths[-1] != keys[first]:
-                if len(runs) > 1:
-                    digests[len(runs) - 1] = runs[-1].digest()
-                    runs[-1].parts = []
-                paths.append(keys[first])
-                runs.append(_Run())
-            runs[-1].add(ids[first:last])
-            first = last
-    if not paths:
-        return
-    ends: dict[int, str | None] = dict(digests)
-    extra: list[dict] = []
-    for k in {0, len(paths) - 1}:
-        ends[k] = None
-        extra += runs[k].blocks(digest_of(paths[k], len(paths[k]) // KEY))
-    depths = [len(p) // KEY for p in paths]
-    shared = [0, *(common(a, b) for a, b in zip(paths, paths[1:], strict=False))]
-    zeros = [0] * len(paths)
-    forest = Forest(paths, depths, shared, [r.members for r in runs], [r.least for r in runs], zeros, zeros, zeros)
-    opened, put = forest.open_nodes(), Writer()
-    # A run between the first and the last is whole, also where its node is open.
-    extra += [{"node": digest_of(paths[k], depths[k]), "ends_sha256": ends[k]} for k in opened if ends.get(k) is not None]
-    forest.closed_rows(opened, ends, put)
-    yield from put.batches(forest, extra + _contracted(forest, opened, TaskContext.get().partitionId()))
-
-
-def _merged_forest(final: bool):
-    def merge(table: pa.Table) -> pa.Table:
+def _first_forest(block: int):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (conv_id, keys) of one task, sorted by (keys, conv_id)."""
+        from pyspark import TaskContext
+        paths: list[bytes] = []
+        runs: list[_Run] = []
+        digests: dict[int, str | None] = {}
+        for batch in batches:
+            keys, ids = batch.column("keys").to_pylist(), batch.column("conv_id").to_pylist()
+            first = 0
+            while first < len(keys):
+                last = first + 1
+                while last < len(keys) and keys[last] == keys[first]:
+                    last += 1
+                if not paths or paths[-1] != keys[first]:
+                    if len(runs) > 1:
+                        digests[len(runs) - 1] = runs[-1].digest()
+                        runs[-1].parts = []
+                    paths.append(keys[first])
+                    runs.append(_Run())
+                runs[-1].add(ids[first:last])
+                first = last
+        if not paths:
+            return
+        ends: dict[int, str | None] = dict(digests)
+        extra: list[dict] = []
+        for k in {0, len(paths) - 1}:
+            ends[k] = None
+            extra += runs[k].blocks(digest_of(paths[k], len(paths[k]) // KEY), block)
+        depths = [len(p) // KEY for p in paths]
+        shared = [0, *(common(a, b) for a, b in zip(paths, paths[1:], strict=False))]
+        zeros = [0] * len(paths)
+        forest = Forest(paths, depths, shared, [r.members for r in runs], [r.least for r in runs], zeros, zeros, zeros)
+        outer = (0, len(paths) - 1)
+        opened, put = forest.open_nodes(outer), Writer()
+        # A run between the first and the last is whole, also where its node is open.
+        extra += [{"node": digest_of(paths[k], depths[k]), "ends_sha256": ends[k]} for k in opened if ends.get(k) is not None]
+        forest.closed_rows(opened, ends, put)
+        yield from put.batches(forest, extra + _contracted(forest, outer, TaskContext.get().partitionId()))
+    return task
+
+
+def _merged_forest(final: bool, merge: int):
+    def task(table: pa.Table) -> pa.Table:
         """The contracted forests of neighbouring tasks. All their nodes, sorted by path, are items of the next forest;
         equal paths add up."""
         items: list[tuple[bytes, int, list[int]]] = []
-        numbers = table.column("forest").to_pylist()
-        for path, depths, sums in zip(*(table.column(c).to_pylist() for c in ("path", "depths", "sums")), strict=True):
+        rows = list(zip(*(table.column(c).to_pylist() for c in ("forest", "path", "depths", "sums")), strict=True))
+        low, high = min(r[0] for r in rows), max(r[0] for r in rows)
+        for _, path, depths, sums in rows:
             items += [(path[:d * KEY], d, sums[5 * i:5 * i + 5]) for i, d in enumerate(depths)]
         items.sort(key=lambda item: item[0])
         paths: list[bytes] = []
@@ -326,11 +331,13 @@ def _merged_forest(final: bool):
                 sums.append(values)
         shared = [0, *(common(a, b) for a, b in zip(paths, paths[1:], strict=False))]
         forest = Forest(paths, [len(p) // KEY for p in paths], shared, *zip(*sums, strict=True))
-        opened, put = set() if final else forest.open_nodes(), Writer()
+        # Both ends of the run of tasks; shallower items sort before the first conversation.
+        outer = (paths.index(min(r[1] for r in rows if r[0] == low)), paths.index(max(r[1] for r in rows if r[0] == high)))
+        opened, put = set() if final else forest.open_nodes(outer), Writer()
         forest.closed_rows(opened, dict.fromkeys(range(len(paths))), put)
-        extra = [] if final else _contracted(forest, opened, min(numbers) // MERGE)
+        extra = [] if final else _contracted(forest, outer, low // merge)
         return pa.Table.from_batches(list(put.batches(forest, extra)), _SCHEMA)
-    return merge
+    return task
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,24 +358,27 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([node], pa.binary()), pa.array([running.hexdigest()], pa.string())], ["node", "digest"])
 
 
-def trie(rows: DataFrame) -> DataFrame:
+def trie(rows: DataFrame, tasks: int | None = None, merge: int = MERGE, block: int = BLOCK_CHARS) -> DataFrame:
     """All nodes over ``rows`` (conv_id, keys): conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves,
-    saved_tokens, ends_sha256. Each conv_id must stand once."""
+    saved_tokens, ends_sha256. Each conv_id must stand once.
+
+    ``tasks`` range partitions (at least one per ``PARTITION_BYTES`` of keys if not given), ``merge`` forests at a time,
+    ids in blocks of about ``block`` characters."""
     spark = rows.sparkSession
     rows = stored(rows.select("conv_id", "keys"), "trie-conversations")
     size = rows.agg(F.sum(F.octet_length("keys") + 8)).first()[0] or 0
-    n = max(partitions(spark), -(-size // PARTITION_BYTES))
+    n = tasks or max(partitions(spark), -(-size // PARTITION_BYTES))
     ranged = rows.repartitionByRange(n, "keys", "conv_id").sortWithinPartitions("keys", "conv_id")
-    level = stored(ranged.mapInArrow(_first_forest, _DDL), "trie-forests")
+    level = stored(ranged.mapInArrow(_first_forest(block), _DDL), "trie-forests")
     levels, blocks = [level], level.filter("ids is not null").select("node", "first_id", "ids")
     last = level.agg(F.max("forest")).first()[0]
     while last is not None:
         # Numbers of forests are those of the range tasks, so a run of numbers is a run of neighbours.
-        final = last < MERGE
-        open_paths = levels[-1].filter("path is not null").withColumn("merged", F.floor(F.col("forest") / MERGE))
-        level = stored(open_paths.groupBy("merged").applyInArrow(_merged_forest(final), _DDL), "trie-forests")
+        final = last < merge
+        open_paths = levels[-1].filter("path is not null").withColumn("merged", F.floor(F.col("forest") / merge))
+        level = stored(open_paths.groupBy("merged").applyInArrow(_merged_forest(final, merge), _DDL), "trie-forests")
         levels.append(level)
-        last = None if final else last // MERGE
+        last = None if final else last // merge
     nodes = levels[0]
     for level in levels[1:]:
         nodes = nodes.unionByName(level)
