@@ -11,7 +11,8 @@ from flowtide.operators import alerts, reputation
 from flowtide.plans.audit import Reputation
 from flowtide.plans.models import FlowModel, rule_scorer
 from flowtide.session import scratch_path
-from flowtide.streaming import live, transitions, windows
+from flowtide.streaming import live, windows
+from flowtide.streaming.alert_table import AlertTable
 
 W = dt.ALERT_WINDOW_MINUTES
 
@@ -25,13 +26,28 @@ def _detections(spark, sf):
     return dt.project_detections(_events(spark, sf))
 
 
-def _alertable(spark, sf):
+def _alertable(spark, sf, detections=None):
     """Live detections with reputation. Lists are static, so their size can be checked."""
-    reputed = reputation.with_reputation(_detections(spark, sf), dt.whitelist(spark, sf),
+    reputed = reputation.with_reputation(_detections(spark, sf) if detections is None else detections, dt.whitelist(spark, sf),
                                          dt.blacklist(spark, sf), sh.protected(spark, sf))
     return alerts.alertable(reputed)
 
 
+def _events_in_parts(spark, sf, parts: int = 4, ordered: bool = True):
+    """(stream, feeds): the detections as a stream that grows by one part at a time, cut by event time, or by id."""
+    path = scratch_path(spark, "events-in-parts")
+    events = dt.table(spark, sf, "events")
+    if ordered:
+        bounds = events.select(F.percentile_approx("ts", [(i + 1) / parts for i in range(parts - 1)]).alias("b")).first()["b"]
+        part = sum(((F.col("ts") > F.lit(b)).cast("int") for b in bounds), F.lit(0))
+    else:
+        part = F.col("event_id") % parts
+    feeds = [lambda i=i: events.filter(part == i).write.mode("append").parquet(path) for i in range(parts)]
+    feeds[0]()
+    stream = spark.readStream.schema(events.schema).parquet(path)
+    return dt.project_detections(stream), [lambda: None, *feeds[1:]]
+
+
 def _ntz(df, *columns):
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
 
@@ -59,7 +75,7 @@ def macros(spark, sf):
         F.col("source_ip").alias("src_ip"), "created_at", F.col("value").alias("Flow Duration"),
         (F.col("k") * 1.0).alias("Fwd IAT Mean"), F.col("value").alias("Fwd IAT Std"))
     out = windows.macro_stream(d, "created_at", ["Flow Duration", "Fwd IAT Mean", "Fwd IAT Std"], ["src_ip"],
-                               "1 hour", "1 minute", min_members=1, centres={"Fwd IAT Std": 50.0})
+                               "1 hour", "1 minute", min_members=1)
     got = _ntz(live.drain(out, "macro"), "window_start")
     return got.select("src_ip", "window_start", "member_count",
                       sh.rounded(F.col("`Flow Duration`")).alias("dur"),
@@ -67,14 +83,42 @@ def macros(spark, sf):
                       sh.rounded(F.col("`Fwd IAT Std`"), 3).alias("spread"))
 
 
+def macros_far_from_zero(spark, sf):
+    """Gap windows over several micro-batches, with spreads of a few units around 1e8."""
+    events, feeds = _events_in_parts(spark, sf)
+    shown = events.select(
+        F.col("source_ip").alias("src_ip"), "created_at", (F.col("k") % 3 + 1.0).alias("Total Fwd Packets"),
+        (F.lit(1e8) + F.col("k") % 5 * 0.25).alias("Fwd IAT Std"))
+    out = windows.macro_stream(shown, "created_at", ["Total Fwd Packets", "Fwd IAT Std"], ["src_ip"], "1 hour", "1 minute",
+                               min_members=1)
+    got = _ntz(live.drain(out, "macro-far", feeds), "window_start")
+    return got.select("src_ip", "window_start", "member_count", sh.rounded(F.col("`Fwd IAT Std`"), 3).alias("spread"))
+
+
 def alert_table(spark, sf):
     out = windows.alert_stream(_alertable(spark, sf), W, "1 minute")
     return _ntz(live.drain(out, "alerts"), "first_seen", "last_seen")
 
 
 def alert_transitions(spark, sf):
-    out = live.drain(transitions.alert_transitions(_alertable(spark, sf), W, "1 minute"), "transitions")
-    return out.select("source_ip", "threat_type", "kind", "occurrence", "alert_id", "id")
+    """Events of a stream in two parts, the second counted on from the stored alerts."""
+    detections, feeds = _events_in_parts(spark, sf, 2)
+    table = AlertTable(scratch_path(spark, "alert-table"), W, buckets=8)
+    live.drain_batches(_alertable(spark, sf, detections), "transitions", table.update, feeds)
+    return table.events(spark).select("source_ip", "threat_type", "kind", "occurrence", "alert_id", "id")
+
+
+def alert_upsert(spark, sf):
+    """The table after three parts that interleave in time, the last one processed twice."""
+    detections, feeds = _events_in_parts(spark, sf, 3, ordered=False)
+    table = AlertTable(scratch_path(spark, "alert-table"), W, buckets=8)
+
+    def process(batch, batch_id):
+        for _ in range(2 if batch_id == 2 else 1):
+            table.update(batch, batch_id)
+    live.drain_batches(_alertable(spark, sf, detections), "upsert", process, feeds)
+    return _ntz(table.read(spark), "first_seen", "last_seen").select(
+        "source_ip", "threat_type", "detection_id", "occurrences", "first_seen", "last_seen")
 
 
 def pipeline(spark, sf):
@@ -85,13 +129,13 @@ def pipeline(spark, sf):
     model = FlowModel("rule", ["Flow Duration", "SYN Flag Count"], ["BENIGN", "DDoS"],
                       rule_scorer("array(1 - least(`Flow Duration` / 100, 1D), least(`Flow Duration` / 100, 1D))"))
     job = live.LivePipeline(model, scratch_path(spark, "live"), Reputation(
-        dt.whitelist(spark, sf), dt.blacklist(spark, sf), sh.protected(spark, sf)))
+        dt.whitelist(spark, sf), dt.blacklist(spark, sf), sh.protected(spark, sf)), window_minutes=W)
     job.start(e, once=True).awaitTermination()
     detections = spark.read.parquet(job.path("detections"))
     logs = spark.read.parquet(job.path("logs"))
     by_severity = detections.groupBy(F.col("severity").alias("item")).agg(F.count(F.lit(1)).alias("n"))
     by_level = logs.groupBy(F.col("level").alias("item")).agg(F.count(F.lit(1)).alias("n"))
-    opened = job.alerts(spark, W).agg(F.sum("occurrences").alias("n")).select(F.lit("alerted").alias("item"), "n")
+    opened = job.alerts(spark).agg(F.sum("occurrences").alias("n")).select(F.lit("alerted").alias("item"), "n")
     return by_severity.union(by_level).union(opened)
 
 
@@ -115,12 +159,22 @@ ENTRIES = {
           FROM (SELECT *, CASE WHEN created_at - lag(created_at) OVER (PARTITION BY source_ip
             ORDER BY created_at, id) <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS opens FROM det))
         GROUP BY source_ip, session HAVING max(created_at) + INTERVAL 1 HOUR <= {_MARK}""")),
+    "stream_macro_far_values": (macros_far_from_zero, sql("det", f"""
+        SELECT source_ip AS src_ip, min(created_at) AS window_start, count(*) AS member_count,
+          round(round(CASE WHEN sum(w) <= 1 THEN 0 ELSE sqrt(sum(w * (x - centre) ** 2) / sum(w)) END, 6) + 1e-7, 3) AS spread
+        FROM (SELECT *, sum(x * w) OVER (PARTITION BY source_ip, session) / sum(w) OVER (PARTITION BY source_ip, session) AS centre
+          FROM (SELECT *, k % 3 + 1.0 AS w, 1e8 + k % 5 * 0.25 AS x, sum(opens) OVER (PARTITION BY source_ip ORDER BY created_at, id) AS session
+            FROM (SELECT *, CASE WHEN created_at - lag(created_at) OVER (PARTITION BY source_ip
+              ORDER BY created_at, id) <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS opens FROM det)))
+        GROUP BY source_ip, session HAVING max(created_at) + INTERVAL 1 HOUR <= {_MARK}""")),
     "stream_alerts": (alert_table, sql("alerts", f"""
         SELECT source_ip, threat_type, occurrences, first_seen, last_seen, detection_id FROM alerts
         WHERE last_seen + INTERVAL {W} MINUTE <= (SELECT max(created_at) - INTERVAL 1 MINUTE FROM alertable)""")),
     "stream_alert_transitions": (alert_transitions, sql("occ", """
         SELECT source_ip, threat_type, CASE WHEN occurrence = 1 THEN 'NEW' ELSE 'ESCALATION' END AS kind,
           occurrence, alert_id, id FROM occ WHERE occurrence IN (1, 5, 10, 25, 50, 100)""")),
+    "stream_alert_upsert": (alert_upsert, sql("alerts", """
+        SELECT source_ip, threat_type, detection_id, occurrences, first_seen, last_seen FROM alerts""")),
     "stream_live_pipeline": (pipeline, sql("rep", """
         SELECT CASE WHEN is_blacklisted AND NOT is_protected THEN 'CRITICAL' WHEN c < 0.5 THEN ''
             WHEN c >= 0.9 THEN 'CRITICAL' WHEN c >= 0.7 THEN 'HIGH' ELSE 'MEDIUM' END AS item, count(*) AS n

@@ -68,6 +68,46 @@ def gap_windows(spark, sf):
                       rounded(F.col("Fwd IAT Mean")).alias("iat"))
 
 
+_HARD = ["Flow Duration", "Flow IAT Std", "Flow IAT Mean", "Total Fwd Packets", "Destination Port"]
+
+
+def _hard_flows(spark, sf):
+    """Flows with null key members, members that aren't finite, spread around 1e8, and a port that isn't a key."""
+    at = "l_orderkey % 7"
+    return dt.flows(spark, sf).selectExpr(
+        "l_orderkey", "l_linenumber", f"CASE WHEN {at} = 0 THEN NULL ELSE src_ip END AS src_ip",
+        f"CASE WHEN {at} = 1 THEN NULL ELSE protocol END AS protocol",
+        f"CASE WHEN {at} = 2 THEN double('Infinity') WHEN {at} = 3 THEN double('NaN') ELSE `Flow Duration` END AS `Flow Duration`",
+        "1e8 + l_orderkey % 5 * 0.25 AS `Flow IAT Std`",
+        f"CASE WHEN {at} = 4 THEN NULL ELSE `Flow IAT Mean` END AS `Flow IAT Mean`", "`Total Fwd Packets`",
+        "CAST(l_linenumber * 100 + l_orderkey % 3 AS DOUBLE) AS `Destination Port`")
+
+
+def null_keys(spark, sf):
+    """Null key members group like values; the port is that of the first member by order and line."""
+    out = macro.assemble(_hard_flows(spark, sf), ["src_ip", "protocol"], _HARD, order_by=["l_orderkey", "l_linenumber"])
+    return out.select("src_ip", "protocol", "member_count", rounded(col("Flow Duration")).alias("dur"),
+                      rounded(col("Flow IAT Std")).alias("spread"), rounded(col("Flow IAT Mean"), 3).alias("iat"),
+                      col("Destination Port").alias("port"))
+
+
+def null_key_members(spark, sf):
+    """Every flow of a null key gets its macro-flow's size back."""
+    rows = _hard_flows(spark, sf)
+    units = macro.assemble(rows, ["src_ip", "protocol"], ["Total Fwd Packets"])
+    back = macro.attribute(rows.select("l_orderkey", "l_linenumber", "src_ip", "protocol"),
+                           units.select("src_ip", "protocol", "member_count"), ["src_ip", "protocol"])
+    return back.select("l_orderkey", "l_linenumber", "src_ip", "protocol", "member_count")
+
+
+_HARD_SQL = """
+  SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 7 = 0 THEN NULL ELSE src_ip END AS src_ip,
+    CASE WHEN l_orderkey % 7 = 1 THEN NULL ELSE protocol END AS protocol,
+    CASE WHEN l_orderkey % 7 IN (2, 3) THEN 0 ELSE dur END AS dur, 1e8 + l_orderkey % 5 * 0.25 AS spread,
+    CASE WHEN l_orderkey % 7 = 4 THEN NULL ELSE iatmean END AS iat, fwd AS w,
+    CAST(l_linenumber * 100 + l_orderkey % 3 AS DOUBLE) AS port FROM flows"""
+
+
 def _assemble_sql(keys: str, weight: str, lone: bool) -> str:
     names = ["src_ip", "dst_ip", "dst_port", "protocol"] if keys == "all" else [keys]
     k = ", ".join(names)
@@ -95,6 +135,18 @@ ENTRIES = {
     "macro_assemble": (assemble, _assemble_sql("all", "fwd + aps", True)),
     "macro_assemble_packet_weight": (assemble_packets, _assemble_sql("all", "fwd", False)),
     "macro_assemble_custom_key": (assemble_by_source, _assemble_sql("src_ip", "fwd + aps", True)),
+    "macro_null_key": (null_keys, sql("flows", """
+        SELECT h.src_ip, h.protocol, count(*) AS member_count, round(round(sum(dur), 6) + 1e-7, 4) AS dur,
+          round(round(CASE WHEN count(*) = 1 THEN max(spread) WHEN sum(w) <= 1 THEN 0
+            ELSE sqrt(sum(w * (spread - m.centre) ** 2) / sum(w)) END, 6) + 1e-7, 4) AS spread,
+          round(round(CASE WHEN count(*) = 1 THEN max(iat) ELSE sum(iat * w) / sum(w) FILTER (iat IS NOT NULL) END, 6) + 1e-7, 3) AS iat,
+          first(port ORDER BY l_orderkey, l_linenumber) AS port
+        FROM hard h JOIN centres m ON h.src_ip IS NOT DISTINCT FROM m.src_ip AND h.protocol IS NOT DISTINCT FROM m.protocol
+        GROUP BY h.src_ip, h.protocol""", hard=_HARD_SQL,
+        centres="SELECT src_ip, protocol, sum(spread * w) / sum(w) AS centre FROM hard GROUP BY src_ip, protocol")),
+    "macro_null_key_members": (null_key_members, sql("flows", """
+        SELECT l_orderkey, l_linenumber, src_ip, protocol, count(*) OVER (PARTITION BY src_ip, protocol) AS member_count
+        FROM hard""", hard=_HARD_SQL)),
     "macro_attribution": (attribution, sql("flows", """
         SELECT l_orderkey, l_linenumber, src_port, f.src_ip, f.dst_ip, f.dst_port, f.protocol,
           member_count, prediction

@@ -70,10 +70,11 @@ def alerts(events: DataFrame, window_minutes: float = WINDOW_MINUTES,
 
 
 def alert_events(events: DataFrame, window_minutes: float = WINDOW_MINUTES,
-                 levels: tuple[int, ...] = ESCALATION_LEVELS) -> DataFrame:
+                 levels: tuple[int, ...] = ESCALATION_LEVELS, known: DataFrame | None = None) -> DataFrame:
     """NEW and ESCALATION events with the detection that caused them.
 
-    Only the first ``max(levels)`` events of a slot can matter. The rank filter lets Spark drop
+    ``known`` holds the newest alert of each key from before these events; events within the window of it go on
+    counting. Only the first ``max(levels)`` events of a slot can matter. The rank filter lets Spark drop
     the rest before the shuffle, so a flood never travels.
     """
     deepest = max(levels)
@@ -81,7 +82,13 @@ def alert_events(events: DataFrame, window_minutes: float = WINDOW_MINUTES,
     ranked = (slotted.withColumn("_rn", F.row_number().over(
         Window.partitionBy(*KEY, "slot").orderBy("created_at", "id")))
         .filter(F.col("_rn") <= deepest))
-    sessions = with_sessions(_slots(events, window_minutes), KEY, window_minutes * 60)
+    slots = _slots(events, window_minutes)
+    if known is not None:
+        # A known alert stands before all slots, with its last event and all its occurrences.
+        slots = slots.unionByName(known.select(
+            *KEY, F.lit(-(1 << 63)).cast("long").alias("slot"), F.col("occurrences").alias("n"), F.col("last_seen").alias("first_seen"), "last_seen",
+            F.struct(F.col("first_seen").alias("created_at"), F.col("detection_id").alias("id")).alias("opening")))
+    sessions = with_sessions(slots, KEY, window_minutes * 60)
     # The opening detection of the first slot identifies the alert.
     opened = sessions.withColumn("alert_id", F.first("opening").over(
         Window.partitionBy(*KEY, "session").orderBy("slot")).getField("id"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from flowtide.functions import naming
 from flowtide.operators.align import is_finite
 from flowtide.operators.gaps import tag_sessions
-from flowtide.operators.skew import HOT_ROWS, attach, null_safe_join
+from flowtide.operators.skew import HOT_ROWS, attach
 from flowtide.schemas import IDENTITY_COLUMNS, col
 
 DEFAULT_KEY = ("src_ip", "dst_ip", "dst_port", "protocol")
@@ -24,6 +24,10 @@ class MacroPlan:
         self.min_members = min_members
         self.roles = {f: naming.role_of(f) for f in self.features}
         self.order_by = list(order_by)
+        # Without an order the first member is the first one read.
+        self._reads = "identity" in self.roles.values() and not self.order_by
+        if self._reads:
+            self.order_by = ["_at"]
         self._weight_inputs = naming.packet_weight_features(self.features, weighting)
         self._duration_input = naming.duration_feature(self.features)
 
@@ -41,18 +45,24 @@ class MacroPlan:
         duration = (F.coalesce(self._clean(self._duration_input), zero)
                     if self._duration_input else zero)
         cleaned = {f: self._clean(f) for f in self.features if self.roles[f] != "identity"}
+        if self._reads:
+            cleaned["_at"] = F.monotonically_increasing_id()
         return flows.withColumns({"_w": F.when(total > 0, total).otherwise(F.lit(1.0)),
                                   "_d": duration, **cleaned})
 
-    def first_pass(self) -> list[Column]:
-        """One partial-aggregable expression list covering every role but the spread."""
+    def reducers(self) -> list[Column]:
+        """One expression list covering every role; all of it combines map-side.
+
+        STD keeps moments that merge without losing digits: the plain mean u of x, and the co-moments of x with the
+        weight w and with w * x, which Spark updates and merges around running means. From these follow
+        sum w (x - u) and sum w (x - u)^2, so nothing of the size of x^2 is ever subtracted.
+        """
         aggs = [F.count(F.lit(1)).alias("member_count")]
         for f in self.features:
             c, role = col(f), self.roles[f]
             present_w = F.when(c.isNotNull(), F.col("_w"))
             if role == "identity":
-                aggs.append((F.min_by(c, F.struct(*[col(o) for o in self.order_by]))
-                             if self.order_by else F.min(c)).alias(f))
+                aggs.append(F.min_by(c, F.struct(*[col(o) for o in self.order_by])).alias(f))
                 continue
             if role == "sum":
                 value = F.sum(c)
@@ -64,24 +74,22 @@ class MacroPlan:
                 value = F.max(c)
             elif role == "min":
                 value = F.min(c)
-            else:  # mean, and the centre of std
+            elif role == "mean":
                 value = F.sum(c * F.col("_w")) / F.sum(present_w)
             if role == "std":
-                aggs += [value.alias(f"_c:{f}"), F.sum(present_w).alias(f"_W:{f}")]
+                aggs += [F.sum(present_w).alias(f"_W:{f}"), F.count(c).alias(f"_n:{f}"), F.avg(c).alias(f"_u:{f}"),
+                         F.covar_pop(c, F.col("_w")).alias(f"_cw:{f}"), F.covar_pop(c, F.col("_w") * c).alias(f"_cx:{f}")]
             else:
                 aggs.append(value.alias(f))
             if role in ("rate", "mean", "std") and self.min_members > 1:
                 aggs.append(F.max(c).alias(f"_1:{f}"))
         return aggs
 
-    @property
-    def spread_features(self) -> list[str]:
-        return [f for f in self.features if self.roles[f] == "std"]
-
-    def second_pass(self) -> list[Column]:
-        """Weighted sums of squared distances from the group's own centre."""
-        return [F.sum(F.col("_w") * F.pow(col(f) - col(f"_c:{f}"), 2)).alias(f"_m2:{f}")
-                for f in self.spread_features]
+    def _spread(self, f: str) -> Column:
+        """Weighted sum of squared distances from the weighted mean u + d, where d = sum w (x - u) / sum w."""
+        n, off = col(f"_n:{f}"), col(f"_n:{f}") * col(f"_cw:{f}")
+        around = n * col(f"_cx:{f}") - col(f"_u:{f}") * off
+        return around - off * off / col(f"_W:{f}")
 
     def finish(self, keys: Sequence[str], grouped: DataFrame) -> DataFrame:
         """Round to 6 digits; a lone member below the threshold passes through untouched."""
@@ -95,7 +103,7 @@ class MacroPlan:
             if role == "std":
                 weight = col(f"_W:{f}")
                 value = (F.when(weight <= 1.0, F.lit(0.0))
-                         .when(weight > 1.0, F.sqrt(F.greatest(F.lit(0.0), col(f"_m2:{f}") / weight))))
+                         .when(weight > 1.0, F.sqrt(F.greatest(F.lit(0.0), self._spread(f) / weight))))
             else:
                 value = col(f)
             raw = col(f"_1:{f}") if role in ("rate", "mean", "std") and self.min_members > 1 else value
@@ -112,30 +120,18 @@ def macro_features(flows: DataFrame, key: Sequence[str], exclude: Sequence[str]
 
 def assemble(flows: DataFrame, key: Sequence[str] = DEFAULT_KEY,
              features: Sequence[str] | None = None, min_members: int = 2,
-             weighting: str = "reference", order_by: Sequence[str] = (),
-             hot_rows: int = HOT_ROWS) -> DataFrame:
+             weighting: str = "reference", order_by: Sequence[str] = ()) -> DataFrame:
     """One row per key: ``key..., member_count, features...``.
 
-    ``src_port`` is left out of the default key so rotating source ports collapse. All reducers
-    but STD are algebraic and combine map-side, so a flood key costs one partial row per task.
-    STD takes a second pass around the group's centre, which reaches the members through a
-    join that never gathers a hot key.
+    ``src_port`` is left out of the default key so rotating source ports collapse. All reducers combine map-side, so
+    the source is read once and a flood key costs one partial row per task. An identity feature, such as a port, takes
+    the value of the first member by ``order_by``, or of the first one read.
     """
     key = list(key)
     if features is None:
         features = macro_features(flows, key, order_by)
     plan = MacroPlan([f for f in features if f not in key], min_members, weighting, order_by)
-    members = plan.with_inputs(flows)
-    first = members.groupBy(*[col(k) for k in key]).agg(*plan.first_pass())
-    spread = plan.spread_features
-    if not spread:
-        return plan.finish(key, first)
-    centres = first.select(*[col(k) for k in key], "member_count",
-                           *[col(f"_c:{f}") for f in spread])
-    narrow = members.select(*[col(k) for k in key], "_w", *[col(f) for f in spread])
-    second = (attach(narrow, centres, key, "member_count", hot_rows)
-              .groupBy(*[col(k) for k in key]).agg(*plan.second_pass()))
-    return plan.finish(key, null_safe_join(first, second, key))
+    return plan.finish(key, plan.with_inputs(flows).groupBy(*[col(k) for k in key]).agg(*plan.reducers()))
 
 
 def attribute(flows: DataFrame, verdicts: DataFrame, key: Sequence[str] = DEFAULT_KEY,

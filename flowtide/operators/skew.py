@@ -30,25 +30,25 @@ def attach(big: DataFrame, per_key: DataFrame, keys: Sequence[str], count_col: s
            hot_rows: int = HOT_ROWS) -> DataFrame:
     """Left-join one row per key onto ``big`` without sending a hot key to one task.
 
-    ``count_col`` of ``per_key`` is the number of rows of ``big`` under the key. Rows of hot
-    keys meet a broadcast of the few hot entries and are never shuffled; all other rows take
-    an ordinary shuffle join. Null key members match like values, as in the grouping that made
-    ``per_key``. Columns of ``per_key`` other than the keys are added.
+    ``count_col`` of ``per_key`` is the number of rows of ``big`` under the key. A hot key is split: its entry is
+    repeated once per ``hot_rows`` rows, and its rows are dealt over these copies by a broadcast of the few hot keys.
+    ``big`` is read and shuffled once. Null key members match like values, as in the grouping that made ``per_key``.
+    Columns of ``per_key`` other than the keys are added.
     """
     keys = list(keys)
     values = [c for c in per_key.columns if c not in keys]
-    # One struct keeps both branches on the same aggregate, so its shuffle is reused.
-    packed = per_key.select(*[col(k) for k in keys],
-                            F.struct(*[col(v) for v in values]).alias("__v"))
-    is_hot = F.col(f"__v.`{count_col}`") > F.lit(hot_rows)
-    hot = F.broadcast(packed.filter(is_hot))
-    cold = packed.filter(~is_hot)
-    added = [F.col(f"__v.`{v}`").alias(v) for v in values]
-    own = [col(c) for c in big.columns]
-    hot_rows_df = null_safe_join(big, hot, keys, "inner").select(*own, *added)
-    unhot = null_safe_join(big, hot.select(*[col(k) for k in keys], F.col("__v").alias("__hot")), keys)
-    cold_rows_df = null_safe_join(unhot.filter(F.col("__hot").isNull()).drop("__hot"), cold, keys).select(*own, *added)
-    return hot_rows_df.unionByName(cold_rows_df)
+    # One struct keeps both uses on the same aggregate, so its shuffle is reused.
+    packed = per_key.select(*[col(k) for k in keys], F.struct(*[col(v) for v in values]).alias("__v"))
+    count = F.coalesce(F.col(f"__v.`{count_col}`"), F.lit(0))
+    parts = F.greatest(F.ceil(count / F.lit(hot_rows)), F.lit(1))
+    hot = F.broadcast(packed.filter(count > hot_rows).select(*[col(k) for k in keys], parts.alias("__parts")))
+    # Rows are dealt by their number in the task, so that copies of one row spread as well.
+    dealt = F.when(F.col("__parts").isNotNull(), F.pmod(F.xxhash64(F.col("__row")), F.col("__parts"))).otherwise(F.lit(0))
+    numbered = big.withColumn("__row", F.monotonically_increasing_id())
+    salted = null_safe_join(numbered, hot, keys).withColumn("__salt", dealt.cast("long"))
+    copies = packed.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1)))
+    return null_safe_join(salted, copies, [*keys, "__salt"]).select(
+        *[col(c) for c in big.columns], *[F.col(f"__v.`{v}`").alias(v) for v in values])
 
 
 def is_bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:

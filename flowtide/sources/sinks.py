@@ -38,3 +38,9 @@ def log_export(logs: DataFrame, source: str | None = None, level: str | None = N
 def purge(spark: SparkSession, path: str, schema: T.StructType) -> None:
     """Leave an empty table of the given schema."""
     spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is there."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -11,7 +12,8 @@ from flowtide.operators import alerts, align, decide, reports
 from flowtide.plans.audit import Reputation, detect, detection_rows
 from flowtide.plans.models import FlowModel
 from flowtide.session import scratch_path
-from flowtide.sources.sinks import write_batch
+from flowtide.sources.sinks import exists, write_batch
+from flowtide.streaming.alert_table import AlertTable
 
 FLUSH_SECONDS = 10
 
@@ -32,6 +34,11 @@ class LivePipeline:
     time_col: str = "created_at"
     min_coverage: float = 0.5
     late_after_seconds: float | None = None
+    window_minutes: float = alerts.WINDOW_MINUTES
+
+    @property
+    def alert_table(self) -> AlertTable:
+        return AlertTable(self.path("alerts"), self.window_minutes)
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -54,16 +61,19 @@ class LivePipeline:
         write_batch(rejected, self.path("rejected"), batch_id)
         write_batch(decide.audit_log(stored), self.path("logs"), batch_id)
         write_batch(alerts.alertable(stored), self.path("alertable"), batch_id)
+        self.alert_table.update(spark.read.parquet(f"{self.path('alertable')}/batch_id={batch_id}"), batch_id)
         flows.unpersist()
 
     def _set_late_aside(self, batch: DataFrame, batch_id: int) -> DataFrame:
         """Rows older than the newest event of earlier batches minus the allowance go to the
         ``late`` table instead of being scored; none is lost."""
         spark = batch.sparkSession
-        newest = batch.agg(F.max(self.time_col).alias("newest"))
-        write_batch(newest, self.path("progress"), batch_id)
-        earlier = spark.read.parquet(self.path("progress")).filter(F.col("batch_id") < batch_id)
-        edge = earlier.agg(F.max("newest")).first()[0]
+        # Each batch stores the newest event of itself and all before it, so the next one reads a single row.
+        edge = None
+        if batch_id and exists(spark, f"{self.path('progress')}/batch_id={batch_id - 1}"):
+            edge = spark.read.schema("newest timestamp").parquet(f"{self.path('progress')}/batch_id={batch_id - 1}").first()[0]
+        newest = F.greatest(F.max(F.col(self.time_col).cast("timestamp")), F.lit(edge).cast("timestamp")).alias("newest")
+        write_batch(batch.agg(newest), self.path("progress"), batch_id)
         if edge is None:
             return batch
         allowed = F.lit(edge) - F.make_dt_interval(secs=F.lit(float(self.late_after_seconds)))
@@ -87,9 +97,9 @@ class LivePipeline:
         return (writer.trigger(availableNow=True) if once
                 else writer.trigger(processingTime=f"{seconds} seconds")).start()
 
-    def alerts(self, spark: SparkSession, window_minutes: float = alerts.WINDOW_MINUTES) -> DataFrame:
-        """Alerts over everything stored so far."""
-        return alerts.alerts(spark.read.parquet(self.path("alertable")), window_minutes)
+    def alerts(self, spark: SparkSession) -> DataFrame:
+        """Alerts over everything stored so far, as folded batch by batch."""
+        return self.alert_table.read(spark)
 
     def recent(self, spark: SparkSession, limit: int = 100) -> DataFrame:
         """Newest live results, newest first."""
@@ -114,13 +124,23 @@ def late_rows(batch: DataFrame, time_col: str, watermark) -> tuple[DataFrame, Da
     return batch.filter(~late), batch.filter(late)
 
 
-def drain(stream: DataFrame, label: str) -> DataFrame:
-    """Run an append-mode query over what its source holds and read the result table back."""
+def drain(stream: DataFrame, label: str, feeds: Iterable[Callable[[], None]] = (lambda: None,)) -> DataFrame:
+    """Run an append-mode query over what its source holds and read the result table back. ``feeds`` add to the source;
+    the query goes on after each of them, from its checkpoint."""
     spark = stream.sparkSession
     base = scratch_path(spark, label)
-    query = (stream.writeStream.format("parquet").outputMode("append").option("path", f"{base}/rows")
-             .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
-    query.awaitTermination()
+    for feed in feeds:
+        feed()
+        query = (stream.writeStream.format("parquet").outputMode("append").option("path", f"{base}/rows")
+                 .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
+        query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")
 
 
+def drain_batches(stream: DataFrame, label: str, process: Callable[[DataFrame, int], None],
+                  feeds: Iterable[Callable[[], None]] = (lambda: None,)) -> None:
+    """Like ``drain``, with ``process`` called on every micro-batch."""
+    base = scratch_path(stream.sparkSession, label)
+    for feed in feeds:
+        feed()
+        stream.writeStream.foreachBatch(process).option("checkpointLocation", base).trigger(availableNow=True).start().awaitTermination()

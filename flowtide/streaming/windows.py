@@ -41,29 +41,17 @@ def sliding_rate(stream: DataFrame, ts: str, delay: str, width: str = "1 minute"
 
 def macro_stream(stream: DataFrame, ts: str, features: Sequence[str], key: Sequence[str] = DEFAULT_KEY,
                  gap: str = "10 seconds", delay: str = "10 seconds", min_members: int = 2,
-                 weighting: str = "reference", centres: dict[str, float] | None = None) -> DataFrame:
+                 weighting: str = "reference", order_by: Sequence[str] = ()) -> DataFrame:
     """Macro-flows over gap windows: a key pausing longer than the gap closes its macro-flow.
 
-    A stream passes once, so STD comes from weighted moments taken around ``centres`` (for
-    example a scaler's means) instead of a second pass.
+    The reducers are those of the batch form, so values far from zero keep their spread here too: the window's state
+    holds the same mergeable moments, whatever micro-batches the members come in.
     """
     merge_locally(stream.sparkSession)
-    plan = MacroPlan(features, min_members, weighting)
-    centres = centres or {}
+    plan = MacroPlan(features, min_members, weighting, order_by or [ts])
     members = plan.with_inputs(_event_time(stream, ts)).withWatermark(ts, delay)
-    moments = []
-    for f in plan.spread_features:
-        shifted = col(f) - F.lit(float(centres.get(f, 0.0)))
-        moments += [F.sum(F.col("_w") * shifted).alias(f"_s1:{f}"),
-                    F.sum(F.col("_w") * shifted * shifted).alias(f"_s2:{f}")]
-    grouped = members.groupBy(*[col(k) for k in key], F.session_window(ts, gap).alias("_win")).agg(
-        *plan.first_pass(), *moments)
-    spread = {}
-    for f in plan.spread_features:
-        w = col(f"_W:{f}")
-        spread[f"_m2:{f}"] = col(f"_s2:{f}") - col(f"_s1:{f}") * col(f"_s1:{f}") / w
-    named = grouped.withColumns({"window_start": F.col("_win.start"), **spread})
-    return plan.finish([*key, "window_start"], named)
+    grouped = members.groupBy(*[col(k) for k in key], F.session_window(ts, gap).alias("_win")).agg(*plan.reducers())
+    return plan.finish([*key, "window_start"], grouped.withColumn("window_start", F.col("_win.start")))
 
 
 def alert_stream(stream: DataFrame, window_minutes: float, delay: str) -> DataFrame:

@@ -80,7 +80,7 @@ def test_hot_key_keeps_every_row(spark, hot_rows):
         "CASE WHEN id < 10000 THEN 'hot' ELSE concat('k', id % 500) END AS src_ip", "'d' AS dst_ip",
         "CAST(id AS INT) AS src_port", "80 AS dst_port", "6 AS protocol", "CAST(id % 7 AS DOUBLE) AS `Flow IAT Std`",
         "CAST(1 + id % 3 AS DOUBLE) AS `Total Fwd Packets`"))
-    m = macro.assemble(f, hot_rows=hot_rows)
+    m = macro.assemble(f)
     rows = macro.attribute(f, m.select(*macro.DEFAULT_KEY, "member_count"), hot_rows=hot_rows)
     assert rows.count() == 12_000 and rows.select("src_port").distinct().count() == 12_000
     assert rows.filter("member_count IS NULL").count() == 0
@@ -103,7 +103,7 @@ def test_null_key_members_form_one_group(spark):
     flows = spark.createDataFrame(rows, "src_ip string, dst_ip string, `Packet Length Std` double, v double")
     key = ("src_ip", "dst_ip")
     for hot in (5_000_000, 1):
-        units = macro.assemble(flows, key=key, features=["Packet Length Std", "v"], hot_rows=hot)
+        units = macro.assemble(flows, key=key, features=["Packet Length Std", "v"])
         assert {r.src_ip: r.member_count for r in units.collect()} == {None: 2, "x": 2}
         assert all(r["Packet Length Std"] is not None for r in units.collect())
         back = macro.attribute(flows, units.select(*key, "member_count"), key, hot_rows=hot).collect()

@@ -8,7 +8,8 @@ from flowtide.plans.audit import Reputation
 from flowtide.plans.models import FlowModel, rule_scorer
 from flowtide.schemas import col
 from flowtide.session import scratch_path
-from flowtide.streaming import live, packets, transitions, windows
+from flowtide.streaming import live, packets, windows
+from flowtide.streaming.alert_table import AlertTable
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -30,14 +31,75 @@ def alert_rows(spark, n=400):
         " AS created_at")
 
 
-@pytest.mark.parametrize("parts", [1, 4])
-def test_transitions_equal_batch(spark, parts):
+ALERTS = ["source_ip", "threat_type", "detection_id", "occurrences", "first_seen", "last_seen"]
+
+
+def rows_of(df, names):
+    return sorted(tuple(r) for r in df.select(*names).collect())
+
+
+@pytest.mark.parametrize("settle", [None, 20])
+def test_alert_table_equals_batch(spark, settle):
+    """Four batches in order, the third one processed twice: alerts and events are those of one pass."""
     df = alert_rows(spark)
-    out = live.drain(transitions.alert_transitions(staged(spark, df, "id", parts, "alerts-in"), 5, "1 hour"), "t")
+    table = AlertTable(scratch_path(spark, "alerts"), 5, buckets=4, settle_minutes=settle)
+    assert table.read(spark).count() == 0
+    for batch in (0, 1, 2, 2, 3):
+        table.update(df.filter(F.col("id").between(batch * 100, batch * 100 + 99)), batch)
+    assert rows_of(table.read(spark), ALERTS) == rows_of(alerts.alerts(df, 5), ALERTS)
     names = ["source_ip", "kind", "occurrence", "alert_id", "id"]
-    got = sorted(map(tuple, out.select(*names).collect()))
-    want = sorted(map(tuple, alerts.alert_events(df, 5).select(*names).collect()))
-    assert got == want and len(got) > 20
+    got = rows_of(table.events(spark), names)
+    assert got == rows_of(alerts.alert_events(df, 5), names) and len(got) > 20
+    if settle:
+        assert spark.read.parquet(f"{table.root}/settled").count() > 0
+    table.vacuum(spark, keep=1)
+    assert rows_of(table.read(spark), ALERTS) == rows_of(alerts.alerts(df, 5), ALERTS)
+
+
+def test_alert_table_takes_parts_in_any_order(spark):
+    df = alert_rows(spark)
+    table = AlertTable(scratch_path(spark, "alerts"), 5, buckets=4)
+    for batch in range(3):
+        table.update(df.filter(F.col("id") % 3 == 2 - batch), batch)
+    assert rows_of(table.read(spark), ALERTS) == rows_of(alerts.alerts(df, 5), ALERTS)
+
+
+def test_an_unfinished_batch_stays_unseen(spark, monkeypatch):
+    df = alert_rows(spark)
+    table = AlertTable(scratch_path(spark, "alerts"), 5, buckets=4)
+    table.update(df.filter("id < 200"), 0)
+    before = rows_of(table.read(spark), ALERTS)
+    monkeypatch.setattr(AlertTable, "_commit", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError, match="lost"):
+        table.update(df.filter("id >= 200"), 1)
+    assert rows_of(table.read(spark), ALERTS) == before
+    monkeypatch.undo()
+    table.update(df.filter("id >= 200"), 1)
+    assert rows_of(table.read(spark), ALERTS) == rows_of(alerts.alerts(df, 5), ALERTS)
+
+
+def test_a_flood_shuffles_few_rows(spark):
+    """The rank filter stands below the shuffle: a task sends at most as many rows of a key and slot as levels need."""
+    plan = alerts.alert_events(alert_rows(spark), 5)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and plan.index("Final") < plan.index("Partial")
+
+
+def test_streamed_spread_far_from_zero(spark):
+    df = spark.range(200).selectExpr(
+        "id", "concat('s', id % 2) AS src_ip", "timestamp_micros(1704067200000000 + id * 1000000) AS ts",
+        "1e8 + id % 5 * 0.5 AS `Flow IAT Std`", "CAST(1 + id % 3 AS DOUBLE) AS `Total Fwd Packets`", "CAST(id AS DOUBLE) AS `Destination Port`")
+    features = ["Flow IAT Std", "Total Fwd Packets", "Destination Port"]
+    tail = spark.range(1).selectExpr("200 AS id", "'z' AS src_ip", "timestamp'2024-01-02' AS ts", "0D AS `Flow IAT Std`", "1D AS `Total Fwd Packets`", "0D AS `Destination Port`")
+    out = live.drain(windows.macro_stream(staged(spark, df.union(tail), "id", 5, "far-in"), "ts", features, ["src_ip"]), "far")
+    batch = macro.assemble(df, ["src_ip"], features, order_by=["ts"])
+    names = ["src_ip", "member_count", *features]
+    got, want = (sorted(tuple(r) for r in f.select(*[col(n) for n in names]).collect()) for f in (out, batch))
+    assert got == want and [r[4] for r in got] == [0.0, 1.0]
+    for src, _, spread, *_ in got:
+        ids = [i for i in range(200) if i % 2 == int(src[1])]
+        w = [1 + i % 3 for i in ids]
+        mean = sum(a * (i % 5) * 0.5 for a, i in zip(w, ids)) / sum(w)
+        assert abs(spread - (sum(a * ((i % 5) * 0.5 - mean) ** 2 for a, i in zip(w, ids)) / sum(w)) ** 0.5) < 1e-6
 
 
 def test_alert_windows_equal_batch(spark):
@@ -92,7 +154,7 @@ def test_live_pipeline(spark):
     assert cleaned.count() == 90 and cleaned.filter("prediction IS NULL").count() == 0
     assert spark.read.parquet(job.path("logs")).filter("source = 'CAPTURE'").count() == 90
     assert rows.filter("is_blacklisted AND severity <> 'CRITICAL'").count() == 0
-    total = job.alerts(spark, 10).agg(F.sum("occurrences")).first()[0]
+    total = job.alerts(spark).agg(F.sum("occurrences")).first()[0]
     assert total == rows.filter("NOT is_whitelisted AND (is_blacklisted OR prediction <> 0)").count()
     assert [r.created_at for r in job.recent(spark, 2).collect()] == [T0 + dt.timedelta(seconds=s) for s in (89, 88)]
     assert live.progress(query)["input_rows"] == 90 and not live.progress(query)["is_running"]
