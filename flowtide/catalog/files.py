@@ -46,6 +46,21 @@ def labelled_scan(spark, sf):
     return merged.groupBy("Label").agg(F.count(F.lit(1)).alias("n"), F.count("Flow Duration").alias("durations"))
 
 
+def labelled_rejects(spark, sf):
+    """What a scan of labelled files leaves out, by reason, next to what it keeps: the counts add up to the files."""
+    flows, path = dt.flows(spark, sf), scratch_path(spark, "labelled")
+    line = F.concat_ws(",", "l_linenumber", col("Flow Duration").cast("string"), F.when(F.col("dst_port") == 22, "SSH-Patator").otherwise("BENIGN"))
+    # Every fifth order has a cell too many, every seventh one too few.
+    cut = F.when(F.col("l_orderkey") % 5 == 0, F.concat(line, F.lit(",extra"))).when(
+        F.col("l_orderkey") % 7 == 0, F.col("l_linenumber").cast("string")).otherwise(line)
+    labelled = flows.select(cut.alias("SYN Flag Count,Flow Duration, Label"))
+    labelled.write.csv(f"{path}/a", header=True, quote="\x00", sep="\x01")
+    flows.filter("dst_port = 80").select("l_orderkey", "l_linenumber").write.csv(f"{path}/b", header=True)
+    rows, rejects = readers.scan_labelled(spark, [f"{path}/a", f"{path}/b", f"{path}/absent"])
+    return (rejects.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+            .union(rows.groupBy(F.lit("kept").alias("reason")).agg(F.count("Flow Duration").alias("n"))))
+
+
 def label_pool(spark, sf):
     f = dt.flows(spark, sf).withColumn("Label", F.when(F.col("dst_port") == 22, " SSH-Patator").otherwise("BENIGN"))
     order = ["l_orderkey", "l_linenumber", "src_port", "src_ip", "dst_ip", "Flow Duration", "Average Packet Size"]
@@ -168,6 +183,11 @@ ENTRIES = {
     "labelled_folder_scan": (labelled_scan, sql("flows", """
         SELECT CASE WHEN dst_port = 22 THEN 'SSH-Patator' ELSE 'BENIGN' END AS Label, 2 * count(*) AS n,
           2 * count(*) FILTER (WHERE NOT broken) AS durations FROM r GROUP BY 1""", r=_ROW)),
+    "labelled_rejects": (labelled_rejects, sql("flows", """
+        SELECT 'missing' AS reason, CAST(1 AS BIGINT) AS n UNION ALL
+        SELECT 'no column Label', count(*) FROM flows WHERE dst_port = 80 UNION ALL
+        SELECT 'does not fit the header', count(*) FROM flows WHERE l_orderkey % 5 = 0 OR l_orderkey % 7 = 0 UNION ALL
+        SELECT 'kept', count(*) FROM flows WHERE l_orderkey % 5 <> 0 AND l_orderkey % 7 <> 0""")),
     "label_pool": (label_pool, sql("flows", """
         SELECT l_orderkey, l_linenumber, dur FROM flows WHERE dst_port = 22
         ORDER BY l_orderkey, l_linenumber, src_port, src_ip, dst_ip, dur, aps LIMIT 500""")),

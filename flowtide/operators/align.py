@@ -14,7 +14,6 @@ NON_FEATURES = frozenset({"label", "timestamp", "flow id", "prediction", "confid
 
 UNKNOWN_ADDRESS = "Unknown"
 # Feature objects spelling more keys than this are not flow features.
-MAX_SPELLINGS = 10_000
 
 
 def as_double(value: Column) -> Column:
@@ -145,21 +144,31 @@ def drop_unusable(df: DataFrame) -> DataFrame:
     return df.filter(condition)
 
 
+def _supplies(key: Column, required: Sequence[str]) -> Column:
+    """Whether a key can supply one of the required names: the name resolution as an expression."""
+    wanted = {c for name in required for c in naming.lookups(name)}
+    direct = sorted(wanted | {s for s, c in naming.FEATURE_CLASS.items() if c in wanted})
+    worded = sorted({k for name in required for k in (naming.canonical(name), naming.squeeze(name))})
+    words = F.regexp_extract_all(F.lower(F.regexp_replace(key, r"[\s_.\-/]+", "_")), F.lit(r"(\d+|[^\d_]+)"), F.lit(1))
+    table = F.create_map(*[F.lit(x) for pair in naming.WORD_CLASS.items() for x in pair])
+    canonical = F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(table, w), w)), "")
+    plain = F.lower(F.regexp_replace(key, r"[\s_.\-/]+", ""))
+    return plain.isin(direct) | plain.isin(worded) | canonical.isin(worded)
+
+
 def align_json(df: DataFrame, json_col: str, required: Sequence[str], keep: Sequence[str] = (),
                fill: float = 0.0) -> DataFrame:
     """Align feature objects stored as JSON text, one object per row.
 
-    Feature spellings are a vocabulary, so the distinct keys are listed once and resolved on
-    the driver; values never leave the executors.
+    Keys that can supply none of the required names are dropped where they are read, however many there are. The
+    spellings left, variants of the required names, are resolved on the driver; values never leave the executors.
     """
     # Texts first, so that one value which is no number leaves the others readable.
     texts = F.from_json(col(json_col), "map<string,string>")
     bag = F.transform_values(texts, lambda k, v: v.try_cast("double"))
     parsed = df.withColumn("_bag", bag)
     names = parsed.select(F.explode(F.map_keys("_bag")).alias("k")).distinct()
-    spelled = sorted(r[0] for r in names.limit(MAX_SPELLINGS + 1).collect())
-    if len(spelled) > MAX_SPELLINGS:
-        raise ValueError(f"{json_col} holds over {MAX_SPELLINGS} different keys: not feature names")
+    spelled = sorted(r[0] for r in names.filter(_supplies(F.col("k"), required)).collect())
     wide = parsed.select(*[col(k) for k in keep],
                          *[F.col("_bag").getItem(s).alias(f"f:{i}") for i, s in enumerate(spelled)])
     back = {s: f"f:{i}" for i, s in enumerate(spelled)}

@@ -231,28 +231,42 @@ def feature_categories(features: DataFrame, column: str = "feature") -> DataFram
 
 
 def exact_split(df: DataFrame, label: str, identity: Sequence[str], share: float = 0.2,
-                seed: int = 42, buckets: int = 1 << 20) -> DataFrame:
+                seed: int = 42, buckets: int = 1 << 16) -> DataFrame:
     """Add ``is_test``: exactly round(share * n) rows of every class, chosen by a seeded hash.
 
-    Per class only the bucket holding the cut is ranked row by row; buckets below it are test,
-    above it train. Bucket sizes come from a map-side combined count, so a class of any size is
-    spread over a million buckets.
+    Rows stand in the order of (bucket, hash). Counts per class and bucket, combined map-side, name the bucket that
+    holds each class's cut; only the hashes of that bucket are shuffled, to find the hash at the cut. Every row is
+    then decided where it is, by a broadcast of one row per class. Rows that share the hash at the cut, which are
+    repeats of one identity, are ranked among themselves if only some of them are wanted.
     """
-    from flowtide.operators.skew import attach
-    hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), *identity)).withColumn(
-        "_b", F.pmod(F.col("_h"), F.lit(buckets)))
+    from flowtide.operators.skew import is_bounded, null_safe_join
+    from flowtide.session import durable
+    hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), *identity)).withColumn("_b", F.pmod(F.col("_h"), F.lit(buckets)))
     sizes = hashed.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_n"))
     by_class = Window.partitionBy(label)
-    upto = by_class.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    upto = F.sum("_n").over(by_class.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     quota = F.floor(F.sum("_n").over(by_class) * share + 0.5)
-    cuts = (sizes.withColumn("_quota", quota)
-            .withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0)))
-            .withColumn("_take", F.greatest(F.lit(0), F.least("_n", F.col("_quota") - F.col("_before"))))
-            .select(label, "_b", "_n", "_take"))
-    tagged = attach(hashed, cuts, [label, "_b"], "_n")
-    whole = F.col("_take") == F.col("_n")
-    partial = tagged.filter((F.col("_take") > 0) & ~whole)
-    rank = F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h", *identity))
-    ranked = partial.withColumn("is_test", rank <= F.col("_take"))
-    plain = tagged.filter((F.col("_take") == 0) | whole).withColumn("is_test", whole & (F.col("_take") > 0))
-    return ranked.unionByName(plain).drop("_h", "_b", "_n", "_take")
+    cuts = (sizes.withColumns({"_upto": upto, "_quota": quota})
+            .filter((F.col("_quota") <= F.col("_upto")) & (F.col("_quota") > F.col("_upto") - F.col("_n")))
+            .select(label, F.col("_b").alias("_cut"), (F.col("_quota") - F.col("_upto") + F.col("_n")).alias("_rest")))
+    cuts = durable(cuts, "split-cuts")
+
+    def met(rows: DataFrame, classes: DataFrame) -> DataFrame:
+        return null_safe_join(rows, F.broadcast(classes) if is_bounded(classes) else classes, [label])
+
+    edge = met(hashed.select(label, "_h", "_b"), cuts).filter(F.col("_b") == F.col("_cut")).groupBy(label, "_h", "_rest").agg(
+        F.count(F.lit(1)).alias("_n"))
+    reached = F.sum("_n").over(Window.partitionBy(label).orderBy("_h").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    at_cut = (edge.withColumn("_upto", reached).filter((F.col("_upto") >= F.col("_rest")) & (F.col("_upto") - F.col("_n") < F.col("_rest")))
+              .select(label, F.col("_h").alias("_last"), (F.col("_rest") - F.col("_upto") + F.col("_n")).alias("_take"), F.col("_n").alias("_of")))
+    cuts = durable(null_safe_join(cuts, at_cut, [label]), "split-cuts")
+    tagged = met(hashed, cuts)
+    at = F.coalesce((F.col("_b") == F.col("_cut")) & (F.col("_h") == F.col("_last")), F.lit(False))
+    below = F.coalesce((F.col("_b") < F.col("_cut")) | ((F.col("_b") == F.col("_cut")) & (F.col("_h") < F.col("_last"))), F.lit(False))
+    extra = ["_h", "_b", "_cut", "_rest", "_last", "_take", "_of"]
+    if not cuts.filter("_take < _of").limit(1).count():
+        return tagged.withColumn("is_test", below | at).drop(*extra)
+    some = at & (F.col("_take") < F.col("_of"))
+    rank = F.row_number().over(Window.partitionBy(label).orderBy(*identity))
+    ranked = tagged.filter(some).withColumn("is_test", rank <= F.col("_take"))
+    return tagged.filter(~some).withColumn("is_test", below | at).unionByName(ranked).drop(*extra)

@@ -138,7 +138,8 @@ def prepare(df: DataFrame, label: str = LABEL, test_share: float = 0.2, seed: in
     """
     cleaned = clean(df, label)
     classes = label_classes(cleaned.rows, label)
-    encoded = encode(cleaned.rows, classes, label)
+    # Cleaning drops repeated rows, which shuffles; the split reads the result more than once.
+    encoded = durable(encode(cleaned.rows, classes, label), "cleaned")
     identity = [f"`{f}`" for f in cleaned.features]
     split = durable(evaluate.exact_split(encoded, "y", identity, test_share, seed), "split")
     train, test = split.filter("is_test = false"), split.filter("is_test")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import csv
 import json
+from collections import Counter
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -11,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from flowtide.functions.scalars import slash_names
 from flowtide.operators import align, evaluate
 from flowtide.schemas import col
+from flowtide.sources.sinks import exists, listed
 
 
 class EmptyInput(ValueError):
@@ -44,39 +48,89 @@ def flows_of(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     return align.flows_from_frame(df, max_rows)
 
 
-def read_labelled(spark: SparkSession, paths: Sequence[str], label: str = "Label") -> DataFrame:
-    """Labelled CSV files merged by column name; unreadable files are left out, and having none
-    left is an error. Feature cells that are not numbers become null."""
-    layouts: dict[tuple[str, ...], list[str]] = {}
-    problems = []
-    for path in paths:
-        try:
-            columns = tuple(read_csv(spark, path).columns)
-        except EmptyInput as exc:
-            problems.append(str(exc))
-            continue
-        if label not in columns:
-            problems.append(f"{path} lacks {label}")
+_BAD_LINE = "_bad_line"
+_REJECTS = "file string, reason string, line string"
+
+
+def _header(line: str) -> list[str]:
+    """Trimmed titles; a repeated one gets its position, so that every column has a name of its own."""
+    titles = [t.strip() for t in next(csv.reader([line.lstrip("\ufeff")]))]
+    return [t if t and titles.count(t) == 1 else f"{t}{i}" for i, t in enumerate(titles)]
+
+
+def _first_lines(spark: SparkSession, files: Sequence[str]) -> dict[str, str]:
+    """The first line of every file, by one job over all of them."""
+    lines = (spark.read.text(list(files)).select("value", "_metadata.file_path", "_metadata.file_block_start")
+             .filter("file_block_start = 0").withColumn("at", F.monotonically_increasing_id()))
+    return {unquote(r["file_path"]): r["first"] for r in lines.groupBy("file_path").agg(F.min_by("value", "at").alias("first")).collect()}
+
+
+def scan_labelled(spark: SparkSession, paths: Sequence[str], label: str = "Label") -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of labelled CSV files, merged by column name; nothing is lost on the way.
+
+    Every data line of a file is a row or a reject (file, reason, line); blank lines and repeats of the header are no data. Rejected are lines that don't fit their file's
+    header, all lines of a file without the label column, and, with a null line, files that are missing or empty.
+    Feature cells that are not numbers become null. A path given twice counts twice.
+    """
+    rejected: list[tuple[str, str, None]] = []
+    layouts: dict[tuple[str, ...], list[tuple[str, str]]] = {}
+    for times, group in _by_times(paths):
+        there = [p for p in group if exists(spark, p)]
+        rejected += [(p, "missing", None) for p in group if p not in there] * times
+        if not there:
             continue
-        layouts.setdefault(columns, []).append(path)
-    if not layouts:
-        raise EmptyInput("no usable file: " + "; ".join(problems))
+        sizes = dict(f for p in there for f in listed(spark, p))
+        rejected += [(f, "empty", None) for f, size in sizes.items() if not size] * times
+        filled = [f for f, size in sizes.items() if size]
+        for file, line in (_first_lines(spark, filled) if filled else {}).items():
+            layouts.setdefault(tuple(_header(line)), []).extend([(file, line)] * times)
+    rows, rejects = None, spark.createDataFrame(rejected, _REJECTS)
     # One scan per distinct header, so thousands of like files stay one scan.
-    merged = None
     for columns, files in layouts.items():
-        frame = read_csv(spark, files)
-        merged = frame if merged is None else merged.unionByName(frame, allowMissingColumns=True)
-    return typed(merged, label)
+        lines = (spark.read.text([f for f, _ in files]).select("value", F.col("_metadata.file_path").alias("file"))
+                 .filter((F.trim("value") != "") & ~F.col("value").isin(sorted({line for _, line in files}))))
+        if label in columns:
+            fields = T.StructType([T.StructField(c, T.StringType()) for c in (*columns, _BAD_LINE)])
+            cells = F.from_csv("value", fields.toDDL(), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD_LINE,
+                                                         "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"})
+            parsed = lines.withColumn("cells", cells)
+            fits = F.col(f"cells.{_BAD_LINE}").isNull()
+            good, lines = parsed.filter(fits).select(*[F.col(f"cells.`{c}`").alias(c) for c in columns]), parsed.filter(~fits)
+            rows = good if rows is None else rows.unionByName(good, allowMissingColumns=True)
+            reason = "does not fit the header"
+        else:
+            reason = f"no column {label}"
+        rejects = rejects.unionByName(lines.select("file", F.lit(reason).alias("reason"), F.col("value").alias("line")))
+    if rows is None:
+        raise EmptyInput("no usable file: " + "; ".join(f"{p}: {why}" for p, why, _ in rejected) + f"; {len(layouts)} headers lack {label}")
+    return typed(rows, label), rejects
+
+
+def _by_times(paths: Sequence[str]) -> list[tuple[int, list[str]]]:
+    """Distinct paths, grouped by how often they are given."""
+    groups: dict[int, list[str]] = {}
+    for path, times in Counter(paths).items():
+        groups.setdefault(times, []).append(path)
+    return list(groups.items())
 
 
-def read_labelled_folder(spark: SparkSession, folder: str, label: str = "Label") -> DataFrame:
-    """Every CSV file of a folder, merged as above. Only file names are listed up front."""
+def read_labelled(spark: SparkSession, paths: Sequence[str], label: str = "Label") -> DataFrame:
+    """The rows of ``scan_labelled``; having none is an error."""
+    return scan_labelled(spark, paths, label)[0]
+
+
+def labelled_files(spark: SparkSession, folder: str) -> list[str]:
+    """The CSV files of a folder. Only names are listed."""
     try:
         found = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder)
-        paths = sorted(r[0] for r in found.filter("length > 0").select("path").collect())
+        return sorted(unquote(r[0]) for r in found.select("path").collect())
     except AnalysisException as exc:
         raise EmptyInput(f"cannot list {folder}: {exc}") from exc
-    return read_labelled(spark, paths, label)
+
+
+def read_labelled_folder(spark: SparkSession, folder: str, label: str = "Label") -> DataFrame:
+    """Every CSV file of a folder, merged as above."""
+    return read_labelled(spark, labelled_files(spark, folder), label)
 
 
 def typed(df: DataFrame, label: str = "Label") -> DataFrame:

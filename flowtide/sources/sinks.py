@@ -44,3 +44,10 @@ def exists(spark: SparkSession, path: str) -> bool:
     """Whether a folder is there."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+
+
+def listed(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(file, bytes) of a file or of the files of a folder, without hidden ones."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    entries = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)
+    return [(e.getPath().toString(), e.getLen()) for e in entries if e.isFile() and not e.getPath().getName().startswith(("_", "."))]

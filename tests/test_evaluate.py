@@ -89,3 +89,14 @@ def test_split_is_exact_and_repeatable(spark, buckets):
     assert first.count() == 1000
     again = evaluate.exact_split(df.repartition(5), "label", ["id"], buckets=buckets)
     assert first.filter("is_test").select("id").exceptAll(again.filter("is_test").select("id")).count() == 0
+
+
+def test_split_of_repeats_null_classes_and_plan(spark):
+    """Repeated identities straddle the cut; a null class is a class; wide rows of a plain split aren't shuffled."""
+    rows = spark.range(1000).selectExpr("id div 40 AS id", "CASE WHEN id % 2 = 0 THEN NULL ELSE 'b' END AS label", "repeat('x', 50) AS wide")
+    out = evaluate.exact_split(rows, "label", ["id"], buckets=16)
+    sizes = {r.label: (r.n, r.t) for r in out.groupBy("label").agg(F.count("*").alias("n"), F.count_if("is_test").alias("t")).collect()}
+    assert sizes == {None: (500, 100), "b": (500, 100)} and out.columns == [*rows.columns, "is_test"]
+    alone = spark.range(1000).selectExpr("id", "id % 3 AS label", "repeat('x', 50) AS wide")
+    plan = evaluate.exact_split(alone, "label", ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan

@@ -40,8 +40,25 @@ def test_later_direct_column_wins_then_earlier_ones_follow():
     assert naming.resolve(names, ["Flow Duration"])["Flow Duration"] == ["Flow Duration", "flow_duration"]
 
 
-def test_iat_expands_as_a_word():
-    assert "flowiatmaximum" in naming.spellings("flow_iat_max")
+def test_words_of_one_class_agree():
+    assert naming.canonical("Flow IAT Maximum") == naming.canonical("flow_iat_max")
+    assert naming.resolve(["Forward Packet Average"], ["fwd_pkts_mean"])["fwd_pkts_mean"] == ["Forward Packet Average"]
+
+
+def test_many_synonyms_resolve_at_once():
+    left = " ".join(["fwd", "pkts", "byts", "mean", "tot"] * 20)
+    right = "_".join(["forward", "packet", "bytes", "average", "total"] * 20)
+    assert naming.resolve([right], [left])[left] == [right]
+
+
+def test_words_end_between_letters_and_digits():
+    assert naming.tokens("Pkt2Len.10x") == ["pkt", "2", "len", "10", "x"]
+    assert naming.resolve(["packets2 length"], ["pkt 2 len"])["pkt 2 len"] == ["packets2 length"]
+
+
+def test_groups_that_share_a_word_are_one_class():
+    found = naming.classes([("a", "b"), ("c", "d"), ("d", "b"), ("e", "f")])
+    assert len({found[w] for w in "abcd"}) == 1 and found["e"] == found["f"] != found["a"]
 
 
 def test_weight_features():

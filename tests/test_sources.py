@@ -46,6 +46,17 @@ def test_labelled_files_merge_and_bad_ones_are_skipped(spark, tmp_path):
         readers.read_labelled(spark, [c])
 
 
+def test_every_line_is_a_row_or_a_reject(spark, tmp_path):
+    a = write(tmp_path / "a b.csv", "x, y, Label\n1,2,BENIGN\n3,4\n5,6,DDoS,7\n")
+    c = write(tmp_path / "c.csv", "y\n5\n\"6,7\n")
+    empty, gone = write(tmp_path / "empty.csv", ""), str(tmp_path / "none.csv")
+    rows, rejects = readers.scan_labelled(spark, [a, c, empty, gone, c])
+    assert [tuple(r) for r in rows.collect()] == [(1.0, 2.0, "BENIGN")]
+    got = sorted((r.file.rsplit("/", 1)[1].replace("%20", " "), r.reason, r.line or "") for r in rejects.collect())
+    assert got == sorted([("a b.csv", "does not fit the header", "3,4"), ("a b.csv", "does not fit the header", "5,6,DDoS,7"), ("none.csv", "missing", ""),
+                          ("empty.csv", "empty", ""), *[("c.csv", "no column Label", v) for v in ("5", '"6,7') * 2]])
+
+
 def test_folder_of_labelled_files(spark, tmp_path):
     for i in range(3):
         write(tmp_path / f"{i}.csv", f"x,Label\n{i},BENIGN\n")
