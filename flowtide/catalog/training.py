@@ -63,6 +63,12 @@ def compare(spark, sf):
     return reports
 
 
+def compare_checks(spark, sf):
+    """What the reports must hold whatever the trees: held-out rows per class, and quality beyond doubt."""
+    out = compare(spark, sf).filter("class IN ('BENIGN', 'DDoS', 'PortScan')")
+    return out.select("model", "class", F.col("support").cast("long").alias("support"), (F.col("f1") > 0.8).alias("good"))
+
+
 def registered(spark, sf):
     """Train, store, load and evaluate a stored forest on all flows."""
     f = _labelled(spark, sf).drop("l_orderkey", "l_linenumber")
@@ -105,6 +111,9 @@ ENTRIES = {
         SELECT count(DISTINCT (dur, fwd, bps, plstd, iatmax, syn, aps)) AS n, 7 AS features, 'Constant' AS dropped
         FROM f""", f=_LAB)),
     "train_and_compare": (compare, None),
+    "training_supports": (compare_checks, sql("flows", """
+        SELECT model, Label AS class, CAST(floor(count(DISTINCT (dur, fwd, bps, plstd, iatmax, syn, aps)) * 0.2 + 0.5) AS BIGINT) AS support, TRUE AS good
+        FROM f, (VALUES ('random_forest'), ('boosted')) m(model) GROUP BY ALL""", f=_LAB)),
     "registered_model_evaluation": (registered, None),
     "macro_training_windows": (windows, None),
     "macro_training": (macro_models, None),

@@ -6,18 +6,20 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
 from flowtide.operators import align, evaluate, macro
 from flowtide.operators.skew import Slices
+from flowtide.plans import boosting
+from flowtide.plans.boosting import BoostedTrees
 from flowtide.plans.models import FlowModel, ml_scorer
 from flowtide.schemas import col
 from flowtide.session import durable
 from flowtide.sources.readers import evaluation_payload, read_sidecar, write_json, write_sidecar
 
-LABEL = "Label"
+LABEL, BOOSTED = "Label", "boosted"
 # Spark trees stop at this depth; the reference forests grow without a limit.
 MAX_TREE_DEPTH = 30
 
@@ -94,19 +96,19 @@ def train_forest(df: DataFrame, features: Sequence[str], trees: int = 150, depth
 
 
 def train_boosted(df: DataFrame, features: Sequence[str], rounds: int = 150, depth: int = 6,
-                  rate: float = 0.1, seed: int = 42, subsample: float = 1.0) -> PipelineModel:
-    """Boosted trees, one binary model per class. Metrics differ from a joint softmax model."""
-    trees = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed,
-                          subsamplingRate=subsample)
-    rest = OneVsRest(classifier=trees, labelCol="y", featuresCol="features")
-    return Pipeline(stages=[_assembler(features), rest]).fit(positional(df, features))
+                  rate: float = 0.1, seed: int = 42, subsample: float = 1.0, classes: int | None = None) -> BoostedTrees:
+    """Boosted trees under one softmax over all classes."""
+    plain = positional(df, features)
+    if classes is None:
+        classes = int(plain.agg(F.max("y")).first()[0]) + 1
+    return boosting.train(plain, [f"x{i}" for i in range(len(features))], classes, rounds, depth, rate, seed, subsample)
 
 
-def as_flow_model(name: str, fitted: PipelineModel, features: Sequence[str], classes: Sequence[str],
+def as_flow_model(name: str, fitted: PipelineModel | BoostedTrees, features: Sequence[str], classes: Sequence[str],
                   scaler: dict[str, tuple[float, float]] | None = None, model_id: int = 0,
                   threshold: float = 0.5) -> FlowModel:
     """Wrap a fitted pipeline so raw aligned features can be scored: scaling happens inside."""
-    run = ml_scorer(fitted)
+    run = fitted.score if isinstance(fitted, BoostedTrees) else ml_scorer(fitted)
 
     def score(df: DataFrame) -> DataFrame:
         inputs = []
@@ -181,7 +183,12 @@ def train_and_compare(df: DataFrame, out: str | None = None, trees: int = 150, r
 
 
 def save_model(spark, model: FlowModel, path: str, model_type: str, version: str = "1.0") -> None:
-    model.extra["fitted"].write().overwrite().save(f"{path}/model")
+    fitted = model.extra["fitted"]
+    if isinstance(fitted, BoostedTrees):
+        fitted.save(spark, f"{path}/model")
+        model_type = BOOSTED
+    else:
+        fitted.write().overwrite().save(f"{path}/model")
     write_sidecar(spark, f"{path}/sidecar", model.features, model_type, version, model.classes,
                   {f: list(v) for f, v in model.extra["scaler"].items()})
 
@@ -189,8 +196,9 @@ def save_model(spark, model: FlowModel, path: str, model_type: str, version: str
 def load_model(spark, path: str, name: str, model_id: int = 0, threshold: float = 0.5) -> FlowModel:
     meta = read_sidecar(spark, f"{path}/sidecar")
     scaler = {f: tuple(v) for f, v in (meta.get("scaler") or {}).items()}
-    return as_flow_model(name, PipelineModel.load(f"{path}/model"), meta["feature_names"], meta["classes"],
-                         scaler or None, model_id, threshold)
+    boosted = meta.get("model_type") == BOOSTED
+    fitted = BoostedTrees.load(spark, f"{path}/model") if boosted else PipelineModel.load(f"{path}/model")
+    return as_flow_model(name, fitted, meta["feature_names"], meta["classes"], scaler or None, model_id, threshold)
 
 
 def evaluate_registered(model: FlowModel, labelled: DataFrame, label: str = LABEL,
