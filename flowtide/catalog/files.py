@@ -146,9 +146,8 @@ def evaluation_document(spark, sf):
         "class", rounded(F.col("f1"), 6).alias("f1"), F.col("support").cast("long").alias("support"))
 
 
-def _packets(spark, sf):
+def packets_of(d):
     """Events as packets between a user and one of five servers; every third one is a reply."""
-    d = dt.detections(spark, sf)
     reply = F.col("id") % 3 == 2
     user, server = F.col("source_ip"), F.concat(F.lit("172.16.0."), F.col("k") % 5)
     return d.select(
@@ -161,7 +160,10 @@ def _packets(spark, sf):
 
 
 def packet_flows(spark, sf):
-    f = packets.flows(_packets(spark, sf), idle=IDLE, activity=3600)
+    return shown_flows(packets.flows(packets_of(dt.detections(spark, sf)), idle=IDLE, activity=3600))
+
+
+def shown_flows(f):
     r = lambda name, alias: rounded(col(name)).alias(alias)
     return f.select("src_ip", "dst_ip", F.col("flow_start"), r("Flow Duration", "duration"),
                     r("Total Fwd Packets", "fwd"), r("Total Backward Packets", "bwd"),
@@ -171,6 +173,40 @@ def packet_flows(spark, sf):
                     r("Init_Win_bytes_forward", "init_win"), r("Idle Max", "idle_max"), r("Active Max", "active_max"))
 
 
+def flow_sql(having: str = "") -> str:
+    """Flows of the packets above, in plain SQL."""
+    return sql("det", f"""
+        SELECT arg_min(src_ip, (ts, packet_no)) AS src_ip, arg_min(dst_ip, (ts, packet_no)) AS dst_ip,
+          min(ts) AS flow_start, CAST(epoch_us(max(ts)) - epoch_us(min(ts)) AS DOUBLE) AS duration,
+          CAST(count(*) FILTER (WHERE fwd) AS DOUBLE) AS fwd, CAST(count(*) FILTER (WHERE NOT fwd) AS DOUBLE) AS bwd,
+          CAST(coalesce(sum(payload) FILTER (WHERE fwd), 0) AS DOUBLE) AS fwd_bytes,
+          round(coalesce(stddev_samp(payload), 0) + 1e-7, 4) AS len_std,
+          CAST(coalesce(max(gap), 0) AS DOUBLE) AS iat_max, CAST(coalesce(min(gap), 0) AS DOUBLE) AS iat_min,
+          CAST(coalesce(sum(same) FILTER (WHERE fwd), 0) AS DOUBLE) AS fwd_iat,
+          CAST(coalesce(max(same) FILTER (WHERE NOT fwd), 0) AS DOUBLE) AS bwd_iat_max,
+          CAST(count(*) FILTER (WHERE (k % 64) & 2 <> 0) AS DOUBLE) AS syn,
+          CAST(coalesce(arg_min(k * 100, (ts, packet_no)) FILTER (WHERE fwd), 0) AS DOUBLE) AS init_win,
+          CAST(coalesce(max(gap) FILTER (WHERE gap > 3600000000), 0) AS DOUBLE) AS idle_max,
+          any_value(active) AS active_max
+        FROM d JOIN (SELECT usr, srv, flow, CAST(coalesce(max(len) FILTER (WHERE len > 0), 0) AS DOUBLE) AS active
+          FROM (SELECT usr, srv, flow, period, epoch_us(max(ts)) - epoch_us(min(ts)) AS len FROM (
+            SELECT *, sum(CASE WHEN gap > 3600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY usr, srv, flow
+              ORDER BY ts, packet_no) AS period FROM d) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3) a
+          USING (usr, srv, flow)
+        GROUP BY usr, srv, flow {having}""",
+        p="""SELECT id AS packet_no, created_at AS ts, source_ip AS usr, '172.16.0.' || (k % 5) AS srv, k,
+               CAST(floor(value) AS INTEGER) AS payload, id % 3 = 2 AS reply,
+               CASE WHEN id % 3 = 2 THEN '172.16.0.' || (k % 5) ELSE source_ip END AS src_ip,
+               CASE WHEN id % 3 = 2 THEN source_ip ELSE '172.16.0.' || (k % 5) END AS dst_ip FROM det""",
+        f="""SELECT *, sum(opens) OVER (PARTITION BY usr, srv ORDER BY ts, packet_no) AS flow FROM (
+               SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY usr, srv ORDER BY ts, packet_no)
+                 <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS opens FROM p)""",
+        d="""SELECT *, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY usr, srv, flow ORDER BY ts, packet_no))
+               AS gap, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY usr, srv, flow, reply
+               ORDER BY ts, packet_no)) AS same,
+               reply = first_value(reply) OVER (PARTITION BY usr, srv, flow ORDER BY ts, packet_no) AS fwd FROM f""")
+
+
 _ROW = "SELECT *, l_orderkey % 7 = 0 AS broken FROM flows"
 _UNIT = """SELECT src_ip, dst_ip, dst_port, protocol, count(*) AS n,
   CASE WHEN least(sum(l_linenumber) / 7, 1.0) >= 0.5 THEN 1 ELSE 0 END AS prediction
@@ -224,34 +260,5 @@ ENTRIES = {
             (WHERE actual = c) + count(*) FILTER (WHERE pred_b = c), 0), 0) + 1e-7, 6) AS f1,
           count(*) FILTER (WHERE actual = c) AS support
         FROM lab, range(10) r(c) GROUP BY c""")),
-    "packet_flows": (packet_flows, sql("det", """
-        SELECT arg_min(src_ip, (ts, packet_no)) AS src_ip, arg_min(dst_ip, (ts, packet_no)) AS dst_ip,
-          min(ts) AS flow_start, CAST(epoch_us(max(ts)) - epoch_us(min(ts)) AS DOUBLE) AS duration,
-          CAST(count(*) FILTER (WHERE fwd) AS DOUBLE) AS fwd, CAST(count(*) FILTER (WHERE NOT fwd) AS DOUBLE) AS bwd,
-          CAST(coalesce(sum(payload) FILTER (WHERE fwd), 0) AS DOUBLE) AS fwd_bytes,
-          round(coalesce(stddev_samp(payload), 0) + 1e-7, 4) AS len_std,
-          CAST(coalesce(max(gap), 0) AS DOUBLE) AS iat_max, CAST(coalesce(min(gap), 0) AS DOUBLE) AS iat_min,
-          CAST(coalesce(sum(same) FILTER (WHERE fwd), 0) AS DOUBLE) AS fwd_iat,
-          CAST(coalesce(max(same) FILTER (WHERE NOT fwd), 0) AS DOUBLE) AS bwd_iat_max,
-          CAST(count(*) FILTER (WHERE (k % 64) & 2 <> 0) AS DOUBLE) AS syn,
-          CAST(coalesce(arg_min(k * 100, (ts, packet_no)) FILTER (WHERE fwd), 0) AS DOUBLE) AS init_win,
-          CAST(coalesce(max(gap) FILTER (WHERE gap > 3600000000), 0) AS DOUBLE) AS idle_max,
-          any_value(active) AS active_max
-        FROM d JOIN (SELECT usr, srv, flow, CAST(coalesce(max(len) FILTER (WHERE len > 0), 0) AS DOUBLE) AS active
-          FROM (SELECT usr, srv, flow, period, epoch_us(max(ts)) - epoch_us(min(ts)) AS len FROM (
-            SELECT *, sum(CASE WHEN gap > 3600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY usr, srv, flow
-              ORDER BY ts, packet_no) AS period FROM d) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3) a
-          USING (usr, srv, flow)
-        GROUP BY usr, srv, flow""",
-        p="""SELECT id AS packet_no, created_at AS ts, source_ip AS usr, '172.16.0.' || (k % 5) AS srv, k,
-               CAST(floor(value) AS INTEGER) AS payload, id % 3 = 2 AS reply,
-               CASE WHEN id % 3 = 2 THEN '172.16.0.' || (k % 5) ELSE source_ip END AS src_ip,
-               CASE WHEN id % 3 = 2 THEN source_ip ELSE '172.16.0.' || (k % 5) END AS dst_ip FROM det""",
-        f="""SELECT *, sum(opens) OVER (PARTITION BY usr, srv ORDER BY ts, packet_no) AS flow FROM (
-               SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY usr, srv ORDER BY ts, packet_no)
-                 <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS opens FROM p)""",
-        d="""SELECT *, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY usr, srv, flow ORDER BY ts, packet_no))
-               AS gap, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY usr, srv, flow, reply
-               ORDER BY ts, packet_no)) AS same,
-               reply = first_value(reply) OVER (PARTITION BY usr, srv, flow ORDER BY ts, packet_no) AS fwd FROM f""")),
+    "packet_flows": (packet_flows, flow_sql()),
 }

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowtide import driver_tables as dt
-from flowtide.catalog import _shared as sh
+from flowtide.catalog import _shared as sh, files
 from flowtide.catalog.ansi import sql
 from flowtide.operators import alerts, reputation
 from flowtide.plans.audit import Reputation
 from flowtide.plans.models import FlowModel, rule_scorer
 from flowtide.session import scratch_path
-from flowtide.streaming import live, windows
+from flowtide.streaming import flow_state, live, windows
 from flowtide.streaming.alert_table import AlertTable
 
 W = dt.ALERT_WINDOW_MINUTES
@@ -95,6 +95,13 @@ def macros_far_from_zero(spark, sf):
     return got.select("src_ip", "window_start", "member_count", sh.rounded(F.col("`Fwd IAT Std`"), 3).alias("spread"))
 
 
+def packet_flow_stream(spark, sf):
+    """Flows of a packet stream in three parts, as soon as they have been silent for the idle limit."""
+    events, feeds = _events_in_parts(spark, sf, 3)
+    out = flow_state.flow_stream(files.packets_of(events), idle=files.IDLE, activity=3600, delay="1 minute")
+    return files.shown_flows(_ntz(live.drain(out, "packet-flows", feeds), "flow_start"))
+
+
 def alert_table(spark, sf):
     out = windows.alert_stream(_alertable(spark, sf), W, "1 minute")
     return _ntz(live.drain(out, "alerts"), "first_seen", "last_seen")
@@ -167,6 +174,7 @@ ENTRIES = {
             FROM (SELECT *, CASE WHEN created_at - lag(created_at) OVER (PARTITION BY source_ip
               ORDER BY created_at, id) <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS opens FROM det)))
         GROUP BY source_ip, session HAVING max(created_at) + INTERVAL 1 HOUR <= {_MARK}""")),
+    "stream_packet_flows": (packet_flow_stream, files.flow_sql(f"HAVING max(ts) + INTERVAL 6 HOUR < {_MARK}")),
     "stream_alerts": (alert_table, sql("alerts", f"""
         SELECT source_ip, threat_type, occurrences, first_seen, last_seen, detection_id FROM alerts
         WHERE last_seen + INTERVAL {W} MINUTE <= (SELECT max(created_at) - INTERVAL 1 MINUTE FROM alertable)""")),

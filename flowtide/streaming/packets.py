@@ -101,7 +101,7 @@ def flows(packets: DataFrame, ts: str = "ts", order: Sequence[str] = ("packet_no
     ]
     grouped = ready.groupBy(*FLOW).agg(*aggs)
     active = _active(cut.df.drop("_slice"), ts, activity)
-    return _derived(grouped.join(active, FLOW, "left"))
+    return derived(grouped.join(active, FLOW, "left"))
 
 
 def _active(tagged: DataFrame, ts: str, activity: float) -> DataFrame:
@@ -111,7 +111,8 @@ def _active(tagged: DataFrame, ts: str, activity: float) -> DataFrame:
     return periods.groupBy(*FLOW).agg(*_stats(F.col("len"), None, "Active ", "Mean", "Std", "Max", "Min"))
 
 
-def _derived(grouped: DataFrame) -> DataFrame:
+def derived(grouped: DataFrame) -> DataFrame:
+    """Rates, ratios and repeated measures that follow from a flow's aggregates."""
     c = F.col
     seconds = c("Flow Duration") / 1e6
     payload = c("Total Length of Fwd Packets") + c("Total Length of Bwd Packets")
@@ -132,21 +133,3 @@ def _derived(grouped: DataFrame) -> DataFrame:
         "src_ip": c("first.src_ip"), "dst_ip": c("first.dst_ip"), "src_port": c("first.src_port"),
         "dst_port": c("first.dst_port"), "Destination Port": c("first.dst_port").cast("double")})
     return out.drop("a_ip", "a_port", "b_ip", "b_port", "first", "n")
-
-
-def flow_stream(packets: DataFrame, ts: str = "ts", idle: float = IDLE_SECONDS, delay: str = "10 seconds") -> DataFrame:
-    """Streaming flows: session windows over the connection, closed by the watermark.
-
-    A stream sees each packet once, so features needing the previous packet of a direction are
-    left to the batch form; counts, sizes, rates and flags are given.
-    """
-    from flowtide.streaming.windows import merge_locally
-    merge_locally(packets.sparkSession)
-    timed = with_connection(packets).withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
-    flags = [F.count_if(F.col("tcp_flags").bitwiseAND(F.lit(bit)) != 0).alias(f"{name} Flag Count")
-             for name, bit in FLAGS.items()]
-    return timed.groupBy(*CONNECTION, F.session_window(ts, f"{int(idle)} seconds").alias("_w")).agg(
-        F.min(ts).alias("flow_start"), (F.unix_micros(F.max(ts)) - F.unix_micros(F.min(ts))).alias("Flow Duration"),
-        F.count(F.lit(1)).alias("packets"), F.count_if("from_a").alias("packets_a"),
-        F.sum("payload_len").alias("bytes"), F.max("payload_len").alias("Max Packet Length"),
-        F.min("payload_len").alias("Min Packet Length"), *flags).drop("_w")

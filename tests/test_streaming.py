@@ -8,7 +8,7 @@ from flowtide.plans.audit import Reputation
 from flowtide.plans.models import FlowModel, rule_scorer
 from flowtide.schemas import col
 from flowtide.session import scratch_path
-from flowtide.streaming import live, packets, windows
+from flowtide.streaming import flow_state, live, packets, windows
 from flowtide.streaming.alert_table import AlertTable
 
 T0 = dt.datetime(2024, 1, 1)
@@ -204,8 +204,36 @@ def test_two_directions_make_one_flow(spark):
     assert f["Flow Bytes/s"] == pytest.approx(40 / 3) and f["Active Max"] == 3e6 and f["Idle Max"] == 0.0
 
 
+def some_packets(spark):
+    """Connections of many flows: pauses on both sides of both limits, ties, replies, a first packet from either side."""
+    return spark.range(600).selectExpr(
+        "id AS packet_no", "id % 5 AS c", "pmod(xxhash64(id), 3) = 0 AS reply", "pmod(xxhash64(id, 1), 8) AS step").selectExpr(
+        "packet_no", "timestamp_micros(1704067200000000 + packet_no * 700000 + (packet_no div 60) * 15000000 - (packet_no % 7 = 0)::int * 700000) AS ts",
+        "CASE WHEN reply THEN '9.9.9.9' ELSE concat('1.0.0.', c) END AS src_ip", "CASE WHEN reply THEN concat('1.0.0.', c) ELSE '9.9.9.9' END AS dst_ip",
+        "IF(reply, 80, 5000) AS src_port", "IF(reply, 5000, 80) AS dst_port", "6 AS protocol", "CAST(step * 13 AS INT) AS payload_len",
+        "CAST(20 + step AS INT) AS header_len", "CAST(pmod(xxhash64(packet_no, 2), 256) AS INT) AS tcp_flags", "CAST(packet_no AS INT) AS window")
+
+
+@pytest.mark.parametrize("parts", [1, 6])
+def test_flow_stream_equals_batch_on_all_measures(spark, parts):
+    df = some_packets(spark)
+    # The last packet only moves the watermark past all others.
+    end = packet_rows(spark, [(100_000, "x", 1, "y", 2, 1, 0)]).withColumn("packet_no", F.lit(600).cast("long"))
+    stream = staged(spark, df.unionByName(end), "packet_no", parts, "pk")
+    out = live.drain(flow_state.flow_stream(stream, idle=9, activity=3.6), "pk-out")
+    batch = packets.flows(df, idle=9, activity=3.6, slices=3)
+    assert sorted(out.columns) == sorted(batch.columns)
+    key = ("src_ip", "dst_ip", "flow_start")
+    got, want = ({tuple(r[k] for k in key): r.asDict() for r in f.collect()} for f in (out, batch))
+    assert got.keys() == want.keys() and len(got) > 30
+    for flow, row in want.items():
+        for name, value in row.items():
+            assert got[flow][name] == (pytest.approx(value, rel=1e-9, abs=1e-6) if isinstance(value, float) else value), (flow, name)
+    assert any(r["Active Std"] > 0 for r in want.values()) and any(r["Idle Max"] > 0 for r in want.values())
+
+
 def test_flow_stream_closes_idle_flows(spark):
     rows = TALK + [(200, "x", 1, "y", 2, 1, 0)]
-    out = live.drain(packets.flow_stream(staged(spark, packet_rows(spark, rows), "packet_no", 2, "pk")), "pk-out")
-    got = sorted((r.flow_start, r.packets, r.bytes) for r in out.collect())
+    out = live.drain(flow_state.flow_stream(staged(spark, packet_rows(spark, rows), "packet_no", 2, "pk")), "pk-out")
+    got = sorted((r.flow_start, r["Total Fwd Packets"] + r["Total Backward Packets"], r["Total Length of Fwd Packets"]) for r in out.collect())
     assert got == [(T0, 3, 40), (T0 + dt.timedelta(seconds=20), 1, 7)]
