@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from flowtide import driver_tables as dt
@@ -146,6 +148,41 @@ def pipeline(spark, sf):
     return by_severity.union(by_level).union(opened)
 
 
+def live_tables(spark, sf):
+    """The live job in two parts with its listener: what it counted, and the rows and bytes of its tables. Raw rows are kept by a
+    query of their own; rows older than an hour before the newest event of earlier parts are set aside."""
+    events, feeds = _events_in_parts(spark, sf, 2, ordered=False)
+    flows = events.select(F.col("id").alias("flow_id"), "created_at", F.col("source_ip").alias("Src IP"), F.col("value").alias("Flow Duration"),
+                          (F.col("user_id") % 10).cast("double").alias("SYN Flag Count"), F.col("k").cast("double").alias("Total Fwd Packets"))
+    model = FlowModel("rule", ["Flow Duration", "SYN Flag Count"], ["BENIGN", "DDoS"],
+                      rule_scorer("array(1 - least(`Flow Duration` / 100, 1D), least(`Flow Duration` / 100, 1D))"))
+    job = live.LivePipeline(model, scratch_path(spark, "live-tables"), late_after_seconds=3600)
+    seen = live.Progress("live-raw")
+    spark.streams.addListener(seen)
+    try:
+        for feed in feeds:
+            feed()
+            job.start_raw(flows, once=True).awaitTermination()
+            job.start(flows, once=True).awaitTermination()
+        counted = _when_counted(seen, dt.table(spark, sf, "events").count())
+    finally:
+        spark.streams.removeListener(seen)
+    rows = {t: spark.read.parquet(job.path(t)).count() for t in ("raw", "cleaned", "detections", "late")}
+    sizes = job.stored_bytes(spark)
+    facts = {**{f"{t}_rows": n for t, n in rows.items()}, "flows": counted["flows"], "packets": counted["packets"], "batches": counted["batches"],
+             "tables_with_bytes": sum(sizes[t] > 0 for t in rows), "newest": job.recent(spark, 50).count(), "errors": int(counted["last_error"] is not None)}
+    return spark.createDataFrame(list(facts.items()), "item string, n long")
+
+
+def _when_counted(seen, rows: int, seconds: int = 30):
+    """The listener's counters, once its events have caught up with the query."""
+    for _ in range(seconds * 10):
+        if seen.counters().get("input_rows", 0) >= rows and not seen.is_running:
+            break
+        time.sleep(0.1)
+    return seen.counters()
+
+
 # Append mode emits a window once the watermark (latest event minus the delay) has passed its end.
 _MARK = "(SELECT max(ts) - INTERVAL 1 MINUTE FROM events)"
 
@@ -174,6 +211,15 @@ ENTRIES = {
             FROM (SELECT *, CASE WHEN created_at - lag(created_at) OVER (PARTITION BY source_ip
               ORDER BY created_at, id) <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS opens FROM det)))
         GROUP BY source_ip, session HAVING max(created_at) + INTERVAL 1 HOUR <= {_MARK}""")),
+    "stream_live_tables": (live_tables, sql("det", """
+        SELECT item, CAST(n AS BIGINT) AS n FROM (
+          SELECT 'raw_rows' AS item, count(*) AS n FROM det UNION ALL SELECT 'flows', count(*) FROM det
+          UNION ALL SELECT 'cleaned_rows', count(*) FROM det WHERE NOT late UNION ALL SELECT 'detections_rows', count(*) FROM det WHERE NOT late
+          UNION ALL SELECT 'late_rows', count(*) FROM det WHERE late UNION ALL SELECT 'packets', sum(k) FROM det
+          UNION ALL SELECT 'batches', 2 UNION ALL SELECT 'tables_with_bytes', 4
+          UNION ALL SELECT 'newest', least(50, count(*)) FROM det WHERE NOT late UNION ALL SELECT 'errors', 0)"""
+        .replace("FROM det", "FROM staged"), staged="""SELECT *, coalesce(created_at < edge - INTERVAL 1 HOUR, FALSE) AS late FROM (
+          SELECT *, CASE WHEN id % 2 = 1 THEN (SELECT max(created_at) FROM det WHERE id % 2 = 0) END AS edge FROM det)""")),
     "stream_packet_flows": (packet_flow_stream, files.flow_sql(f"HAVING max(ts) + INTERVAL 6 HOUR < {_MARK}")),
     "stream_alerts": (alert_table, sql("alerts", f"""
         SELECT source_ip, threat_type, occurrences, first_seen, last_seen, detection_id FROM alerts

@@ -51,3 +51,10 @@ def listed(spark: SparkSession, path: str) -> list[tuple[str, int]]:
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     entries = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)
     return [(e.getPath().toString(), e.getLen()) for e in entries if e.isFile() and not e.getPath().getName().startswith(("_", "."))]
+
+
+def folder_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes below a folder; 0 where it is missing."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.getContentSummary(folder).getLength() if files.exists(folder) else 0

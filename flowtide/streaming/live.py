@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from flowtide.operators import alerts, align, decide, reports
 from flowtide.plans.audit import Reputation, detect, detection_rows
 from flowtide.plans.models import FlowModel
+from flowtide.schemas import col
 from flowtide.session import scratch_path
-from flowtide.sources.sinks import exists, write_batch
+from flowtide.sources.sinks import exists, folder_bytes, write_batch
 from flowtide.streaming.alert_table import AlertTable
 
 FLUSH_SECONDS = 10
@@ -91,7 +93,7 @@ class LivePipeline:
     def start_raw(self, stream: DataFrame, once: bool = False, seconds: int = FLUSH_SECONDS) -> StreamingQuery:
         """Keep raw rows, untouched, in a query of their own: they persist even while scoring is
         stopped."""
-        writer = (stream.writeStream.queryName("live-raw").format("parquet").outputMode("append")
+        writer = (observed(stream).writeStream.queryName("live-raw").format("parquet").outputMode("append")
                   .option("path", self.path("raw"))
                   .option("checkpointLocation", f"{self.root}/_checkpoints/raw"))
         return (writer.trigger(availableNow=True) if once
@@ -101,6 +103,10 @@ class LivePipeline:
         """Alerts over everything stored so far, as folded batch by batch."""
         return self.alert_table.read(spark)
 
+    def stored_bytes(self, spark: SparkSession) -> dict[str, int]:
+        """Bytes of each table below ``root``."""
+        return {t: folder_bytes(spark, self.path(t)) for t in ("raw", "cleaned", "detections", "logs", "rejected", "late")}
+
     def recent(self, spark: SparkSession, limit: int = 100) -> DataFrame:
         """Newest live results, newest first."""
         return reports.recent(spark.read.parquet(self.path("detections")), limit).select(
@@ -108,6 +114,54 @@ class LivePipeline:
             "attack_type", "attack_reason", "is_whitelisted", "is_blacklisted")
 
 
+class Progress(StreamingQueryListener):
+    """Counters of one named query, kept up to date by its events: rows in, what ``observed`` counted, batches, backlog
+    and the last error. Add it with ``spark.streams.addListener``."""
+
+    def __init__(self, name: str):
+        self.name, self._ids = name, set()
+        self.batches: dict[int, tuple[int, dict[str, int]]] = {}
+        self.rows_per_second, self.backlog, self.last_error, self.is_running = 0.0, {}, None, False
+
+    def onQueryStarted(self, event) -> None:
+        if event.name == self.name:
+            self._ids.add(str(event.id))
+            self.is_running = True
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        if p.name != self.name:
+            return
+        observed = {k: v for row in p.observedMetrics.values() for k, v in row.asDict().items()}
+        # By batch, so that a batch that runs again counts once.
+        self.batches[p.batchId] = (p.numInputRows, observed)
+        self.rows_per_second = p.processedRowsPerSecond
+        self.backlog = {k: v for source in p.sources for k, v in dict(source.metrics or {}).items()}
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if str(event.id) in self._ids:
+            self.is_running, self.last_error = False, event.exception
+
+    def counters(self) -> dict:
+        """All batches together."""
+        totals = Counter()
+        for rows, observed in self.batches.values():
+            totals.update({"input_rows": rows, **{k: v or 0 for k, v in observed.items()}})
+        return {**totals, "batches": sum(rows > 0 for rows, _ in self.batches.values()), "rows_per_second": self.rows_per_second,
+                "backlog": self.backlog, "is_running": self.is_running, "last_error": self.last_error}
+
+
+def observed(stream: DataFrame, name: str = "live") -> DataFrame:
+    """Let the listener count what passes: flows, and the packets in them where the stream has packet totals. It belongs
+    on a query that reads a batch once, as the raw one does; scoring reads it for every table."""
+    packets = [c for c in ("Total Fwd Packets", "Total Backward Packets") if c in stream.columns]
+    total = sum((F.coalesce(F.sum(col(c)), F.lit(0)) for c in packets), F.lit(0))
+    return stream.observe(name, F.count(F.lit(1)).alias("flows"), total.cast("long").alias("packets"))
+
+
 def progress(query: StreamingQuery) -> dict:
     """Counters of a running query: rows in, batches, backlog and last error."""
     last = query.lastProgress
