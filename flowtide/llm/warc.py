@@ -74,7 +74,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     fits = (F.col("payload_digest") == F.col("named")) & (F.octet_length("payload") == F.col("payload_bytes")) & (F.octet_length("record") == start + F.col("payload_bytes") + 4)
     checked = F.when(fits, F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("record differs from its digest: "), "named")))
     return parsed.select(F.col("id").alias("page_id"), "payload_bytes", checked.alias("payload_digest"), value("WARC-Type").alias("record_type"),
-                         F.when(value("WARC-Type") == "revisit", value("X-Refers-To-Id").cast("long")).alias("refers_to"), "payload")
+                         F.when(value("WARC-Type") == "revisit", value("X-Refers-To-Id").try_cast("long")).alias("refers_to"), "payload")
 
 
 def write_files(spark: SparkSession, folder: str, out: str, records_per_file: int = 10_000) -> None:
