@@ -7,8 +7,8 @@ shifted by o, holds (row, start). Windows with a word the corpus lacks are dropp
 list of their rarest word with that of the second rarest, and only what survives meets the lists of the other words.
 ``slop`` lets every word but the rarest stand that many places away (proximity matches).
 
-Defined results: null texts have no words; items without words or without an id take no part; equal items and
-repeated rows count each on its own. Empty tables give empty or clean results. Only the named columns are read.
+Defined results: null texts have no words; items without words take no part; items without an id hit like others and
+count together as one item, which the list of ids leaves out; equal items and repeated rows count each on its own. Empty tables give empty or clean results. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ def words(text: Column) -> Column:
 
 def test_windows(items: DataFrame, span: int = SPAN) -> tuple[DataFrame, DataFrame]:
     """(wid, words) of the distinct windows, and (wid, item_id) of the items that hold them."""
-    split = items.filter(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), F.transform(words(F.col("text")), ascii_lower).alias("w")).filter(F.size("w") > 0)
+    split = items.select(F.col("item_id").cast("string").alias("item_id"), F.transform(words(F.col("text")), ascii_lower).alias("w")).filter(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - span + 1, F.lit(1)))
     held = split.select("item_id", F.explode(starts).alias("s"), "w").select("item_id", F.slice("w", F.col("s"), span).alias("words")).distinct()
     windows = stored(held.select("words").distinct().select(F.monotonically_increasing_id().alias("wid"), "words"), "test-windows")
@@ -90,10 +90,11 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN) -> DataFr
     before = F.coalesce(F.max(ends).over(Window.partitionBy("rid").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     spans = found.groupBy("rid", "start").agg(F.max("length").alias("length"))
     hits = spans.select("rid", F.greatest(ends - F.greatest(before, F.col("start")), F.lit(0)).alias("new")).groupBy("rid").agg(F.sum("new").alias("n_hit"))
-    named = found.select("rid", "wid").distinct().join(held, "wid").select("rid", "item_id").distinct().groupBy("rid").agg(F.sort_array(F.collect_list("item_id")).alias("ids"))
+    named = found.select("rid", "wid").distinct().join(held, "wid").select("rid", "item_id").distinct().groupBy("rid").agg(
+        F.sort_array(F.collect_list("item_id")).alias("ids"), F.count(F.lit(1)).alias("n_items"))
     ends_only = postings.filter(F.col("term") == _END).select("rid", "doc_id", F.col("pos").cast("long").alias("n_words"))
     ids = F.coalesce("ids", F.array().cast("array<string>"))
     hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return ends_only.join(hits, "rid", "left").join(named, "rid", "left").select(
-        "rid", "doc_id", "n_words", hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"),
+        "rid", "doc_id", "n_words", hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"),
         (hit > 0).alias("contaminated"))
