@@ -91,7 +91,8 @@ def _training(spark: SparkSession, lines: DataFrame, negatives: int) -> DataFram
     positive = windows.select("family", F.slice("t", F.col("s"), F.col("n")).alias("t"))
     # The least hashes: a sample that doesn't depend on the order of rows.
     sample = stored(lines.select("content").orderBy(F.xxhash64("content")).limit(negatives).withColumn("number", F.monotonically_increasing_id()), "licence-sample")
-    held = sample.withColumn("held", F.array_distinct(_grams(_tokens(F.col("content")), (2,))))
+    # Bound to a column first: inside the grams the text would be cut into words once per word.
+    held = sample.withColumn("t", _tokens(F.col("content"))).withColumn("held", F.array_distinct(_grams(F.col("t"), (2,))))
     confirmed = held.crossJoin(F.broadcast(_notices(spark))).filter(_similarity() >= CONFIRM).select("number")
     sample = sample.join(confirmed, "number", "left_anti")
     # A word of a notice alone is no notice.

@@ -123,10 +123,23 @@ def test_contamination_by_hand(spark):
     items = spark.createDataFrame([(10, item), (9, item), (11, "Short, item"), (12, None), (13, "!"), (None, "x"), (14, "absent words")], "item_id long, text string")
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
     got = sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, r.contaminated) for r in decontaminate.contamination(rows, items).collect())
-    assert got == [(1, 14, 12, 2, True), (2, 12, 0, 0, False), (3, 0, 0, 0, False), (4, 0, 0, 0, False), (5, 2, 2, 1, True), (5, 4, 4, 1, True)]
+    assert got == [(1, 14, 13, 3, True), (2, 12, 0, 0, False), (3, 0, 0, 0, False), (4, 0, 0, 0, False), (5, 2, 2, 1, True), (5, 4, 4, 1, True)]
     assert decontaminate.contamination(rows, items.limit(0)).filter("contaminated").count() == 0
 
 
+def test_contamination_by_items_without_an_id(spark, tmp_path):
+    """The query's own SQL on tables with such items."""
+    docs = [(1, "one two three four"), (2, "two"), (3, None), (4, "five six")]
+    items = [(None, "two three"), (None, "four"), (7, "two"), (8, "two three")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    con = oracle.duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert oracle.compare(spark, con, queries.op6_decontamination, queries.OP6_SQL, str(tmp_path)) is None
+    assert {r.doc_id: (r.n_hit, r.n_items) for r in queries.op6_decontamination(spark, str(tmp_path)).collect()} == {1: (3, 3), 2: (1, 1), 3: (0, 0), 4: (0, 0)}
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(0, 1, "alpha gap beta"), (1, 2, "alpha gap gap gap beta")], "rid long, doc_id long, text string")
     windows, _ = decontaminate.test_windows(spark.createDataFrame([(1, "alpha beta")], "item_id long, text string"))
@@ -232,6 +245,13 @@ def test_archive_round_trip(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "files"), wholetext=True).count() >= 1
 
 
+def test_archive_of_rows_without_an_id(spark, tmp_path):
+    pages = spark.createDataFrame([(None, "a", "p" * 200), (None, "b", "p" * 200)], "page_id long, url string, html string")
+    warc.write(pages, str(tmp_path / "a"))
+    got = warc.read(spark, str(tmp_path / "a")).collect()
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in got) == [(None, "response", None), (None, "revisit", None)]
+
+
 def test_rendering():
     page = ("<h1>T</h1><p>a<p>b <b>c</b> d<ul><li>x<li>y<ol><li>1<li>2</ol></ul><table><tr><th>Name<th>Qty<tr><td>apple<td>3<tr><td>kiwi fruit<td>12</table>"
             "<div hidden>no</div><div style='display: none'>no</div>z<br>w<pre> a\n  b</pre><script>x<p></script>end <3 & &lt;tag> <!-- c --> fin")
@@ -258,6 +278,15 @@ def test_license_scan(spark):
     assert got == {(1, 1, "MIT"), (5, 0, "GPL")}
 
 
+def test_license_scan_of_a_long_line(spark):
+    """A line of thousands of words is cut into words once."""
+    import time
+    docs = spark.createDataFrame([(i, " ".join(f"w{j % 700}" for j in range(20_000)) + " Released under the MIT License.") for i in range(4)], "doc_id long, text string")
+    began = time.monotonic()
+    license_scan.scan(docs).collect()
+    assert time.monotonic() - began < 120
+
+
 def test_license_scan_of_wrapped_and_cut_notices(spark):
     import textwrap
     wrapped = "\n".join(" * " + x for x in textwrap.wrap(license_scan.TEMPLATES[1][1], 76))
