@@ -13,7 +13,6 @@ from flowtide.schemas import IDENTITY_COLUMNS, col
 NON_FEATURES = frozenset({"label", "timestamp", "flow id", "prediction", "confidence", "severity"})
 
 UNKNOWN_ADDRESS = "Unknown"
-# Feature objects spelling more keys than this are not flow features.
 
 
 def as_double(value: Column) -> Column:
