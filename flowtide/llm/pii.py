@@ -5,7 +5,8 @@ and account numbers (13 to 19 digits), phone numbers, social security numbers, a
 
 A surrogate is a function of (key, kind, normal form, attempt), so one entity has the same surrogate in all documents
 and spellings (coreference). Numbers go through a keyed four-round Feistel permutation of their digits, which maps
-distinct entities of one length to distinct surrogates; Luhn-valid card numbers stay Luhn-valid. Other kinds draw
+distinct entities of one length to distinct surrogates; Luhn-valid card numbers stay Luhn-valid, and account numbers
+keep right check digits. A bare number of 13 to 19 digits is a card if it begins like one or is Luhn-valid. Other kinds draw
 letters for letters and digits for digits, in the script and case of the original; names keep the gender that the form
 of address shows, and equal name words get equal surrogates.
 
@@ -14,7 +15,7 @@ share a surrogate, or a surrogate is itself an entity of the corpus, all but the
 attempt until none is left. Only these exceptions are joined back to texts; with none, no text is shuffled.
 
 Account numbers are known by the length and form of their country; their check digits aren't asked, as a mistyped
-number is personal too. Case tells apart secrets that begin with gh*_ or sk-, and no others.
+number is personal too. Host names have at most 126 dots. Every pattern is tried in linear time. Case tells apart secrets that begin with gh*_ or sk-, and no others.
 
 Defined results: null stays null; texts without entities are unchanged. Entities never overlap: the leftmost counts,
 and kinds are tried in the order above. Repeated rows get equal texts. Other columns pass through.
@@ -63,8 +64,9 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _ADDRESS = "(?:" + "|".join(sorted(_MALE + _FEMALE + _EITHER, key=len, reverse=True)) + r")\.?"
 #: Kind and pattern, in order of precedence.
 KINDS = (
-    ("email", r"[\p{L}\p{N}._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
-    ("secret", r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,}|A[KS]IA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9]{20,})(?![A-Za-z0-9])"),
+    # Tried where a run of address characters begins, or where the last entity ended; a host has at most 126 dots.
+    ("email", r"(?:(?<![\p{L}\p{N}._%+-])|\G)[\p{L}\p{N}._%+-]++@(?:[A-Za-z0-9-]++\.){1,126}[A-Za-z]{2,}"),
+    ("secret", r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+|A[KS]IA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|sk-[A-Za-z0-9]{20,}+)(?![A-Za-z0-9])"),
     ("ip", rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])"),
     # Of countries that aren't listed, whole groups only.
     ("iban", r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2})(?:" + "|".join(_iban(*x) for x in _IBAN.items()) + r"|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7})(?![A-Za-z0-9])"),
@@ -74,6 +76,8 @@ KINDS = (
     ("name", rf"(?<![\p{{L}}\p{{N}}]){_ADDRESS} \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+){{0,2}}"),
 )
 PATTERN = "|".join(f"(?:{p})" for _, p in KINDS)
+#: What card issuers begin with; other bare numbers are cards only where their check digit is right.
+_ISSUER = "^(?:4|5[1-5]|2[2-7]|3[47]|6(?:011|5))"
 #: What every entity holds at least; most texts end here.
 _HINT = rf"[0-9@]|A[KS]IA|gh[pousr]_|sk-|[a-f]{{32}}|[A-F]{{32}}|(?<![\p{{L}}\p{{N}}]){_ADDRESS} \p{{Lu}}"
 
@@ -100,6 +104,12 @@ def kind(entity: Column) -> Column:
     return found
 
 
+def entity_kind(entity: Column) -> Column:
+    """The kind of an entity; null for a bare number (a time, a book or order number) that no card looks like."""
+    bare = _rx(entity, "^[0-9]+$") & ~_rx(entity, _ISSUER)
+    return _let(kind(entity), lambda of: F.when((of == "card") & bare & (_luhn_sum(entity) % 10 != 0), F.lit(None)).otherwise(of))
+
+
 def normal(entity: Column, of: Column) -> Column:
     """One form for all spellings of an entity."""
     digits = F.regexp_replace(entity, "[^0-9]", "")
@@ -144,6 +154,13 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda s, x: s + x)
 
 
+def _mod97(text: Column) -> Column:
+    """Remainder by 97 of the number that digits and capitals (A is 10) spell."""
+    def add(rest: Column, c: Column) -> Column:
+        return F.when(c.between("0", "9"), rest * 10 + c.try_cast("int")).otherwise(rest * 100 + F.ascii(c) - 55) % 97
+    return F.aggregate(F.split(text, ""), F.lit(0), add)
+
+
 def _refill(entity: Column, digits: Column) -> Column:
     """``digits`` in the places of the entity's digits."""
     rank = lambda i: F.length(F.regexp_replace(entity.substr(F.lit(1), i), "[^0-9]", ""))
@@ -213,7 +230,13 @@ def surrogate(key: str, of: Column, norm: Column, attempt: Column) -> Column:
         prefix = F.regexp_extract(norm, "^(?:a[ks]ia|gh[pousr]_|sk-)", 0)
         rest = norm.substr(F.length(prefix) + 1, F.length(norm))
         return F.concat(prefix, F.when(prefix == "", _letters(rest, h, True)).otherwise(_letters(rest, h)))
-    iban = lambda h: F.concat(norm.substr(1, 2), _letters(norm.substr(F.lit(3), F.length(norm)), h))
+
+    def iban(h: Column) -> Column:
+        """Right check digits where the original's are right."""
+        land, tail = norm.substr(1, 2), norm.substr(F.lit(5), F.length(norm))
+        right = _mod97(F.concat(tail, land, norm.substr(3, 2))) == 1
+        made = lambda t: F.concat(land, F.when(right, F.lpad((98 - _mod97(F.concat(t, land, F.lit("00")))).cast("string"), 2, "0")).otherwise(_letters(norm.substr(3, 2), F.substring(h, 100, 28))), t)
+        return _let(_letters(tail, h), made)
     return (F.when(of.isin("card", "phone", "ssn"), number).when(of == "ip", _let(hexes, ip)).when(of == "email", _let(hexes, email))
             .when(of == "iban", _let(hexes, iban)).when(of == "secret", _let(hexes, secret)).otherwise(_name(key, norm, attempt)))
 
@@ -257,7 +280,7 @@ def pseudonymized(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     held = F.struct(*[docs[c] for c in docs.columns if c != text]).alias("row")
     rows = docs.select(held, F.col(text).alias("text"))
     listed = rows.select("text").withColumn("e", F.explode(entities(F.col("text")))).select(F.xxhash64("text").alias("text_key"), "e")
-    listed = listed.withColumn("kind", kind(F.col("e")))
+    listed = listed.withColumn("kind", entity_kind(F.col("e"))).filter(F.col("kind").isNotNull())
     found = stored(listed.select("text_key", "kind", normal(F.col("e"), F.col("kind")).alias("norm")), "found-entities")
     moved = stored(collisions(found.select("kind", "norm"), key), "moved-entities")
     if moved.isEmpty():
@@ -267,12 +290,15 @@ def pseudonymized(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
             F.map_from_entries(F.collect_list(F.struct(F.concat_ws(" ", "kind", "norm"), "attempt"))).alias("attempts"))
         rows = rows.withColumn("text_key", F.xxhash64("text")).join(by_text, "text_key", "left").drop("text_key")
 
-    def replaced(e: Column) -> Column:
+    def replaced(x: Column) -> Column:
+        return F.when(x["kind"].isNull(), x["e"]).otherwise(exchanged(x["e"], x["kind"]))
+
+    def exchanged(e: Column, of: Column) -> Column:
         tries = lambda of, norm: F.coalesce(F.element_at(F.col("attempts"), F.concat_ws(" ", of, norm)), F.lit(0))
-        return _let(kind(e), lambda of: _let(normal(e, of), lambda norm: _let(tries(of, norm), lambda n: dressed(e, of, surrogate(key, of, norm, n)))))
-    rows = rows.withColumn("entities", entities(F.col("text")))
+        return _let(normal(e, of), lambda norm: _let(tries(of, norm), lambda n: dressed(e, of, surrogate(key, of, norm, n))))
+    rows = rows.withColumn("entities", F.transform(entities(F.col("text")), lambda e: F.struct(e.alias("e"), entity_kind(e).alias("kind"))))
     parts = F.split("text", PATTERN, -1)
     new = F.concat(F.array_join(F.zip_with(F.slice(parts, 1, F.size("entities")), F.transform("entities", replaced), lambda a, b: F.concat(a, b)), ""), F.element_at(parts, -1))
     done = F.when(F.size("entities") > 0, new).otherwise(F.col("text"))
     columns = [done.alias(text) if c == text else F.col("row")[c].alias(c) for c in docs.columns]
-    return rows.select(F.coalesce(F.size("entities"), F.lit(0)).alias("n_entities"), *columns)
+    return rows.select(F.coalesce(F.size(F.filter("entities", lambda x: x["kind"].isNotNull())), F.lit(0)).alias("n_entities"), *columns)
