@@ -12,8 +12,8 @@ Candidate blocks and query blocks meet by block number, so a task holds one of e
 yields at most k rows per query, and a window per query keeps the k best.
 
 Defined results: vectors that are null or hold null or non-finite components take no part, as query or candidate.
-Vectors of different length compare over the shorter's components. Repeated ids are rows of their own; a query never
-meets rows of its own id. Ties go to the smaller vec_id. With no candidates a query has no rows.
+Vectors of different length compare over the shorter's components. Repeated ids are rows of their own, each with its
+own k best; a query only leaves out its own row, so its twins are found. Ties go to the smaller vec_id. With no candidates a query has no rows.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from flowtide.llm.common import stored
 
 SCALE, CANDIDATES, QUERIES, LEVELS = 1024, 2048, 512, 4
-_PACKED = "block long, ids binary, data binary, width int"
-_FOUND = "query_id long, vec_id long, score long"
+_PACKED = "block long, rids binary, ids binary, data binary, width int"
+_FOUND = "q_rid long, query_id long, vec_id long, score long"
 
 
 def _pack(rows_per_block: int):
@@ -37,6 +37,7 @@ def _pack(rows_per_block: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         number = TaskContext.get().partitionId() << 32
+        rids: list[int] = []
         ids: list[int] = []
         rows: list[np.ndarray] = []
 
@@ -45,15 +46,17 @@ def _pack(rows_per_block: int):
             data = np.zeros((len(rows), width), np.int64)
             for i, r in enumerate(rows):
                 data[i, :len(r)] = r
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), pa.array([data.tobytes()], pa.binary()), pa.array([width], pa.int32())], ["block", "ids", "data", "width"])
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([np.array(rids, "<i8").tobytes()], pa.binary()), pa.array([np.array(ids, "<i8").tobytes()], pa.binary()),
+                                               pa.array([data.tobytes()], pa.binary()), pa.array([width], pa.int32())], ["block", "rids", "ids", "data", "width"])
         for batch in batches:
-            for i, v in zip(batch.column("vec_id").to_pylist(), batch.column("v").to_pylist(), strict=True):
+            for r, i, v in zip(*(batch.column(c).to_pylist() for c in ("rid", "vec_id", "v")), strict=True):
+                rids.append(r)
                 ids.append(i)
                 rows.append(np.array(v, np.int64))
                 if len(ids) == rows_per_block:
                     yield block()
                     number += 1
-                    ids, rows = [], []
+                    rids, ids, rows = [], [], []
         if ids:
             yield block()
     return task
@@ -62,8 +65,8 @@ def _pack(rows_per_block: int):
 class ImpactIndex:
     """Segments of one candidate block, by descending quantised impact."""
 
-    def __init__(self, ids: np.ndarray, data: np.ndarray):
-        self.ids, self.data = ids, data
+    def __init__(self, rids: np.ndarray, ids: np.ndarray, data: np.ndarray):
+        self.rids, self.ids, self.data = rids, ids, data
         values = data.astype(np.float64)
         size = np.abs(values)
         top = max(1.0, size.max(initial=0.0))
@@ -76,12 +79,12 @@ class ImpactIndex:
             self.segments.append(np.where(here, values, 0.0))
             self.unread.append(np.sqrt((np.where(left, values, 0.0) ** 2).sum(axis=1)))
 
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    def search(self, query_rids: np.ndarray, queries: np.ndarray, k: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Row numbers and exact scores of each query's possible k best."""
         asked = queries.astype(np.float64)
         norms = np.sqrt((asked ** 2).sum(axis=1))
         sums = np.zeros((len(queries), len(self.ids)))
-        alive = self.ids[None, :] != query_ids[:, None]
+        alive = self.rids[None, :] != query_rids[:, None]
         reading = np.ones(len(queries), bool)
         for segment, unread in zip(self.segments, self.unread, strict=True):
             on = np.flatnonzero(reading)
@@ -110,12 +113,13 @@ def _search(k: int):
         last, index = None, None
         for batch in batches:
             for r in batch.to_pylist():
-                ids, asked = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["q_ids"], "<i8")
+                rids, ids, asked, asked_ids = (np.frombuffer(r[c], "<i8") for c in ("rids", "ids", "q_rids", "q_ids"))
                 width = min(r["width"], r["q_width"])
                 if last != (r["block"], width):
-                    last, index = (r["block"], width), ImpactIndex(ids, np.frombuffer(r["data"], np.int64).reshape(len(ids), -1)[:, :width])
+                    last, index = (r["block"], width), ImpactIndex(rids, ids, np.frombuffer(r["data"], np.int64).reshape(len(ids), -1)[:, :width])
                 rows, scores = index.search(asked, np.frombuffer(r["q_data"], np.int64).reshape(len(asked), -1)[:, :width], k)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked, [len(x) for x in rows])), pa.array(ids[np.concatenate(rows)]), pa.array(np.concatenate(scores))], ["query_id", "vec_id", "score"])
+                each = [len(x) for x in rows]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked, each)), pa.array(np.repeat(asked_ids, each)), pa.array(ids[np.concatenate(rows)]), pa.array(np.concatenate(scores))], ["q_rid", "query_id", "vec_id", "score"])
     return task
 
 
@@ -131,16 +135,18 @@ def usable(embedding: Column) -> Column:
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score for ``vectors`` (vec_id, embedding); ``is_query`` marks the query rows."""
-    rows = vectors.filter(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding")).alias("v"), is_query.alias("asks"))
-    candidates = stored(rows.select("vec_id", "v").mapInArrow(_pack(CANDIDATES), _PACKED), "candidate-blocks")
-    asked = rows.filter("asks").select("vec_id", "v")
+    rows = vectors.filter(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.monotonically_increasing_id().alias("rid"), F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding")).alias("v"), is_query.alias("asks"))
+    # Written once: a row keeps its number as query and as candidate.
+    rows = stored(rows, "vectors")
+    candidates = stored(rows.select("rid", "vec_id", "v").mapInArrow(_pack(CANDIDATES), _PACKED), "candidate-blocks")
+    asked = rows.filter("asks").select("rid", "vec_id", "v")
     blocks = max(1, -(-asked.count() // QUERIES))
-    queries = stored(asked.repartition(blocks, "vec_id").mapInArrow(_pack(QUERIES), _PACKED), "query-blocks").select(
-        F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.col("width").alias("q_width"))
+    queries = stored(asked.repartition(blocks, "rid").mapInArrow(_pack(QUERIES), _PACKED), "query-blocks").select(
+        F.col("block").alias("q_block"), F.col("rids").alias("q_rids"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.col("width").alias("q_width"))
     # Block numbers only; every candidate block meets every query block, one row per pair, in the candidate block's task.
     numbers = [r.q_block for r in queries.select("q_block").collect()]
     pairs = candidates.select("block", F.explode(F.array(*map(F.lit, numbers)).cast("array<long>")).alias("q_block"))
     met = pairs.join(queries, "q_block").join(candidates, "block")
-    found = met.select("block", "ids", "data", "width", "q_ids", "q_data", "q_width").mapInArrow(_search(k), _FOUND)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = met.select("block", "rids", "ids", "data", "width", "q_rids", "q_ids", "q_data", "q_width").mapInArrow(_search(k), _FOUND)
+    rank = F.row_number().over(Window.partitionBy("q_rid").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -2,6 +2,7 @@
 
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -181,6 +182,27 @@ def test_account_numbers_of_all_lengths(spark):
     assert out[101].text.lower() != out[102].text.lower()
 
 
+def test_check_digits_of_account_numbers(spark):
+    remainder = lambda n: int("".join(str(int(c, 36)) for c in n[4:] + n[:4])) % 97
+    rows = [(1, "DE89370400440532013000"), (2, "GB29NWBK60161331926819"), (3, "DE88370400440532013000")]
+    out = {r.doc_id: r.text for r in pii.pseudonymized(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    assert remainder(out[1]) == remainder(out[2]) == 1 and all(out[i] != n for i, n in rows)
+
+
+def test_bare_numbers_that_are_no_cards(spark):
+    texts = ["at 1714557600123 it", "ISBN 9780306406158", "order 1000000000000001", "card 4111111111111112", "card 9999999999999995", None, ""]
+    out = pii.pseudonymized(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()
+    assert [r.n_entities for r in out] == [0, 0, 0, 1, 1, 0, 0] and all((r.text == t) == (not r.n_entities) for r, t in zip(out, texts))
+
+
+def test_entities_within_long_tokens(spark):
+    """Hosts of many labels, long runs of letters, and addresses that follow one another."""
+    texts = ["a@" + "b." * 2500 + "com", "x" * 500_000 + "1", "a@" * 200_000, "f" * 100_000 + " 1", "a@b.com_x@y.org", "1" * 500_000, "m@" + "b." * 100 + "com", "a.b@c.de.f1 ü.ö@x-y.org"]
+    out = pii.pseudonymized(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()
+    assert [r.n_entities for r in out] == [0, 0, 0, 1, 2, 1, 1, 2]
+    assert len(out[3].text) == len(texts[3]) and "x@y" not in out[4].text and out[7].text.split()[0].endswith(".de.f1")
+
+
 def test_clashing_surrogates_move_on(spark):
     found = spark.createDataFrame([("ip", f"10.0.0.{i}") for i in range(5)], "kind string, norm string")
     made = found.select("kind", pii.surrogate("k", F.col("kind"), F.col("norm"), F.lit(0)).alias("norm")).limit(1)
@@ -219,16 +241,17 @@ def test_urls_by_hand(spark):
 
 def test_top_k_with_ties_and_unusable_vectors(spark):
     rng = np.random.default_rng(5)
-    rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(150)] + [(200, None), (300, [1.0, None]), (400, [float("nan")] * 6), (500, []), (600, [float("inf")] * 6), (700, [1.0] * 6), (701, [1.0] * 6), (701, [1.0] * 6)]
+    rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(150)] + [(200, None), (300, [1.0, None]), (400, [float("nan")] * 6), (500, []), (600, [float("inf")] * 6), (700, [1.0] * 6), (700, [1.0] * 6), (701, [1.0] * 6), (701, [1.0] * 6)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     usable = [(i, [math.floor(1024 * float(np.float32(x))) for x in v]) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
     want = []
-    for q, a in usable:
+    for n, (q, a) in enumerate(usable):
         if q % 100 == 0:
-            best = sorted(((-sum(x * y for x, y in zip(a, b)), i) for i, b in usable if i != q))[:10]
+            best = sorted(((-sum(x * y for x, y in zip(a, b)), i) for m, (i, b) in enumerate(usable) if m != n))[:10]
             want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     got = sorted(tuple(r) for r in topk.top_k(frame, F.col("vec_id") % 100 == 0).collect())
     assert got == sorted(want)
+    assert topk.top_k(frame.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
 def test_archive_round_trip(spark, tmp_path):
@@ -269,9 +292,20 @@ def test_rendering_of_all_visible_text():
     assert html_text.rendered(shown) == "t <\n u\no1\no2\nf\ns\nd\n<b>\nm"
     assert html_text.rendered("<dialog>no</dialog><noscript>no</noscript><iframe>no</iframe>yes") == "yes"
     assert html_text.rendered("<p>a" + "<b>" * 10 + "<h1>x</h1>") == "a\n\nx"
+    assert html_text.rendered("<table><tr><td colspan=2>wide title<td>z<tr><td rowspan=2>a<td>b<td>c<tr><td>d<td>e</table>") == "wide title  z\na  b        c\n   d        e"
+    assert html_text.rendered("<table><tr><td colspan=0>a<td colspan=x>b<td rowspan=99999999>c</table>") == "a  b  c"
+    assert html_text.rendered(f"a&#{'9' * 6000};b &#{'0' * 5000}65; &#{'0' * 5000};") == "a\ufffdb A \ufffd"
     assert html_text.rendered("<head><title>no</title><body>x") == html_text.rendered("<head><meta>x") == "x"
 
 
+@pytest.mark.parametrize("page", ["<a " * 300_000, "<a " * 300_000 + ">", "<a \"" * 200_000 + ">", "<a \"<b '" * 100_000 + ">", "<b>" * 200_000 + "</i>" * 200_000,
+                                  "<ul>" + "<b>" * 100_000 + "<li></li>" * 100_000, "<!" * 300_000, "<a" * 300_000 + "/ \"", "<b>x</b> " * 100_000, "<td colspan=1000>" * 1000])
+def test_rendering_of_broken_megabytes(page):
+    start = time.monotonic()
+    html_text.rendered(page)
+    assert time.monotonic() - start < 30
+
+
 def test_license_scan(spark):
     docs = spark.createDataFrame([(1, "clean words here\nReleased under the MIT License.", 1), (2, None, 1), (3, "", 1), (4, "the licence of a driver is not here", 1), (5, "This work is licensed under the GNU General Public License, version 3.", 1)], "doc_id long, text string, family int")
     got = {(r.doc_id, r.paragraph, r.family) for r in license_scan.scan(docs).collect() if r.confirmed}
