@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+#: The scope that frames are stored in, if any, and earlier ones that aren't removed yet.
+_SCOPE: list[str] = []
+_PAST: list[str] = []
 
 # Defaults for a session this package builds itself. On a cluster the submitter's
 # settings win: nothing here is forced onto an existing session.
@@ -57,7 +60,25 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the checkpoint folder."""
     app = spark.sparkContext.applicationId
-    return f"{checkpoint_root(spark)}/flowtide/{app}/{label}-{uuid.uuid4().hex}"
+    return "/".join([checkpoint_root(spark), "flowtide", app, *_SCOPE, f"{label}-{uuid.uuid4().hex}"])
+
+
+def next_scope(spark: SparkSession, docs: DataFrame | None = None, opened: bool = True) -> None:
+    """Store what follows in a scope of its own, and remove the frames of earlier scopes that ``docs`` doesn't read.
+
+    For jobs of several steps in one thread, each of which writes its result before the next begins.
+    """
+    _PAST.extend(_SCOPE)
+    _SCOPE[:] = [f"scope-{uuid.uuid4().hex}"] if opened else []
+    read = " ".join(docs.inputFiles()) if docs is not None and _PAST else ""
+    for scope in [s for s in _PAST if s not in read]:
+        remove_folder(spark, f"{checkpoint_root(spark)}/flowtide/{spark.sparkContext.applicationId}/{scope}")
+        _PAST.remove(scope)
+
+
+def remove_folder(spark: SparkSession, folder: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def durable(df: DataFrame, label: str) -> DataFrame:
@@ -73,6 +94,4 @@ def durable(df: DataFrame, label: str) -> DataFrame:
 
 def clear_scratch(spark: SparkSession) -> bool:
     """Remove this application's stored frames. Call it once no frame built on them is needed."""
-    app = spark.sparkContext.applicationId
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_root(spark)}/flowtide/{app}")
-    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    return remove_folder(spark, f"{checkpoint_root(spark)}/flowtide/{spark.sparkContext.applicationId}")
