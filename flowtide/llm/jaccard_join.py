@@ -1,9 +1,11 @@
 """N-gram Jaccard join: documents whose sets of five-word shingles have a similarity of 0.8 or more.
 
-1. One pass over whole texts gives each document the digest of its shingle set and 40 band keys of 6 MinHash values.
-   A pair at exactly 0.8 misses all bands with probability 5e-6, at 0.85 with 3e-9.
+1. One pass over whole texts gives each document the digest of its shingle set and 28 band keys of 5 MinHash values.
+   A pair at exactly 0.8 misses all bands with probability 1.5e-5, at 0.85 with 1.9e-7.
 2. Documents with equal sets form a class; only its representative goes on, so copies are never paired.
-3. Equal band keys link a bucket's members to its least member; components of these links are the candidate groups.
+3. The representatives' band keys are range-partitioned by (key, row number) and sorted, so a bucket of any size is
+   spread like other rows and travels once. Each key of a bucket is linked to the first one in its partition, and the
+   ends of partitions to those of others; components of these links are the candidate groups.
 4. Each group's texts travel once. Inside a group (large ones in pairs of blocks, several tasks each) pairs compare
    their MinHash values ``STEP`` at a time. With a uniform prior on the similarity, m agreements in n give it the
    posterior Beta(m+1, n-m+1); pairs whose probability of reaching the threshold falls below ``TOLERANCE`` are
@@ -32,7 +34,7 @@ from xxhash import xxh3_64_intdigest
 from flowtide.llm.common import WORD_PATTERN, partitions, stored
 from flowtide.llm.components import components
 
-SHINGLE, THRESHOLD, BANDS, ROWS, STEP, TOLERANCE = 5, 0.8, 40, 6, 24, 1e-6
+SHINGLE, THRESHOLD, BANDS, ROWS, STEP, TOLERANCE = 5, 0.8, 28, 5, 28, 1e-6
 #: Documents and text bytes per block of a large group.
 BLOCK_ROWS, BLOCK_BYTES = 1500, 6_000_000
 _WORDS = re.compile(WORD_PATTERN)
@@ -167,6 +169,38 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush()
 
 
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (band, rid) in order: links (a, b) of every row to the first of its band, and the partition's first and last
+    band with that first row (a is null), as their buckets may go on in other partitions."""
+    band = head = None
+    first, any_rows = None, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        bands, rids = (batch.column(c).to_numpy() for c in ("band", "rid"))
+        new = np.append(band is None or bands[0] != band, bands[1:] != bands[:-1])
+        at = np.maximum.accumulate(np.where(new, np.arange(len(bands)), -1))
+        heads = np.where(at < 0, rids[0] if head is None else head, rids[at])
+        if not any_rows:
+            first, any_rows = (bands[0], rids[0]), True
+        band, head = bands[-1], heads[-1]
+        on = ~new
+        yield pa.RecordBatch.from_arrays([pa.array(rids[on]), pa.array(heads[on]), pa.nulls(int(on.sum()), pa.int64())], ["a", "b", "band"])
+    if any_rows:
+        ends = [first] if first[0] == band else [first, (band, head)]
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(ends), pa.int64()), pa.array([int(r) for _, r in ends], pa.int64()), pa.array([int(b) for b, _ in ends], pa.int64())], ["a", "b", "band"])
+
+
+def bucket_links(members: DataFrame) -> DataFrame:
+    """(a, b): links that join the rows of ``members`` (rid, band) with an equal band. Two rows a partition are grouped."""
+    count = max(partitions(members.sparkSession), 1)
+    dealt = members.select("band", "rid").repartitionByRange(count, "band", "rid").sortWithinPartitions("band", "rid")
+    found = stored(dealt.mapInArrow(_linked, "a long, b long, band long"), "join-buckets")
+    ends = found.filter("a is null").select("band", F.col("b").alias("a"))
+    least = ends.groupBy("band").agg(F.min("a").alias("b"))
+    return found.filter("a is not null").select("a", "b").union(ends.join(least, "band").filter("a <> b").select("a", "b"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(rid, doc_id, class_id, first_rid, n_links) for every row of ``docs`` (rid, doc_id, text), rid being unique.
 
@@ -177,10 +211,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select("rid", F.col("doc_id").cast("long").alias("doc_id"), "text")
     keyed = stored(docs.mapInArrow(_keyed, _KEYED), "join-keys")
     heads = stored(keyed.filter(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("rid").alias("head"), F.count("*").alias("copies")), "join-heads")
-    # Copies of a class have equal bands, so the least member of a bucket is always a representative.
-    bands = keyed.select("rid", F.explode("bands").alias("band")).groupBy("band").agg(F.min("rid").alias("least"), F.max("rid").alias("most")).filter("least < most")
-    members = keyed.join(heads, (keyed["rid"] == heads["head"])).select("rid", "copies", "bytes", F.explode("bands").alias("band"))
-    edges = members.join(bands.select("band", "least"), "band").filter("rid <> least").select(F.col("rid").alias("a"), F.col("least").alias("b"))
+    members = keyed.join(heads, keyed["rid"] == heads["head"]).select("rid", F.explode("bands").alias("band"))
+    edges = bucket_links(members)
     groups = components(edges)
     grouped = keyed.join(heads, keyed["rid"] == heads["head"]).select("rid", "copies", "bytes").join(groups, F.col("rid") == F.col("node")).select("rid", "copies", "bytes", "root")
     grouped = stored(grouped, "join-groups")
