@@ -32,25 +32,27 @@ _RESTS = 1 << 62
 _TOKENS = "doc_id long, rid long, doc_tokens long, crcs array<long>, first_sequence long, signature int, rest binary"
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
-def encoder(ranks_path: str, pattern: str):
-    """The vocabulary as byte-pair ranks, which gives the ids of its JSON form several times faster. Strings of
-    special tokens in a text are ordinary text."""
+
+def encoder(ranks_path: str, pattern: str, added: dict[str, int] | None = None):
+    """The vocabulary as byte-pair ranks, which gives the ids of its JSON form several times faster. The strings of
+    ``added`` tokens become their ids; without them all text is ordinary text."""
     import tiktoken
     with open(ranks_path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added or {})
 
 
-def _tokenize(ranks_path: str, pattern: str, window: int):
+def _tokenize(ranks_path: str, pattern: str, window: int, added: dict[str, int]):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        encode = encoder(ranks_path, pattern).encode_ordinary
+        vocabulary = encoder(ranks_path, pattern, added)
         sequence = TaskContext.get().partitionId() << 40
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part, rows = batch.slice(at, 256), []
                 for doc_id, rid, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "rid", "text")), strict=True):
-                    ids = encode(text or "")
+                    text = text or ""
+                    ids = vocabulary.encode(text, allowed_special="all") if any(t in text for t in added) else vocabulary.encode_ordinary(text)
                     ids.append(0)
                     ids = np.array(ids, "<u4")
                     full = len(ids) // window
@@ -180,13 +182,13 @@ def _pack(window: int):
     return task
 
 
-def pack(docs: DataFrame, ranks_path: str, pattern: str, window: int = WINDOW) -> DataFrame:
+def pack(docs: DataFrame, ranks_path: str, pattern: str, added: dict[str, int] | None = None, window: int = WINDOW) -> DataFrame:
     """One row per piece of ``docs`` (doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    The vocabulary must have at most 65 536 ids.
+    ``added`` are the tokens whose strings are tokens in texts too, with their ids. The vocabulary must have at most 65 536 ids.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rid"), "text")
-    tokens = stored(texts.mapInArrow(_tokenize(ranks_path, pattern, window), _TOKENS), "packing-tokens")
+    tokens = stored(texts.mapInArrow(_tokenize(ranks_path, pattern, window, added or {}), _TOKENS), "packing-tokens")
     whole = tokens.select("doc_id", "doc_tokens", "first_sequence", F.posexplode("crcs").alias("k", "ids_crc32")).select(
         "doc_id", (F.col("k").cast("long") * window).alias("start"), F.lit(window).cast("long").alias("length"), "ids_crc32", "doc_tokens",
         (F.col("first_sequence") + F.col("k")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,9 +16,16 @@ PII_KEY = "surrogate-key-1"
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
-def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+def byte_vocabulary() -> tuple[str, str, dict[str, int]]:
+    """Ranks, pattern and added tokens of the byte-level vocabulary."""
     import public_tokenizers
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as full:
+        added = {t["content"]: t["id"] for t in json.load(full)["added_tokens"]}
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), *byte_vocabulary())
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

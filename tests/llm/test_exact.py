@@ -36,7 +36,9 @@ def test_queries_match_their_sql(spark, name):
 def test_packing_cuts_every_id_once(spark, docs):
     from tokenizers import Tokenizer
     plain = Tokenizer.from_file(tokenizers.path("byte_bpe_50k.json"))
-    pieces = packing.pack(docs, tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN, window=64).collect()
+    marked = [(20, "a<|endoftext|>b"), (21, "<|endoftext|><|endoftext|> x <|endoftext"), (22, "x <|endoftext|>\n" * 50)]
+    docs = docs.union(spark.createDataFrame([(i, t, "en", "x") for i, t in marked], DOCS))
+    pieces = packing.pack(docs, *queries.byte_vocabulary(), window=64).collect()
     want = Counter()
     for r in docs.collect():
         ids = plain.encode(r.text or "", add_special_tokens=False).ids + [0]
@@ -112,6 +114,17 @@ def test_pruning_keeps_pairs_that_can_reach_the_threshold():
     assert sum(math.comb(25, m) * 0.8 ** m * 0.2 ** (25 - m) for m in range(jaccard_join.least_matches(24))) < jaccard_join.TOLERANCE
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_bucket_links_of_any_size(spark, monkeypatch, parts):
+    """Buckets within a partition, at its ends, and over several partitions."""
+    monkeypatch.setattr(jaccard_join, "partitions", lambda _: parts)
+    rows = [(i, 5) for i in range(400)] + [(i, 9) for i in (1000, 1001)] + [(i, -i) for i in range(300)] + [(2000, 7), (3, 9)]
+    frame = spark.createDataFrame(rows, "rid long, band long")
+    got = {r.node: r.root for r in components(jaccard_join.bucket_links(frame)).collect()}
+    assert got == {**dict.fromkeys(range(400), 0), 1000: 0, 1001: 0}
+    assert jaccard_join.bucket_links(frame.limit(0)).count() == 0
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     assert {r.node: r.root for r in components(edges).collect()} == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
