@@ -9,6 +9,8 @@ from flowtide.session import scratch_path  # noqa: F401
 
 #: Words as the exact operators see them: ASCII letters and digits, and everything beyond ASCII.
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Rows of a few numbers each; some 100 MB as a broadcast table.
+BROADCAST_ROWS = 2_000_000
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -26,6 +28,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, label: str) -> DataFrame:
+    """``df`` (numbers only, so of a known width), stored, and broadcast if it has at most ``BROADCAST_ROWS`` rows."""
+    df = stored(df, label)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def numbered(df: DataFrame, label: str) -> DataFrame:
     """(rid, row): every row once, under a unique number. ``row`` keeps all columns, whatever their names."""
     return stored(df.select(F.monotonically_increasing_id().alias("rid"), F.struct(*[df[c] for c in df.columns]).alias("row")), label)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from flowtide.llm.common import WORD_PATTERN, partitions, stored
+from flowtide.llm.common import WORD_PATTERN, partitions, small, stored
 from flowtide.llm.components import components
 
 SHINGLE, THRESHOLD, BANDS, ROWS, STEP, TOLERANCE = 5, 0.8, 28, 5, 28, 1e-6
@@ -220,7 +220,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     dealt = grouped.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("n")).cast("int"))
     dealt = dealt.select("rid", "copies", "root", "block", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("o")).select(
         "rid", "copies", "root", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
-    texts = docs.join(dealt, "rid").select("root", "i", "j", "rid", "copies", "block", "text")
+    # Few texts have a partner, so where the list of those that do is small, the others don't travel.
+    texts = docs.join(small(dealt, "join-dealt"), "rid").select("root", "i", "j", "rid", "copies", "block", "text")
     count = max(partitions(spark), 1)
     joined = stored(texts.repartition(count, "root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_joined, "rid long, links long, root long"), "join-links")
     links = joined.groupBy("rid").agg(F.sum("links").alias("links"))
