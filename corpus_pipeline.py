@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowtide.llm import decontaminate, jaccard_join, packing, pii, quality
-from flowtide.llm.common import numbered, scratch_path, table, unpacked
+from flowtide.llm.common import numbered, scratch_path, small, table, unpacked
 from flowtide.llm.queries import PII_KEY, byte_vocabulary
 from flowtide.session import next_scope, remove_folder
 
@@ -46,8 +46,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = numbered(docs, "stage-rows")
     classes = jaccard_join.near_duplicates(rows.select("rid", "row.doc_id", "row.text"))
-    first = classes.filter(F.col("rid") == F.col("first_rid")).select("rid")
-    return unpacked(rows.join(first, "rid", "left_semi"))
+    others = classes.filter(F.col("rid") != F.col("first_rid")).select("rid")
+    return unpacked(rows.join(small(others, "stage-others"), "rid", "left_anti"))
 
 
 @_stage
