@@ -1,7 +1,7 @@
 """N-gram Jaccard join: documents whose sets of five-word shingles have a similarity of 0.8 or more.
 
 1. One pass over whole texts gives each document the digest of its shingle set and 28 band keys of 5 MinHash values.
-   A pair at exactly 0.8 misses all bands with probability 1.5e-5, at 0.85 with 1.9e-7.
+   A pair at exactly 0.8 misses all bands with probability 1.5e-5, at 0.85 with 7e-8.
 2. Documents with equal sets form a class; only its representative goes on, so copies are never paired.
 3. The representatives' band keys are range-partitioned by (key, row number) and sorted, so a bucket of any size is
    spread like other rows and travels once. Each key of a bucket is linked to the first one in its partition, and the
