@@ -12,6 +12,8 @@ WORD_PATTERN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Rows of a few numbers each; some 100 MB as a broadcast table.
 BROADCAST_ROWS = 2_000_000
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: The ASCII characters that are neither letters nor digits.
+_SIGNS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,5 +52,12 @@ def ascii_lower(word: Column) -> Column:
         F.translate(word, _UPPER, _UPPER.lower()))
 
 
+def lower_words(text: Column) -> Column:
+    """The words of ``text``, A-Z lower-cased; null has none. Signs become spaces and capitals small letters in one pass,
+    and one cut at the spaces follows: much cheaper than a regular expression and a lambda for every word."""
+    plain = F.translate(text, _SIGNS + _UPPER, " " * len(_SIGNS) + _UPPER.lower())
+    return F.coalesce(F.array_remove(F.split(plain, " "), ""), F.array().cast("array<string>"))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

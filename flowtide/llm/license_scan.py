@@ -3,7 +3,7 @@
 A paragraph is a line, or a run of lines between blank lines (for wrapped notices; its number is its first line's). All
 are scored. Its word 1- to 3-grams are hashed into a sparse vector, and a multinomial logistic regression
 gives each family a probability. It is trained on the templates below, on all their windows of half the words or more
-(so that cut and framed notices are seen), and on a bounded sample of corpus paragraphs as the class ``unknown``.
+(so that cut and framed notices are seen), and on ``NEGATIVES`` paragraphs, out of some as many different texts, as the class ``unknown``.
 
 A fifth of the training rows calibrates: a logistic curve maps the margin between the best family and ``unknown`` to
 the probability that a paragraph holds a notice. A paragraph at ``KNOWN`` or more is compared with its family's
@@ -20,13 +20,12 @@ corpus the model is trained on the templates alone and nothing is returned. Extr
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.feature import HashingTF, NGram
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowtide.llm.common import ascii_lower, stored
-from flowtide.llm.decontaminate import words
+from flowtide.llm.common import lower_words, stored
 
 # Short notices of public licences, by family.
 TEMPLATES = (
@@ -52,13 +51,10 @@ TEMPLATES = (
 UNKNOWN, KNOWN, CONFIRM, FEATURES, NEGATIVES = "unknown", 0.5, 0.7, 1 << 14, 4000
 
 
-def _tokens(text: Column) -> Column:
-    return F.transform(words(text), ascii_lower)
-
-
-def _grams(tokens: Column, sizes: tuple[int, ...] = (1, 2, 3)) -> Column:
-    one = lambda n: F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
-    return F.concat(*[one(n) for n in sizes])
+def _pairs(tokens: Column) -> Column:
+    """The distinct 2-grams."""
+    each = F.transform(F.sequence(F.lit(1), F.size(tokens) - 1), lambda i: F.array_join(F.slice(tokens, i, 2), " "))
+    return F.array_distinct(F.when(F.size(tokens) > 1, each).otherwise(F.array().cast("array<string>")))
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
@@ -75,7 +71,7 @@ def paragraphs(docs: DataFrame) -> DataFrame:
 
 def _notices(spark: SparkSession) -> DataFrame:
     """(family, notices): the 2-grams of each template. As many rows as there are families."""
-    return spark.createDataFrame(list(TEMPLATES), "family string, content string").groupBy("family").agg(F.collect_list(F.array_distinct(_grams(_tokens(F.col("content")), (2,)))).alias("notices"))
+    return spark.createDataFrame(list(TEMPLATES), "family string, content string").groupBy("family").agg(F.collect_list(_pairs(lower_words(F.col("content")))).alias("notices"))
 
 
 def _similarity() -> Column:
@@ -85,29 +81,39 @@ def _similarity() -> Column:
 
 def _training(spark: SparkSession, lines: DataFrame, negatives: int) -> DataFrame:
     """(family, tokens): windows of the templates, and corpus paragraphs that no template confirms."""
-    known = spark.createDataFrame(list(TEMPLATES), "family string, content string").select("family", _tokens(F.col("content")).alias("t"))
+    known = spark.createDataFrame(list(TEMPLATES), "family string, content string").select("family", lower_words(F.col("content")).alias("t"))
     size, half = F.size("t"), F.ceil(F.size("t") / 2).cast("int")
     windows = known.withColumn("n", F.explode(F.sequence(half, size))).withColumn("s", F.explode(F.sequence(F.lit(1), size - F.col("n") + 1)))
     positive = windows.select("family", F.slice("t", F.col("s"), F.col("n")).alias("t"))
-    # The least hashes: a sample that doesn't depend on the order of rows.
-    sample = stored(lines.select("content").orderBy(F.xxhash64("content")).limit(negatives).withColumn("number", F.monotonically_increasing_id()), "licence-sample")
+    # The least hashes: a sample that doesn't depend on the order of rows, nor on how often one repeats.
+    sample = stored(lines.select("content").distinct().orderBy(F.xxhash64("content")).limit(negatives).withColumn("number", F.monotonically_increasing_id()), "licence-sample")
     # Bound to a column first: inside the grams the text would be cut into words once per word.
-    held = sample.withColumn("t", _tokens(F.col("content"))).withColumn("held", F.array_distinct(_grams(F.col("t"), (2,))))
+    held = sample.withColumn("t", lower_words(F.col("content"))).withColumn("held", _pairs(F.col("t")))
     confirmed = held.crossJoin(F.broadcast(_notices(spark))).filter(_similarity() >= CONFIRM).select("number")
     sample = sample.join(confirmed, "number", "left_anti")
     # A word of a notice alone is no notice.
     short = known.select(F.explode("t").alias("w")).distinct().select(F.lit(UNKNOWN).alias("family"), F.array("w").alias("t"))
-    return positive.union(sample.select(F.lit(UNKNOWN).alias("family"), _tokens(F.col("content")).alias("t"))).union(short)
+    return positive.union(sample.select(F.lit(UNKNOWN).alias("family"), lower_words(F.col("content")).alias("t"))).union(short)
+
+
+def _sampled(docs: DataFrame, size: int) -> DataFrame:
+    """About ``size`` different texts, by their hashes; all of them in a small corpus."""
+    total = docs.count()
+    share = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, size / max(total, 1)))
+    return docs.filter(F.col("text").isNotNull() & share).select("text").distinct().select(F.lit(None).cast("long").alias("doc_id"), "text")
 
 
 class LicenseModel:
+    """``lines`` are the paragraphs of a sample of the corpus, of which ``negatives`` are taken."""
+
     def __init__(self, spark: SparkSession, lines: DataFrame, negatives: int = NEGATIVES):
         self.families = [*sorted({f for f, _ in TEMPLATES}), UNKNOWN]
         rows = _training(spark, lines, negatives)
         index = F.element_at(F.create_map(*[F.lit(x) for k, f in enumerate(self.families) for x in (f, float(k))]), F.col("family"))
         rows = stored(rows.select(index.alias("label"), "t", (F.pmod(F.xxhash64("t"), F.lit(5)) == 0).alias("calibrates")), "licence-training")
         self.hashing = HashingTF(inputCol="grams", outputCol="features", numFeatures=FEATURES, binary=True)
-        spread = lambda df: self.hashing.transform(df.withColumn("grams", _grams(F.col("t"))))
+        # The sample is bounded, so few tasks hold it; each step of the fit sends a whole gradient per task.
+        spread = lambda df: self._spread(df).coalesce(1 + negatives // 10_000)
         weights = rows.filter("not calibrates").groupBy("label").agg((1 / F.count("*")).alias("weight"))
         fit = LogisticRegression(family="multinomial", weightCol="weight", regParam=1e-3, maxIter=40)
         self.model = fit.fit(spread(rows.filter("not calibrates").join(F.broadcast(weights), "label")))
@@ -119,6 +125,12 @@ class LicenseModel:
             line = LogisticRegression(labelCol="y", featuresCol="m", regParam=1e-3).fit(VectorAssembler(inputCols=["margin"], outputCol="m").transform(margins))
             self.curve = (float(line.coefficients[0]), float(line.intercept))
 
+    def _spread(self, rows: DataFrame) -> DataFrame:
+        """The 1- to 3-grams of ``t``, hashed into a sparse vector."""
+        for n in (2, 3):
+            rows = NGram(n=n, inputCol="t", outputCol=f"grams{n}").transform(rows)
+        return self.hashing.transform(rows.withColumn("grams", F.concat("t", "grams2", "grams3")))
+
     def _margin(self, scored: DataFrame) -> DataFrame:
         last = len(self.families) - 1
         p = scored.withColumn("p", vector_to_array("probability"))
@@ -127,14 +139,14 @@ class LicenseModel:
 
     def scan(self, lines: DataFrame) -> DataFrame:
         """doc_id, paragraph, family, probability, similarity, confirmed of the paragraphs that hold a notice."""
-        found = lines.withColumn("t", _tokens(F.col("content"))).withColumn("grams", _grams(F.col("t")))
-        scored = self._margin(self.model.transform(self.hashing.transform(found)))
+        found = lines.withColumn("t", lower_words(F.col("content")))
+        scored = self._margin(self.model.transform(self._spread(found)))
         a, b = self.curve
         family = F.element_at(F.array(*[F.lit(f) for f in self.families[:-1]]), F.col("best").cast("int"))
         # A filter on what is exploded isn't pushed below, where it would score each paragraph again.
         judged = F.explode(F.array(F.struct(family.alias("family"), (1 / (1 + F.exp(-(F.col("margin") * a + b)))).alias("probability"))))
         known = scored.select("rid", "doc_id", "paragraph", "n_lines", "t", judged.alias("j")).filter(F.col("j.probability") >= KNOWN)
-        known = known.select("rid", "doc_id", "paragraph", "n_lines", "j.*", F.array_distinct(_grams(F.col("t"), (2,))).alias("held"))
+        known = known.select("rid", "doc_id", "paragraph", "n_lines", "j.*", _pairs(F.col("t")).alias("held"))
         known = known.join(F.broadcast(_notices(lines.sparkSession)), "family").withColumn("similarity", _similarity())
         known = stored(known.withColumn("confirmed", F.col("similarity") >= CONFIRM).drop("held", "notices"), "licence-scores")
         # A run tells nothing more where one of its lines is confirmed, or where it is not confirmed itself but a line is found.
@@ -146,5 +158,5 @@ class LicenseModel:
 
 def scan(docs: DataFrame, negatives: int = NEGATIVES) -> DataFrame:
     """Notices in the paragraphs of ``docs`` (doc_id, text), by a model trained on the templates and this corpus."""
-    lines = paragraphs(docs)
-    return LicenseModel(docs.sparkSession, lines, negatives).scan(lines)
+    sample = paragraphs(_sampled(docs, negatives))
+    return LicenseModel(docs.sparkSession, sample, negatives).scan(paragraphs(docs))

@@ -319,6 +319,26 @@ def test_rendering_of_broken_megabytes(page):
     assert time.monotonic() - start < 30
 
 
+def test_lower_words_are_the_words_of_the_pattern(spark):
+    import random
+
+    from flowtide.llm.common import WORD_PATTERN, lower_words
+    pick = random.Random(3)
+    signs = [chr(c) for c in range(128)] * 2 + list("ÉßİΣ中\u2581\u00a0\u2028😀\U0001F1E9")
+    texts = ["".join(pick.choices(signs, k=pick.randrange(60))) for _ in range(400)] + ["", " ", "A", "\x00A\x7Fb", "\n" * 50]
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    frame = spark.createDataFrame([(t,) for t in texts] + [(None,)], "text string").select("text", lower_words(F.col("text")).alias("w"))
+    for text, got in frame.collect():
+        assert got == [w.translate(lower) for w in re.findall(WORD_PATTERN, text or "")]
+
+
+def test_license_sample_is_not_filled_by_one_text(spark):
+    """A text that makes up nearly all rows counts once in the sample."""
+    docs = spark.createDataFrame([(i, "the same line") for i in range(3000)] + [(i, f"line {i} of its own") for i in range(40)], "doc_id long, text string")
+    assert license_scan._sampled(docs, 10_000).count() == 41
+    assert license_scan._sampled(docs.limit(0), 10).count() == 0
+
+
 def test_license_scan(spark):
     docs = spark.createDataFrame([(1, "clean words here\nReleased under the MIT License.", 1), (2, None, 1), (3, "", 1), (4, "the licence of a driver is not here", 1), (5, "This work is licensed under the GNU General Public License, version 3.", 1)], "doc_id long, text string, family int")
     got = {(r.doc_id, r.paragraph, r.family) for r in license_scan.scan(docs).collect() if r.confirmed}
