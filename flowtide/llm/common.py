@@ -46,12 +46,6 @@ def unpacked(df: DataFrame) -> DataFrame:
     return df.select("row.*")
 
 
-def ascii_lower(word: Column) -> Column:
-    """A-Z lower-cased and nothing else; ``lower`` does just that where all characters are ASCII."""
-    return F.when(F.octet_length(word) == F.char_length(word), F.lower(word)).otherwise(
-        F.translate(word, _UPPER, _UPPER.lower()))
-
-
 def lower_words(text: Column) -> Column:
     """The words of ``text``, A-Z lower-cased; null has none. Signs become spaces and capitals small letters in one pass,
     and one cut at the spaces follows: much cheaper than a regular expression and a lambda for every word."""

@@ -13,10 +13,10 @@ count together as one item, which the list of ids leaves out; equal items and re
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowtide.llm.common import WORD_PATTERN, ascii_lower, stored
+from flowtide.llm.common import lower_words, stored
 
 SPAN = 10
 #: A test vocabulary of at most so many words is broadcast; a larger one is joined by shuffling the words.
@@ -24,13 +24,9 @@ BROADCAST_TERMS = 500_000
 _END = -1
 
 
-def words(text: Column) -> Column:
-    return F.coalesce(F.regexp_extract_all(text, F.lit(WORD_PATTERN), F.lit(0)), F.array().cast("array<string>"))
-
-
 def test_windows(items: DataFrame, span: int = SPAN) -> tuple[DataFrame, DataFrame]:
     """(wid, words) of the distinct windows, and (wid, item_id) of the items that hold them."""
-    split = items.select(F.col("item_id").cast("string").alias("item_id"), F.transform(words(F.col("text")), ascii_lower).alias("w")).filter(F.size("w") > 0)
+    split = items.select(F.col("item_id").cast("string").alias("item_id"), lower_words(F.col("text")).alias("w")).filter(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - span + 1, F.lit(1)))
     held = split.select("item_id", F.explode(starts).alias("s"), "w").select("item_id", F.slice("w", F.col("s"), span).alias("words")).distinct()
     windows = stored(held.select("words").distinct().select(F.monotonically_increasing_id().alias("wid"), "words"), "test-windows")
@@ -44,8 +40,8 @@ def build_index(docs: DataFrame, windows: DataFrame) -> tuple[DataFrame, DataFra
     terms = windows.select(F.explode("words").alias("word")).distinct().select(F.monotonically_increasing_id().alias("term"), "word")
     terms = stored(terms.union(docs.sparkSession.createDataFrame([(_END, "")], "term long, word string")), "test-terms")
     known = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
-    split = docs.select("rid", "doc_id", F.concat(words(F.col("text")), F.array(F.lit(""))).alias("w"))
-    each = split.select("rid", "doc_id", F.posexplode("w").alias("pos", "raw")).withColumn("word", ascii_lower(F.col("raw")))
+    split = docs.select("rid", "doc_id", F.concat(lower_words(F.col("text")), F.array(F.lit(""))).alias("w"))
+    each = split.select("rid", "doc_id", F.posexplode("w").alias("pos", "word"))
     postings = each.join(known, "word").select("term", "rid", "pos", F.when(F.col("term") == _END, F.col("doc_id")).alias("doc_id"))
     return stored(postings, "postings"), terms
 
