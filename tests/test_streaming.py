@@ -237,3 +237,33 @@ def test_flow_stream_closes_idle_flows(spark):
     out = live.drain(flow_state.flow_stream(staged(spark, packet_rows(spark, rows), "packet_no", 2, "pk")), "pk-out")
     got = sorted((r.flow_start, r["Total Fwd Packets"] + r["Total Backward Packets"], r["Total Length of Fwd Packets"]) for r in out.collect())
     assert got == [(T0, 3, 40), (T0 + dt.timedelta(seconds=20), 1, 7)]
+
+
+@pytest.mark.parametrize("buckets", [1, 3])
+def test_flow_stream_keeps_the_connections_of_a_bucket_apart(spark, buckets):
+    df = some_packets(spark)
+    end = packet_rows(spark, [(100_000, "x", 1, "y", 2, 1, 0)]).withColumn("packet_no", F.lit(600).cast("long"))
+    out = live.drain(flow_state.flow_stream(staged(spark, df.unionByName(end), "packet_no", 4, "pk"), idle=9, activity=3.6, buckets=buckets), "pk-out")
+    shown = lambda f: sorted((r.src_ip, r.dst_ip, r.flow_start, r["Total Fwd Packets"], r["Fwd IAT Max"], r["Init_Win_bytes_backward"],
+                              r["Idle Max"], r["Active Max"]) for r in f.collect())
+    assert shown(out) == shown(packets.flows(df, idle=9, activity=3.6, slices=3))
+
+
+def test_a_bucket_is_one_call_a_batch_for_all_its_connections():
+    import pandas as pd
+
+    class State:
+        exists, hasTimedOut, get = False, False, None
+        def getCurrentWatermarkMs(self): return 100_000  # noqa: E704
+        def remove(self): self.exists = False  # noqa: E704
+
+    frame = pd.DataFrame({"connection": [f"c{i % 50}" for i in range(100)], "us": range(100), "no": range(100), "from_a": True,
+                          "size": 1, "header": 20, "flags": 0, "window": 7})
+    out = list(flow_state._advance(1_000_000, 500_000)((0,), iter([frame]), State()))
+    assert len(out) == 1 and len(out[0]) == 50 and set(out[0]["Flow Duration"]) == {50.0}
+
+
+def test_a_silent_flow_ends_while_the_next_packet_waits(spark):
+    rows = [(0, "b", 5, "a", 80, 10, 2), (15, "x", 1, "y", 2, 1, 0), (200, "b", 5, "a", 80, 7, 16)]
+    out = live.drain(flow_state.flow_stream(staged(spark, packet_rows(spark, rows), "packet_no", 2, "pk")), "pk-out")
+    assert sorted(r.src_ip for r in out.collect()) == ["b", "x"]
