@@ -229,3 +229,26 @@ def test_scratch_is_cleared(spark):
     stored = durable(spark.range(5).toDF("id"), "probe")
     assert stored.count() == 5
     assert clear_scratch(spark) and not clear_scratch(spark)
+
+
+def test_boosting_makes_one_pass_a_level_and_reports_score_once(spark, monkeypatch):
+    from flowtide.plans import boosting, training
+    passes, sums = [], boosting._sums
+    monkeypatch.setattr(boosting, "_sums", lambda *args: passes.append(args[3]) or sums(*args))
+    df = spark.range(400).selectExpr("CAST(id % 20 AS DOUBLE) AS a", "CAST(id AS DOUBLE) AS b", "IF(id % 20 > 9, 'DDoS', 'BENIGN') AS Label")
+    _, _, matrices = training.train_and_compare(df, trees=2, rounds=2, forest_depth=2, boost_depth=2)
+    # The leaves below the second cuts come from the sums of the nodes above.
+    assert passes and max(passes) == 1
+    # Reports read stored cells, not the rows that were scored.
+    assert all("/matrices-" in f for f in matrices.inputFiles())
+    assert sum(r.n for r in matrices.filter("model = 'boosted'").collect()) == 80
+
+
+@pytest.mark.parametrize("subsample", [1.0, 0.7])
+def test_boosting_with_stored_margins(spark, subsample):
+    from flowtide.plans import boosting
+    df = spark.range(300).selectExpr("CAST(id % 30 AS DOUBLE) AS a", "CAST(id % 7 AS DOUBLE) AS b", "CAST(id % 30 > 14 AS INT) + CAST(id % 30 > 22 AS INT) AS y")
+    model = boosting.train(df, ["a", "b"], 3, rounds=boosting.STORED_ROUNDS + 2, depth=2, rate=0.3, subsample=subsample)
+    assert len(model.rounds) == boosting.STORED_ROUNDS + 2
+    scored = model.score(df.selectExpr("a AS x0", "b AS x1", "y")).collect()
+    assert all(len(r.probability) == 3 and abs(sum(r.probability) - 1) < 1e-9 and max(range(3), key=lambda k: r.probability[k]) == r.y for r in scored)
