@@ -59,10 +59,15 @@ def _header(line: str) -> list[str]:
 
 
 def _first_lines(spark: SparkSession, files: Sequence[str]) -> dict[str, str]:
-    """The first line of every file, by one job over all of them."""
+    """The first line of every file, by one job over all of them.
+
+    The least line number of a file is found first, which takes a hash table of the files alone: aggregating the lines
+    themselves would sort all of a task's lines. Both readings of the same files number their lines alike.
+    """
     lines = (spark.read.text(list(files)).select("value", "_metadata.file_path", "_metadata.file_block_start")
              .filter("file_block_start = 0").withColumn("at", F.monotonically_increasing_id()))
-    return {unquote(r["file_path"]): r["first"] for r in lines.groupBy("file_path").agg(F.min_by("value", "at").alias("first")).collect()}
+    firsts = lines.groupBy("file_path").agg(F.min("at").alias("at")).select("at")
+    return {unquote(r["file_path"]): r["value"] for r in lines.join(F.broadcast(firsts), "at").select("file_path", "value").collect()}
 
 
 def scan_labelled(spark: SparkSession, paths: Sequence[str], label: str = "Label") -> tuple[DataFrame, DataFrame]:

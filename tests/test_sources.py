@@ -252,3 +252,14 @@ def test_boosting_with_stored_margins(spark, subsample):
     assert len(model.rounds) == boosting.STORED_ROUNDS + 2
     scored = model.score(df.selectExpr("a AS x0", "b AS x1", "y")).collect()
     assert all(len(r.probability) == 3 and abs(sum(r.probability) - 1) < 1e-9 and max(range(3), key=lambda k: r.probability[k]) == r.y for r in scored)
+
+
+def test_first_lines_of_many_files_sort_no_lines(spark, tmp_path, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+    for i in range(40):
+        (tmp_path / f"f {i}.csv").write_text(f"h{i},Label\n" + "".join(f"{n},x\n" for n in range(i * 50)))
+    plans, collect = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or collect(df))
+    got = readers._first_lines(spark, [str(tmp_path / f"f {i}.csv") for i in range(40)])
+    assert sorted(got.values()) == sorted(f"h{i},Label" for i in range(40)) and len(got) == 40
+    assert plans and not any("Sort" in p for p in plans)
