@@ -10,6 +10,10 @@ the probability that a paragraph holds a notice. A paragraph at ``KNOWN`` or mor
 templates: the share of a template's words, in order of its 2-grams, that the paragraph holds confirms the prediction
 from ``CONFIRM`` on. What is predicted but not confirmed is returned too, marked so.
 
+Each word goes through the grams and hashes once for all texts: line by line. From the lines' sets follows an upper bound
+of the score of each line and run (see ``LicenseModel.possible``). Only texts that hold a paragraph whose bound reaches ``KNOWN``
+are scored whole; the others have no paragraph that could be found.
+
 Of a run and its lines, the run is left out where a line is confirmed for its family, or is found and the run is not
 confirmed either.
 
@@ -19,13 +23,16 @@ corpus the model is trained on the templates alone and nothing is returned. Extr
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, NGram
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowtide.llm.common import lower_words, stored
+from flowtide.llm.common import lower_words, small, stored
 
 # Short notices of public licences, by family.
 TEMPLATES = (
@@ -49,6 +56,10 @@ TEMPLATES = (
     ("CC0", "To the extent possible under law, the author has waived all copyright and related rights to this work under CC0 1.0."),
 )
 UNKNOWN, KNOWN, CONFIRM, FEATURES, NEGATIVES = "unknown", 0.5, 0.7, 1 << 14, 4000
+#: Characters that are looked at beyond a line for the two words that follow it.
+AHEAD = 64
+#: Weights up to this one are bounded for all families at once.
+STRONG = 0.05
 
 
 def _pairs(tokens: Column) -> Column:
@@ -69,6 +80,35 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return rows.select("rid", "doc_id", F.inline(F.concat(lines, runs))).filter(F.trim("content") != "")
 
 
+def _lines_ahead(docs: DataFrame) -> DataFrame:
+    """(rid, key, run, in_run, t, cross, loose) of every line: its words, and the grams that lead from it into its run's next words.
+
+    ``key`` is the text's hash. ``loose``: the next words are not all known.
+    """
+    # Runs lie between blank lines. A piece may begin or end with blank lines, which have no words.
+    pieces = F.posexplode(F.split("text", "\n[ \t\r\f]*+\n")).alias("run", "piece")
+    runs = docs.select(F.monotonically_increasing_id().alias("rid"), F.xxhash64("text").alias("key"), "text").select("rid", "key", pieces)
+    runs = runs.select("rid", "key", "run", F.split("piece", "\n").alias("lines"))
+    ahead = lambda i: F.substring(F.array_join(F.slice("lines", i + 2, F.lit(3)), " "), 1, AHEAD + 1)
+    entry = F.inline(F.transform("lines", lambda x, i: F.struct(x.alias("content"), ahead(i).alias("ahead"), (F.size("lines") > i + 4).alias("more"))))
+    lines = runs.select("rid", "key", "run", (F.size("lines") > 1).alias("in_run"), entry)
+    lines = lines.select("rid", "key", "run", "in_run", lower_words(F.col("content")).alias("t"), lower_words(F.col("ahead")).alias("next"), (F.length("ahead") > AHEAD).alias("cut"), "more")
+    last, first = lambda k: F.get("t", F.size("t") - k), lambda k: F.get("next", F.lit(k))
+    # A gram with a missing word is null.
+    cross = [F.concat(last(1), F.lit(" "), first(0)), F.concat(last(2), F.lit(" "), last(1), F.lit(" "), first(0)), F.concat(last(1), F.lit(" "), first(0), F.lit(" "), first(1))]
+    loose = F.when(F.col("cut"), F.size("next") < 3).otherwise(F.col("more") & (F.size("next") < 2))
+    return lines.select("rid", "key", "run", "in_run", "t", F.array_compact(F.array(*cross)).alias("cross"), loose.alias("loose"))
+
+
+def _weights(values: np.ndarray) -> Column:
+    """A constant array of ``values``, rounded up."""
+    return F.split(F.lit(",".join(f"{v:g}" for v in np.ceil(values * 1e4) / 1e4)), ",").cast("array<double>")
+
+
+def _total(indices: Column, weights: Column) -> Column:
+    return F.aggregate(indices, F.lit(0.0), lambda a, i: a + F.get(weights, i))
+
+
 def _notices(spark: SparkSession) -> DataFrame:
     """(family, notices): the 2-grams of each template. As many rows as there are families."""
     return spark.createDataFrame(list(TEMPLATES), "family string, content string").groupBy("family").agg(F.collect_list(_pairs(lower_words(F.col("content")))).alias("notices"))
@@ -137,6 +177,47 @@ class LicenseModel:
         best = F.array_max(F.slice("p", 1, last))
         return p.withColumn("margin", best - F.get("p", F.lit(last))).withColumn("best", F.array_position(F.slice("p", 1, last), best))
 
+    def _least(self) -> float | None:
+        """What the log odds of a family against ``unknown`` reach in any found paragraph; None if that has no bound."""
+        a, b = self.curve
+        margin = (math.log(KNOWN / (1 - KNOWN)) - b) / a if a > 0 else -1.0
+        if margin <= -1:
+            return None
+        # Below even odds the margin is at most (odds - 1) / (1 + families * odds).
+        return (0.0 if margin >= 0 else math.log((1 + margin) / (1 - margin * (len(self.families) - 1)))) - 1e-3
+
+    def possible(self, docs: DataFrame) -> DataFrame:
+        """The rows of ``docs`` but those in whose texts no paragraph can be found, by upper bounds of its log odds.
+
+        Of a line: the sum, over its features, of their largest weight for any family. Of a run: per family, the sum of the weights above zero
+        of all its features (those of its lines, and of the grams across their ends), and the least sum of weights below zero of any of its lines.
+        """
+        weights, free = self.model.coefficientMatrix.toArray(), self.model.interceptVector.toArray()
+        weights, free, least = weights[:-1] - weights[-1], free[:-1] - free[-1], self._least()
+        if least is None or free.max() >= least:
+            return docs
+        largest = weights.max(axis=0)
+        indices = lambda name: F.unwrap_udt(name)["indices"]
+        across = HashingTF(inputCol="cross", outputCol="crossing", numFeatures=FEATURES, binary=True)
+        lines = across.transform(self._spread(_lines_ahead(docs.select("text").filter("text is not null"))))
+        lines = lines.select("rid", "key", "run", "in_run", "loose", indices("features").alias("own"), indices("crossing").alias("crossing"))
+        every = _weights(largest)
+        above = lambda name: F.filter(name, lambda i: F.get(every, i) > 0).alias(name)
+        lines = lines.select("rid", "key", "run", "in_run", "loose", _total(F.col("own"), _weights(np.minimum(largest, 0))).alias("below"), above("own"), above("crossing"))
+        possible = (F.col("below") + _total(F.col("own"), every) + float(free.max()) >= least) | F.col("loose") & F.col("in_run")
+        # No filter before this: below it, it would repeat the sums.
+        held = F.when(F.col("in_run"), F.struct("below", F.concat("own", "crossing").alias("above")))
+        runs = lines.select("rid", "key", "run", possible.alias("possible"), held.alias("held")).groupBy("rid", "key", "run").agg(
+            F.max("possible").alias("possible"), F.min("held.below").alias("below"), F.array_distinct(F.flatten(F.collect_list("held.above"))).alias("above"))
+        # The families differ in few features; the small weights of the others count for all families.
+        strong = np.where(largest > STRONG, 1.0, 0.0)
+        runs = runs.select("key", "possible", (F.col("below") + _total(F.col("above"), _weights(np.where(strong > 0, 0.0, np.maximum(largest, 0))))).alias("rest"),
+                           F.filter("above", lambda i: F.get(_weights(strong), i) > 0).alias("strong"))
+        families = [_total(F.col("strong"), _weights(strong * np.maximum(w, 0))) + float(c) for w, c in zip(weights, free, strict=True)]
+        bound = F.greatest(*families) + F.col("rest")
+        keys = small(runs.filter(F.col("possible") | (bound >= least)).select("key").distinct(), "licence-possible")
+        return docs.join(keys, F.xxhash64(docs["text"]) == keys["key"], "left_semi")
+
     def scan(self, lines: DataFrame) -> DataFrame:
         """doc_id, paragraph, family, probability, similarity, confirmed of the paragraphs that hold a notice."""
         found = lines.withColumn("t", lower_words(F.col("content")))
@@ -158,5 +239,5 @@ class LicenseModel:
 
 def scan(docs: DataFrame, negatives: int = NEGATIVES) -> DataFrame:
     """Notices in the paragraphs of ``docs`` (doc_id, text), by a model trained on the templates and this corpus."""
-    sample = paragraphs(_sampled(docs, negatives))
-    return LicenseModel(docs.sparkSession, sample, negatives).scan(paragraphs(docs))
+    model = LicenseModel(docs.sparkSession, paragraphs(_sampled(docs, negatives)), negatives)
+    return model.scan(paragraphs(model.possible(docs)))

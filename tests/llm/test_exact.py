@@ -363,6 +363,35 @@ def test_license_scan_of_wrapped_and_cut_notices(spark):
     assert (2, 0) in {(r.doc_id, r.paragraph) for r in got} and 3 not in {r.doc_id for r in got}
 
 
+def test_license_lines_hold_all_grams_of_their_run(spark):
+    """Grams of the lines, and those across their ends, are the grams of the run, unless the next words are not all known."""
+    texts = ["a b c\nd\ne f\n\n \t\ng h\n--\ni j k", "one\ntwo\nthree\nfour\nfive", "x y\n" + "w" * 90 + " v\nz", "a\n-\n-\n-\n-\nb c", "p q " * 40 + "\nr", "", " \n \n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    grams = lambda t: {" ".join(t[i:i + n]) for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+    lines, loose = defaultdict(set), set()
+    for r in license_scan._lines_ahead(docs).filter("in_run").collect():
+        lines[r.rid, r.run] |= grams(r.t) | set(r.cross)
+        if r.loose:
+            loose.add((r.rid, r.run))
+    runs = [(r.rid, grams(r.t)) for r in license_scan.paragraphs(docs).filter("n_lines > 1").withColumn("t", license_scan.lower_words(F.col("content"))).collect()]
+    assert {rid for rid, _ in loose} == {2, 3} and len(runs) == 6
+    for rid, want in runs:
+        assert rid in {2, 3} or any(k[0] == rid and found == want for k, found in lines.items())
+
+
+def test_license_scan_leaves_out_only_texts_without_a_find(spark):
+    import textwrap
+    prose = [f"The weather of day {i} was fair and the harbour quiet\nwith some {i * 7} boats at anchor\n\nnothing else happened on day {i}" for i in range(60)]
+    wrapped = ["\n".join(textwrap.wrap(t, w)) for _, t in license_scan.TEMPLATES for w in (9, 30, 76)]
+    texts = [*prose, *[f"{p}\n \n{w}\n\nend" for p, w in zip(prose, wrapped, strict=False)], *wrapped, *wrapped[:5], None, "", "\n\n", "---\n---"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = license_scan.LicenseModel(spark, license_scan.paragraphs(docs), 200)
+    kept = model.possible(docs)
+    found = lambda rows: sorted(map(tuple, model.scan(license_scan.paragraphs(rows)).collect()), key=repr)
+    assert found(kept) == found(docs) != []
+    assert kept.filter("doc_id < 60").count() < 20
+
+
 def test_pipeline_stages_keep_columns(spark, tmp_path):
     import corpus_pipeline
     given = spark.read.parquet(f"{SF_DIR}/documents.parquet")
