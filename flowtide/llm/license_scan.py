@@ -68,16 +68,21 @@ def _pairs(tokens: Column) -> Column:
     return F.array_distinct(F.when(F.size(tokens) > 1, each).otherwise(F.array().cast("array<string>")))
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """(rid, doc_id, paragraph, n_lines, content) of every non-empty line, and of every run of two or more of them."""
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.split("text", "\n").alias("lines"))
+def paragraphs(docs: DataFrame, flagged: bool = False) -> DataFrame:
+    """(rid, doc_id, paragraph, n_lines, content) of every non-empty line, and of every run of two or more of them.
+
+    ``flagged``: of the rows where ``in_lines`` and ``in_runs`` hold.
+    """
+    flags = [F.col(x) if flagged else F.lit(True).alias(x) for x in ("in_lines", "in_runs")]
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.split("text", "\n").alias("lines"), *flags)
     entry = lambda number, content: F.struct(number.cast("int").alias("paragraph"), F.size(F.split(content, "\n")).alias("n_lines"), content.alias("content"))
     lines = F.transform("lines", lambda x, i: entry(i, x))
     # Lines carry their numbers, so that a run knows its first one.
     runs = F.split(F.array_join(F.transform("lines", lambda x, i: F.when(F.trim(x, F.lit(" \t\r\f")) == "", "").otherwise(F.concat(i.cast("string"), F.lit(":"), x))), "\n"), "\n{2,}")
     runs = F.filter(F.transform(runs, lambda x: F.trim(x, F.lit("\n"))), lambda x: F.contains(x, F.lit("\n")))
     runs = F.transform(runs, lambda x: entry(F.regexp_extract(x, "^([0-9]+):", 1), F.regexp_replace(x, "(?m)^[0-9]+:", "")))
-    return rows.select("rid", "doc_id", F.inline(F.concat(lines, runs))).filter(F.trim("content") != "")
+    each = rows.select("rid", "doc_id", "in_lines", "in_runs", F.inline(F.concat(lines, runs)))
+    return each.filter((F.trim("content") != "") & F.when(F.col("n_lines") == 1, F.col("in_lines")).otherwise(F.col("in_runs"))).drop("in_lines", "in_runs")
 
 
 def _lines_ahead(docs: DataFrame) -> DataFrame:
@@ -187,7 +192,7 @@ class LicenseModel:
         return (0.0 if margin >= 0 else math.log((1 + margin) / (1 - margin * (len(self.families) - 1)))) - 1e-3
 
     def possible(self, docs: DataFrame) -> DataFrame:
-        """The rows of ``docs`` but those in whose texts no paragraph can be found, by upper bounds of its log odds.
+        """(doc_id, text, in_lines, in_runs) of the rows of ``docs`` in whose texts lines or runs can be found, by upper bounds of their log odds.
 
         Of a line: the sum, over its features, of their largest weight for any family. Of a run: per family, the sum of the weights above zero
         of all its features (those of its lines, and of the grams across their ends), and the least sum of weights below zero of any of its lines.
@@ -195,7 +200,7 @@ class LicenseModel:
         weights, free = self.model.coefficientMatrix.toArray(), self.model.interceptVector.toArray()
         weights, free, least = weights[:-1] - weights[-1], free[:-1] - free[-1], self._least()
         if least is None or free.max() >= least:
-            return docs
+            return docs.select("doc_id", "text", F.lit(True).alias("in_lines"), F.lit(True).alias("in_runs"))
         largest = weights.max(axis=0)
         indices = lambda name: F.unwrap_udt(name)["indices"]
         across = HashingTF(inputCol="cross", outputCol="crossing", numFeatures=FEATURES, binary=True)
@@ -204,19 +209,21 @@ class LicenseModel:
         every = _weights(largest)
         above = lambda name: F.filter(name, lambda i: F.get(every, i) > 0).alias(name)
         lines = lines.select("rid", "key", "run", "in_run", "loose", _total(F.col("own"), _weights(np.minimum(largest, 0))).alias("below"), above("own"), above("crossing"))
-        possible = (F.col("below") + _total(F.col("own"), every) + float(free.max()) >= least) | F.col("loose") & F.col("in_run")
+        possible = F.col("below") + _total(F.col("own"), every) + float(free.max()) >= least
         # No filter before this: below it, it would repeat the sums.
         held = F.when(F.col("in_run"), F.struct("below", F.concat("own", "crossing").alias("above")))
-        runs = lines.select("rid", "key", "run", possible.alias("possible"), held.alias("held")).groupBy("rid", "key", "run").agg(
-            F.max("possible").alias("possible"), F.min("held.below").alias("below"), F.array_distinct(F.flatten(F.collect_list("held.above"))).alias("above"))
+        runs = lines.select("rid", "key", "run", possible.alias("possible"), (F.col("loose") & F.col("in_run")).alias("loose"), held.alias("held")).groupBy("rid", "key", "run").agg(
+            F.max("possible").alias("possible"), F.max("loose").alias("loose"), F.min("held.below").alias("below"), F.array_distinct(F.flatten(F.collect_list("held.above"))).alias("above"))
         # The families differ in few features; the small weights of the others count for all families.
         strong = np.where(largest > STRONG, 1.0, 0.0)
-        runs = runs.select("key", "possible", (F.col("below") + _total(F.col("above"), _weights(np.where(strong > 0, 0.0, np.maximum(largest, 0))))).alias("rest"),
+        runs = runs.select("key", "possible", "loose", (F.col("below") + _total(F.col("above"), _weights(np.where(strong > 0, 0.0, np.maximum(largest, 0))))).alias("rest"),
                            F.filter("above", lambda i: F.get(_weights(strong), i) > 0).alias("strong"))
         families = [_total(F.col("strong"), _weights(strong * np.maximum(w, 0))) + float(c) for w, c in zip(weights, free, strict=True)]
         bound = F.greatest(*families) + F.col("rest")
-        keys = small(runs.filter(F.col("possible") | (bound >= least)).select("key").distinct(), "licence-possible")
-        return docs.join(keys, F.xxhash64(docs["text"]) == keys["key"], "left_semi")
+        # Outside of runs there is no bound.
+        texts = runs.select("key", "possible", (F.col("loose") | F.coalesce(bound >= least, F.lit(False))).alias("run")).groupBy("key").agg(F.max("possible").alias("in_lines"), F.max("run").alias("in_runs"))
+        keys = small(texts.filter("in_lines or in_runs"), "licence-possible")
+        return docs.select("doc_id", "text").join(keys, F.xxhash64("text") == F.col("key")).drop("key")
 
     def scan(self, lines: DataFrame) -> DataFrame:
         """doc_id, paragraph, family, probability, similarity, confirmed of the paragraphs that hold a notice."""
@@ -240,4 +247,4 @@ class LicenseModel:
 def scan(docs: DataFrame, negatives: int = NEGATIVES) -> DataFrame:
     """Notices in the paragraphs of ``docs`` (doc_id, text), by a model trained on the templates and this corpus."""
     model = LicenseModel(docs.sparkSession, paragraphs(_sampled(docs, negatives)), negatives)
-    return model.scan(paragraphs(model.possible(docs)))
+    return model.scan(paragraphs(model.possible(docs), flagged=True))
