@@ -263,3 +263,20 @@ def test_first_lines_of_many_files_sort_no_lines(spark, tmp_path, monkeypatch):
     got = readers._first_lines(spark, [str(tmp_path / f"f {i}.csv") for i in range(40)])
     assert sorted(got.values()) == sorted(f"h{i},Label" for i in range(40)) and len(got) == 40
     assert plans and not any("Sort" in p for p in plans)
+
+
+def test_compared_models_have_their_full_size(spark, tmp_path, monkeypatch):
+    """The registered comparison asks for 150 trees of any depth and 150 rounds of depth 6, and reports on all held-out rows."""
+    from flowtide.catalog import training as queries
+    asked, forest, boosted = [], training.train_forest, training.train_boosted
+    monkeypatch.setattr(training, "train_forest", lambda df, features, trees=150, depth=training.MAX_TREE_DEPTH, *rest, **more: (
+        asked.append((trees, depth)) or forest(df, features, 3, 4, *rest, **more)))
+    monkeypatch.setattr(training, "train_boosted", lambda df, features, rounds=150, depth=6, *rest, **more: (
+        asked.append((rounds, depth)) or boosted(df, features, 3, 2, *rest, **more)))
+    spark.range(400).selectExpr("id AS l_orderkey", "CAST(id % 7 AS INT) AS l_linenumber", "id % 9 AS l_suppkey", "id % 11 AS l_partkey",
+                                "'A' AS l_returnflag", "'O' AS l_linestatus", "CAST(1 + id % 50 AS DOUBLE) AS l_quantity",
+                                "CAST(1000 + id AS DOUBLE) AS l_extendedprice", "(id % 11) / 100D AS l_discount",
+                                "(id % 9) / 100D AS l_tax").write.parquet(str(tmp_path / "lineitem.parquet"))
+    report = queries.compare(spark, str(tmp_path)).collect()
+    assert asked == [(150, 30), (150, 6)]
+    assert {m: sum(r.support for r in report if r.model == m) for m in ("random_forest", "boosted")} == {"random_forest": 80, "boosted": 80}
