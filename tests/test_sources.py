@@ -280,3 +280,35 @@ def test_compared_models_have_their_full_size(spark, tmp_path, monkeypatch):
     report = queries.compare(spark, str(tmp_path)).collect()
     assert asked == [(150, 30), (150, 6)]
     assert {m: sum(r.support for r in report if r.model == m) for m in ("random_forest", "boosted")} == {"random_forest": 80, "boosted": 80}
+
+
+@pytest.mark.parametrize("subsample", [1.0, 0.7])
+def test_boosting_in_one_task_grows_the_trees_of_the_passes(spark, monkeypatch, subsample):
+    """Few rows go to one task, which makes no job for a level; above the limit, replaced margins are removed."""
+    import numpy as np
+    from flowtide.plans import boosting
+    jobs, sums, removed, remove = [], boosting._sums, [], boosting.remove_folder
+    monkeypatch.setattr(boosting, "_sums", lambda *args: jobs.append(len(args[0].rounds)) or sums(*args))
+    monkeypatch.setattr(boosting, "remove_folder", lambda *args: removed.append(remove(*args)) or removed[-1])
+    df = spark.range(600).selectExpr("CAST(xxhash64(id, 1) % 50 AS DOUBLE) AS a", "CAST(xxhash64(id, 2) % 9 AS DOUBLE) AS b", "id").selectExpr(
+        "a", "b", "CAST(IF(id % 11 = 0, id % 3, IF(a > 10, 2, IF(b > a, 1, 0))) AS INT) AS y")
+    rounds, models = 2 * boosting.STORED_ROUNDS + 1, []
+    for cells in (0, boosting.ONE_TASK_CELLS):
+        jobs.clear()
+        monkeypatch.setattr(boosting, "ONE_TASK_CELLS", cells)
+        models.append(boosting.train(df.repartition(3), ["a", "b"], 3, rounds, 3, 0.3, subsample=subsample))
+        assert max(jobs) == (boosting.STORED_ROUNDS - 1 if cells else rounds - 1)
+    assert removed == [True, True]
+    assert [len(m.rounds) for m in models] == [rounds, rounds]
+    for one, other in zip(*(sum(m.rounds, []) for m in models), strict=True):
+        assert np.array_equal(one.feature, other.feature) and np.array_equal(one.cut, other.cut) and np.allclose(one.value, other.value)
+
+
+def test_deep_forest_is_the_same_with_kept_nodes(spark, monkeypatch):
+    df = spark.range(500).selectExpr("CAST(xxhash64(id, 1) % 50 AS DOUBLE) AS a", "CAST(xxhash64(id, 2) % 9 AS DOUBLE) AS b",
+                                     "CAST(id % 7 > 3 AS DOUBLE) AS y").repartition(1)
+    kept = training.train_forest(df, ["a", "b"], trees=3, depth=12).stages[-1]
+    monkeypatch.setattr(training, "SHALLOW", 12)
+    walked = training.train_forest(df, ["a", "b"], trees=3, depth=12).stages[-1]
+    assert kept.getCacheNodeIds() and not walked.getCacheNodeIds()
+    assert kept.toDebugString.split("\n", 1)[1] == walked.toDebugString.split("\n", 1)[1]
